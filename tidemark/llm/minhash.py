@@ -101,10 +101,10 @@ def _sets_of_run(run: list[bytes]) -> list[np.ndarray]:
         if w >= SHINGLE:
             out.append(np.unique(grams[at : end - SHINGLE + 1]))
         elif w:
-            h = _U(w)
-            for x in hashes[at:end]:
-                h = _mix(np.array([h * _U(0xC2B2AE3D27D4EB4F) + x], np.uint64))[0]
-            out.append(np.array([h], np.uint64))
+            h = np.array([w], np.uint64)
+            for x in range(at, end):
+                h = _mix(h * _U(0xC2B2AE3D27D4EB4F) + hashes[x])
+            out.append(h)
         else:
             out.append(np.empty(0, np.uint64))
         at = end

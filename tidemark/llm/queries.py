@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, minhash, mixing, quality, sharding, url_filter
+from tidemark.llm import chat_format, decontaminate, minhash, mixing, pii, quality, sharding, url_filter, warc
 from tidemark.llm.common import read
 
 SHARD_BYTES = 64 << 20
@@ -23,6 +23,22 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, SHARD_BYTES).select("doc_id", *sharding.OUT)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat_format.read_back(chat_format.format_trees(chat_format.messages_of(rows)))
+    per_turn = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(per_turn, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.clean_documents(docs, with_text=False).drop("text")
@@ -33,6 +49,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", *mixing.OUT)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.find_personal_data(docs).drop("text")
+    digest = F.sha2(F.col("base_spans").cast("binary"), 256)
+    return out.select("doc_id", *[f"n_{k}" for k in pii.KINDS], digest.alias("base_sha256"), "spans")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")
     out = decontaminate.decontaminate(docs, items)
@@ -54,8 +82,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_chat_format": op2_chat_format,
     "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
+    "op6_warc": op6_warc,
+    "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
@@ -82,6 +113,18 @@ SELECT b.doc_id, b.n_bytes,
 FROM best b JOIN sums s ON s.depth = b.depth AND s.prefix = b.h >> (60 - b.depth)
 """
 
+ORACLE_SQL["op2_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(23 + length(role) + length(text) + len(regexp_extract_all(role || text, '[\\\\<\\[]')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 ORACLE_SQL["op3_quality_rules"] = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, {_WORDS.format('text')} AS w FROM d),
@@ -115,6 +158,23 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM a
 """
 
+ORACLE_SQL["op6_warc"] = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (
+  SELECT *, list_reduce(list_transform(string_split(h, ''), lambda c: lpad(bin(('0x' || c)::BIGINT), 4, '0')), lambda a, c: a || c) AS bits FROM p),
+d AS (
+  SELECT *, list_reduce(list_transform(range(32), lambda i:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + instr('0123456789ABCDEF', '0') - 1
+        + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
+        + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), lambda a, c: a || c) AS payload_digest,
+    max(page_id) OVER (PARTITION BY h) AS last FROM b)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM d
+"""
+
 _ALNUM = (
     r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
