@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, minhash, mixing, pii, quality, sharding, url_filter, warc
+from tidemark.llm import chat_format, decontaminate, minhash, mixing, pii, quality, sharding, suffix_dedup, url_filter, warc
 from tidemark.llm.common import read
 
 SHARD_BYTES = 64 << 20
@@ -49,6 +49,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", *mixing.OUT)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, with_text=False)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -85,6 +90,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_warc": op6_warc,
     "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
@@ -158,6 +164,27 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM a
 """
 
+ORACLE_SQL["op5_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (
+  SELECT doc_id, i, hash(substr(x, 2 * i + 1, 800)) AS h
+  FROM (SELECT doc_id, x, unnest(range(0, length(x)::BIGINT // 2 - 399)) AS i FROM d WHERE length(x) >= 800)),
+r AS (SELECT doc_id, i FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1)),
+e AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER w + 400, true) AS opens, lag(i) OVER w AS prev FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM e),
+spans AS (SELECT doc_id, n, min(i) AS a, max(i) + 400 AS b FROM s GROUP BY doc_id, n),
+gaps AS (
+  SELECT doc_id, n, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY n), 0) AS since FROM spans),
+k AS (
+  SELECT doc_id, count(*)::BIGINT AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last,
+    string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY n) AS front
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(front || substr(x, 2 * last + 1), x))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 ORACLE_SQL["op6_warc"] = r"""
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
