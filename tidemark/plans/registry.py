@@ -1,6 +1,39 @@
-"""All queries over the driver's tables, and their SQL."""
+"""All queries over the driver's tables, and their SQL.
+
+A query is registered with its DuckDB SQL. Doubles are compared after rounding to six
+places on both sides, as window sums differ in their last bits between engines.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """df with every double rounded; -0.0 becomes 0.0."""
+    doubles = {f.name for f in df.schema if f.dataType.typeName() == "double"}
+    return df.select(*[(F.round(F.col(f"`{c}`"), places) + F.lit(0.0)).alias(c) if c in doubles else F.col(f"`{c}`") for c in df.columns])
+
+
+def query(name: str, sql: str | None = None, doubles: str = ""):
+    """Registers a query; doubles: names of the SQL's double columns."""
+
+    def add(build: Callable) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: rounded(build(spark, sf_dir))
+        if sql is not None:
+            replaced = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split())
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({replaced}) FROM ({sql})" if replaced else sql
+        return build
+
+    return add
+
+
+from tidemark.plans import (  # noqa: E402,F401  each module registers its queries
+    query_indicators,
+)
