@@ -43,11 +43,12 @@ def reply_paths(messages: DataFrame, scratch: Scratch, top: int | None = None) -
                        F.coalesce(F.col("m.score").cast("double"), F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("node").alias("n2"))
     nodes = nodes.join(known, F.col("up").eqNullSafe(F.col("n2")), "left").select("node", F.col("n2").alias("up"), "score")
-    state = scratch.table(nodes.select("node", "up", F.lit(0).cast("long").alias("depth"), "score", F.col("up").isNotNull().alias("open")), "nodes")
+    # invariant: score is the sum over the node and what lies below `up`; depth counts the steps to `up`
+    opened = F.col("up").isNotNull()
+    nodes = scratch.table(nodes.select("node", "up", opened.cast("long").alias("depth"), "score", opened.alias("open")), "nodes")
+    state = nodes
     levels: list[DataFrame] = []
     total = None
-    # invariant: score is the sum over the node and what lies below `up`; depth counts the steps to `up`
-    state = state.withColumn("depth", F.col("open").cast("long"))
     while not state.where("open").isEmpty():
         levels.append(state.where("open").select("node", "up"))
         if total is None:
@@ -68,7 +69,7 @@ def reply_paths(messages: DataFrame, scratch: Scratch, top: int | None = None) -
     walk = ranked.select(F.col("node").alias("leaf"), "rank", "path_score", "node")
     for ups in reversed(levels):
         more = walk.join(ups.withColumnRenamed("node", "at"), F.col("node").eqNullSafe(F.col("at"))).select("leaf", "rank", "path_score", F.col("up").alias("node"))
-        walk = walk.unionByName(more)
+        walk = scratch.table(walk.unionByName(more), "walk")  # else the plan doubles each round
     depths = state.select(F.col("node").alias("at"), "depth")
     return walk.join(depths, F.col("node").eqNullSafe(F.col("at"))).select(
         F.col("leaf.tree").alias("tree"), F.col("leaf.msg").alias("leaf"), "rank", "path_score", F.col("node.msg").alias("msg"), "depth"
