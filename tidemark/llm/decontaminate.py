@@ -69,22 +69,25 @@ def find_windows(tokens: DataFrame, wins: DataFrame, scratch: Scratch) -> DataFr
 
 
 def match_phrases(
-    tokens: DataFrame,
+    texts: DataFrame,
     items: DataFrame,
     size: int,
     scratch: Scratch,
     item_col: str = "item_id",
     item_text: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
-    """(hits (doc, start, len, win_id), members (win_id, item)); tokens: doc, w (repeated rows are fine)."""
+    """(hits (doc, start, len, win_id), members (win_id, item)); texts: doc, text (repeated rows are fine)."""
     all_wins = windows(items, item_col, item_text, size).distinct()
     members = all_wins.withColumn("win_id", F.md5(F.array_join("win", " ").cast("binary")))
     members = scratch.table(members, "windows")
     distinct = members.select("win_id", "win").distinct()
-    starts = find_windows(tokens, distinct, scratch)
-    texts = tokens.join(starts.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    tokens = lambda rows: rows.select("doc", words(F.col("text")).alias("w"))
+    starts = find_windows(tokens(texts), distinct, scratch)
+    candidates = scratch.small(starts.select("doc").distinct(), "candidates")
+    # whole texts are moved, not their words, and where the list is small only those of candidates
+    chosen = texts.join(candidates, "doc", "left_semi").dropDuplicates(["doc"])
     found = (
-        starts.join(texts, "doc")
+        starts.join(tokens(chosen), "doc")
         .select("doc", "start", "len", "win_id", F.expr("slice(w, start + 1, len)").alias("got"))
         .join(distinct, "win_id")
         .where("got = win")
@@ -129,8 +132,8 @@ def decontaminate(
     scratch = scratch or Scratch(docs.sparkSession)
     rows = without(docs, OUT).withColumn("__doc", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
     counted = rows.withColumn("n_words", F.size(words(F.col(text_col))).cast("long"))  # before the join, so a text that is not asked for is not moved
-    tokens = rows.select(F.col("__doc").alias("doc"), words(F.col(text_col)).alias("w"))
-    hits, members = match_phrases(tokens, items, size, scratch, item_col, item_text)
+    texts = rows.select(F.col("__doc").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    hits, members = match_phrases(texts, items, size, scratch, item_col, item_text)
     order = W.partitionBy("doc").orderBy("start", "len")
     end = F.max(F.col("start") + F.col("len")).over(order.rowsBetween(W.unboundedPreceding, -1))
     covered = hits.select("doc", "start", "len", F.coalesce(end, F.lit(0)).alias("end")).withColumn(
