@@ -34,9 +34,10 @@ def confidence_label(score) -> Column:
     return F.when(_c(score) >= 70, "high").when(_c(score) >= 40, "moderate").otherwise("low / likely mined")
 
 
-def compute_confidence(n, cons, agreement, density, unknown, shift, intraday, concentrated) -> Column:
-    """0..1: sample, consistency, agreement (0.6 if null) and density, less penalties."""
-    gain = F.least(F.lit(1.0), _c(n) / 40.0) * _c(cons) * F.coalesce(_c(agreement), F.lit(0.6)) * _c(density)
+def compute_confidence(n, p_positive, analog_p, regime_p, density, unknown, shift, intraday, concentrated) -> Column:
+    """0..1: sample size, consistency, the two models' agreement (0.6 if one is missing) and density, less penalties."""
+    agree = F.coalesce(1 - F.abs(_c(analog_p) - _c(regime_p)), F.lit(0.6))
+    gain = F.least(F.lit(1.0), _c(n) / 40.0) * F.greatest(_c(p_positive), 1 - _c(p_positive)) * agree * _c(density)
     flag = lambda c, w: F.when(_c(c), w).otherwise(0.0)
     penalty = flag(unknown, 0.10) + flag(shift, 0.15) + flag(intraday, 0.15) + flag(concentrated, 0.20)
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(100 * gain - 100 * penalty))) / 100
@@ -50,15 +51,29 @@ def is_concentrated(regimes, first, last) -> Column:
     return (_c(regimes) < 2) | (F.datediff(_c(last), _c(first)) < 365)
 
 
-def recommendation(n, p_positive, q50, mae, label) -> Column:
-    return (
-        F.when((_c(n) < 8) | (_c(label) == "low"), "INSUFFICIENT")
-        .when((_c(p_positive) >= 0.65) & (_c(q50) > 0) & (_c(mae) > -0.08), "ACCUMULATE")
-        .when((_c(p_positive) >= 0.55) & (_c(q50) > 0), "LEAN_LONG")
-        .when((_c(p_positive) <= 0.35) & (_c(q50) < 0), "AVOID")
-        .when(_c(p_positive) <= 0.45, "LEAN_AVOID")
-        .otherwise("WAIT")
-    )
+# Labels of a forecast and the votes they stand for.
+LABEL_VOTES = {
+    "no_reliable_signal": "WAIT",
+    "hold_no_change": "WAIT",
+    "watch_for_confirmation": "WAIT",
+    "reduce_defensive_candidate": "AVOID",
+    "moderate_long_candidate": "BUY",
+    "high_conviction_long_candidate": "BUY",
+}
+
+
+def recommendation(n, p_positive, mae, label) -> Column:
+    """One of LABEL_VOTES: by sample and confidence first, then by edge, its sign and the expected adverse excursion."""
+    edge, p, deep = _c(p_positive) - 0.5, _c(p_positive), F.coalesce(_c(mae), F.lit(0.0))
+    weak = (_c(n) < 8) | (_c(label) == "low")
+    defensive = (edge < 0) & ((p <= 0.4) | (deep < -0.08))
+    strong = (_c(label) == "high") & (p >= 0.62) & (deep > -0.08)
+    rules = [(weak, "no_reliable_signal"), (F.abs(edge) < 0.05, "hold_no_change"), (defensive, "reduce_defensive_candidate"), (edge < 0, "watch_for_confirmation"),
+             (strong, "high_conviction_long_candidate"), (p >= 0.55, "moderate_long_candidate")]
+    out = F.when(*rules[0])
+    for rule in rules[1:]:
+        out = out.when(*rule)
+    return out.otherwise("watch_for_confirmation")
 
 
 def dip_verdict(n, edge, mae, mined) -> Column:
@@ -66,8 +81,9 @@ def dip_verdict(n, edge, mae, mined) -> Column:
 
 
 def percentile_state(pct) -> Column:
-    ext = F.abs(_c(pct) - 50) * 2
-    return F.when(ext >= 90, F.when(_c(pct) >= 50, "hot").otherwise("cold")).when(ext >= 60, F.when(_c(pct) >= 50, "warm").otherwise("cooling")).otherwise("neutral")
+    """hot or warm above the middle, cooling below it, else normal; null: insufficient_history."""
+    stretch, high = F.abs(_c(pct) - 50) * 2, _c(pct) >= 50
+    return F.when(_c(pct).isNull(), "insufficient_history").when(high & (stretch >= 90), "hot").when(high & (stretch >= 60), "warm").when(~high & (stretch >= 60), "cooling").otherwise("normal")
 
 
 def strength_confidence(n, pr, near_term) -> Column:
@@ -138,10 +154,43 @@ def missing_fields(row_fields: dict[str, Column]) -> Column:
 
 
 def vote_of_label(label) -> Column:
-    return (
-        F.when(_c(label).isin("ACCUMULATE", "LEAN_LONG"), "BUY").when(_c(label).isin("AVOID", "LEAN_AVOID"), "AVOID").when(_c(label) == "INSUFFICIENT", "INSUFFICIENT_EVIDENCE").otherwise("WAIT")
-    )
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in LABEL_VOTES.items() for x in kv])[_c(label)], F.lit("WAIT"))
 
 
 def vote_value(vote) -> Column:
     return F.when(_c(vote) == "BUY", 1.0).when(_c(vote) == "AVOID", -1.0).when(_c(vote) == "WAIT", 0.0)
+
+
+def trend_vote(trend) -> Column:
+    return F.when(_c(trend) == "up", "BUY").when(_c(trend) == "down", "AVOID").otherwise("WAIT")
+
+
+def trough_vote(likely_trough_pct) -> Column:
+    """By the depth still expected, in percent: over 10 AVOID, under 3 BUY, between or unknown WAIT."""
+    depth = F.greatest(F.lit(0.0), -_c(likely_trough_pct))
+    return F.when(_c(likely_trough_pct).isNull(), "WAIT").when(depth > 10, "AVOID").when(depth < 3, "BUY").otherwise("WAIT")
+
+
+def strength_vote(flagged, n, pct_reverted, giveback) -> Column:
+    sure = (_c(n) > 0) & (_c(pct_reverted) > 50) & (_c(giveback) < 0)
+    return F.when(~_c(flagged), "BUY").when(sure, "AVOID").otherwise("WAIT")
+
+
+def technicals_vote(reclaim, strong, signature, supply_distance) -> Column:
+    near = F.coalesce(_c(supply_distance) < 6, F.lit(False))
+    buying = _c(signature) == "accumulation"
+    return F.when(_c(reclaim) & _c(strong) & buying, "BUY").when(near & ~buying, "WAIT").when(_c(signature) == "distribution", "AVOID").otherwise("WAIT")
+
+
+def gate_count(signature, reclaim, supply_distance) -> Column:
+    """How many of accumulation, reclaim and clear of supply (further than 6%, or none) hold."""
+    clear = F.coalesce(_c(supply_distance) > 6, F.lit(True))
+    return sum((F.when(g, 1).otherwise(0) for g in (_c(signature) == "accumulation", _c(reclaim), clear)), F.lit(0))
+
+
+def scenario_confidence(n) -> Column:
+    return F.least(F.lit(0.7), 0.7 * _c(n) / 10)
+
+
+def mix_weight(n) -> Column:
+    return 100 * F.least(F.lit(1.0), _c(n) / 10)

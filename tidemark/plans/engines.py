@@ -44,8 +44,8 @@ def find_analogs(bars: DataFrame, dd_band: float = 0.06, ext_band: float = 0.05,
 def relative_strength(bars: DataFrame, bench: DataFrame, windows=(5, 10, 20, 40, 63, 126)) -> DataFrame:
     """symbol, win, current, pct (share of the history strictly below, the last included in the history), z, state: the last day's reading."""
     j = bars.join(bench, "date").withColumn("rel", F.ln("close") - F.ln("bench"))
-    parts = F.explode(F.array(*[F.struct(F.lit(n).alias("win"), (F.col("rel") - F.lag("rel", n).over(series())).alias("r")) for n in windows]))
-    x = j.select("symbol", "date", parts.alias("p")).select("symbol", "date", "p.win", "p.r").where("r is not null")
+    parts = F.array(*[F.struct(F.lit(n).alias("win"), (F.col("rel") - F.lag("rel", n).over(series())).alias("r")) for n in windows])
+    x = j.withColumn("p", parts).select("symbol", "date", F.explode("p").alias("p")).select("symbol", "date", "p.win", "p.r").where("r is not null")
     last = F.last("r").over(W.partitionBy("symbol", "win").orderBy("date").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     g = x.withColumn("cur", last).groupBy("symbol", "win").agg(
         F.count(F.lit(1)).alias("n"), F.first("cur").alias("current"), (F.avg(F.when(F.col("r") < F.col("cur"), 1.0).otherwise(0.0)) * 100).alias("pct"),

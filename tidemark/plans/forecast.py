@@ -125,12 +125,13 @@ def forecast(bars: DataFrame, bench: DataFrame, regime_rows: DataFrame, queries:
     asked = regime_rows.select("symbol", F.col("pos").alias("query_pos"), F.col("date").alias("as_of"), (F.concat_ws("/", *DIMS).contains(UNKNOWN)).alias("unknown"))
     stats = stats.join(asked, ["symbol", "query_pos"]).join(analog.select("symbol", "query_pos", "mean_dist"), ["symbol", "query_pos"], "left")
     shift, density = S.ood(F.col("mean_dist"), len(FEATURES))
-    cons = F.greatest(F.col("p_positive"), 1 - F.col("p_positive"))
     conc = S.is_concentrated(F.col("regimes"), F.col("date_start"), F.col("date_end"))
-    stats = stats.withColumn("concentrated", conc)
-    score = S.compute_confidence(F.col("n"), cons, F.lit(None).cast("double"), F.coalesce(density, F.lit(0.5)), F.col("unknown"), F.coalesce(shift, F.lit(False)), F.lit(False), F.col("concentrated"))
-    stats = stats.withColumn("confidence", score).withColumn("confidence_label", S.forecast_confidence_label(F.col("confidence"), F.col("concentrated")))
-    return stats.withColumn("label", S.recommendation(F.col("n"), F.col("p_positive"), F.col("q50"), F.col("expected_mae"), F.col("confidence_label")))
+    by = W.partitionBy("symbol", "query_pos", "h")
+    p_of = lambda m: F.max(F.when(F.col("model") == m, F.col("p_positive"))).over(by)
+    stats = stats.withColumn("concentrated", conc).withColumn("__a", p_of("analog")).withColumn("__r", p_of("regime"))
+    score = S.compute_confidence(F.col("n"), F.col("p_positive"), F.col("__a"), F.col("__r"), F.coalesce(density, F.lit(0.5)), F.col("unknown"), F.coalesce(shift, F.lit(False)), F.lit(False), F.col("concentrated"))
+    stats = stats.withColumn("confidence", score).withColumn("confidence_label", S.forecast_confidence_label(F.col("confidence"), F.col("concentrated"))).drop("__a", "__r")
+    return stats.withColumn("label", S.recommendation(F.col("n"), F.col("p_positive"), F.col("expected_mae"), F.col("confidence_label")))
 
 
 def regime_replay(bars: DataFrame, bench: DataFrame, regime_rows: DataFrame, queries: DataFrame, horizons=HORIZONS) -> DataFrame:
