@@ -162,7 +162,7 @@ def vote_value(vote) -> Column:
 
 
 def trend_vote(trend) -> Column:
-    return F.when(_c(trend) == "up", "BUY").when(_c(trend) == "down", "AVOID").otherwise("WAIT")
+    return F.when(_c(trend) == "uptrend", "BUY").when(_c(trend) == "downtrend", "AVOID").otherwise("WAIT")
 
 
 def trough_vote(likely_trough_pct) -> Column:

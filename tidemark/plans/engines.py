@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators.alignment import reindex_ffill
 from tidemark.operators.thinning import greedy_thin
 from tidemark.operators.windows import position, rolling, series, trailing, with_streak
 from tidemark.plans.outcomes import forward_paths
-from tidemark.plans.technicals import tail_rank, up_down_volume
+from tidemark.plans.technicals import swing_lows, tail_rank, up_down_volume
 
 
 def annotate_episodes(episodes: DataFrame, library: DataFrame) -> DataFrame:
@@ -70,22 +71,38 @@ def resolution(bars: DataFrame, bench: DataFrame, win: int = 20, horizon: int =
     return hit.join(kept, ["symbol", "pos"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("later") < 0, 1)).alias("fell"))
 
 
-def verdict_triggers(bars: DataFrame, bench: DataFrame) -> DataFrame:
-    """symbol, id, direction, threshold, current, met of the last day: what would raise or lower a verdict."""
-    x = bars.withColumn("ma20", rolling(F.avg, "close", 20)).withColumn("ma200", rolling(F.avg, "close", 200)).withColumn("hi", rolling(F.max, "close", 252, 60))
+def verdict_triggers(bars: DataFrame, bench: DataFrame, troughs: DataFrame | None = None) -> DataFrame:
+    """symbol, id, direction, threshold, current, met: ten conditions of each symbol's last row that would raise or lower a verdict.
+
+    troughs: symbol, q25 (a share) of simulated troughs; without them that trigger has no threshold and isn't met.
+    """
+    w = series()
+    x = reindex_ffill(bars, bench, "bench").withColumn("back", tail_rank())
+    x = x.withColumn("ma20", rolling(F.avg, "close", 20)).withColumn("ma200", rolling(F.avg, "close", 200)).withColumn("hi", rolling(F.max, "close", 252, 60))
     x = with_streak(x, F.col("close") >= F.col("ma20"), "streak").join(up_down_volume(bars), ["symbol", "date"])
-    x = x.withColumn("lo20", F.min("close").over(trailing(20))).withColumn("lo126", F.min("close").over(trailing(126))).withColumn("slope", F.col("ma200") - F.lag("ma200", 20).over(series()))
-    x = x.withColumn("r1", F.col("close") / F.lag("close").over(series()) - 1).withColumn("vol20", rolling(F.stddev_samp, "r1", 20)).withColumn("vol_before", F.lag("vol20", 20).over(series()))
-    x = x.join(bench, "date", "left").withColumn("rel", F.ln("close") - F.ln("bench")).withColumn("rel10", F.col("rel") - F.lag("rel", 10).over(series()))
-    x = x.withColumn("back", tail_rank()).where("back = 1")
-    t = lambda i, way, limit, cur, met: F.struct(F.lit(i).alias("id"), F.lit(way).alias("direction"), F.lit(float(limit)).alias("threshold"), cur.cast("double").alias("current"), F.coalesce(met, F.lit(False)).alias("met"))
-    dd = F.col("close") / F.col("hi") - 1
+    x = x.withColumn("slope", F.col("ma200") - F.lag("ma200", 20).over(w)).withColumn("r1", F.col("close") / F.lag("close").over(w) - 1)
+    x = x.withColumn("vol", rolling(F.stddev_samp, "r1", 20)).withColumn("vol_before", F.lag("vol", 10).over(w))
+    x = x.withColumn("rel", F.ln("close") - F.ln("bench")).withColumn("short", F.col("rel") - F.lag("rel", 10).over(w)).withColumn("long", F.col("rel") - F.lag("rel", 100).over(w))
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    x = x.withColumn("low", F.when(F.col("short") <= F.min("short").over(so_far), position()))
+    x = x.withColumn("quiet", F.when(F.count("short").over(so_far) > 10, position() - F.max("low").over(so_far)).otherwise(0))
+    low20 = lambda c: F.col(c) <= F.min(c).over(trailing(20))
+    x = x.withColumn("breaks", low20("close") & ~low20("bench"))
+    x = x.withColumn("long_low", (F.count("long").over(trailing(126)) >= 126) & (F.col("long") <= F.min("long").over(trailing(126))))
+    lows = swing_lows(bars)
+    x = x.where("back = 1").join(lows.where("rk = 1").select("symbol", F.col("low").alias("latest")), "symbol", "left").join(lows.where("rk = 2").select("symbol", F.col("low").alias("prior")), "symbol", "left")
+    x = x.withColumn("latest", F.when(F.col("prior").isNotNull(), F.col("latest")))
+    x = x.join(troughs.select("symbol", "q25"), "symbol", "left") if troughs is not None else x.withColumn("q25", F.lit(None).cast("double"))
+    number = lambda c: (F.lit(float(c)) if isinstance(c, (int, float)) else c.cast("double"))
+    t = lambda name, way, limit, cur, met: F.struct(F.lit(name).alias("id"), F.lit(way).alias("direction"), number(limit).alias("threshold"), number(cur).alias("current"), F.coalesce(met, F.lit(False)).alias("met"))
+    c, ratio, dd = F.col, F.col("ratio"), F.col("close") / F.col("hi") - 1
     rows = F.array(
-        t("days_above_ma20", "upgrade", 3, F.col("streak"), F.col("streak") >= 3), t("up_down_volume", "upgrade", 1.1, F.col("ratio"), F.col("ratio") >= 1.1),
-        t("volume_ratio_rising", "upgrade", 0, F.col("ratio") - F.col("ratio_5_ago"), F.col("ratio") > F.col("ratio_5_ago")), t("relative_10d_positive", "upgrade", 0, F.col("rel10"), F.col("rel10") > 0),
-        t("volatility_falling", "upgrade", 0, F.col("vol20") - F.col("vol_before"), F.col("vol20") < F.col("vol_before")), t("above_ma200", "upgrade", 0, F.col("close") / F.col("ma200") - 1, F.col("close") >= F.col("ma200")),
-        t("new_low_20", "downgrade", 0, F.col("close") / F.col("lo20") - 1, F.col("close") <= F.col("lo20")), t("new_low_126", "downgrade", 0, F.col("close") / F.col("lo126") - 1, F.col("close") <= F.col("lo126")),
-        t("ma200_falling", "downgrade", 0, F.col("slope"), F.col("slope") < 0), t("drawdown_20pct", "downgrade", -0.2, dd, dd <= -0.2),
+        t("above_ma20_3d", "upgrade", 3, c("streak"), c("streak") >= 3), t("higher_swing_low", "upgrade", c("prior"), c("latest"), c("latest") > c("prior")),
+        t("rs_short_stops_new_lows", "upgrade", 5, c("quiet"), c("quiet") >= 5), t("updown_vol_ratio_above_1.2", "upgrade", 1.2, ratio, ratio >= 1.2),
+        t("vol20d_falling_above_low", "upgrade", c("vol_before"), c("vol"), (c("vol") < c("vol_before")) & (c("close") >= c("latest"))),
+        t("new_low_benchmark_holds", "downgrade", 1, F.when(c("breaks"), 1).otherwise(0), c("breaks")), t("ma200_slope_negative", "downgrade", 0, c("slope"), c("slope") < 0),
+        t("updown_vol_ratio_below_0.6_falling", "downgrade", 0.6, ratio, (ratio < 0.6) & (ratio < c("ratio_5_ago"))), t("drawdown_beyond_mc_p25", "downgrade", c("q25"), dd, dd < c("q25")),
+        t("rs_long_new_6mo_low", "downgrade", 1, F.when(c("long_low"), 1).otherwise(0), c("long_low")),
     )
     return x.select("symbol", F.explode(rows).alias("t")).select("symbol", "t.*")
 

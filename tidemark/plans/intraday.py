@@ -35,18 +35,26 @@ def reclaim_gate(bars: DataFrame, now: str) -> DataFrame:
     return x.where("back = 1").select("symbol", "bar_ts", F.coalesce(ok, F.lit(False)).alias("open"))
 
 
-def flush_reclaim(bars: DataFrame, tail: int = 60) -> DataFrame:
-    """symbol -> flush, stall, reclaimed: a wide, heavy bar whose low holds for four bars, and a close above VWAP."""
-    x = vwap_running(bars).withColumn("date", F.col("bar_ts")).withColumn("back", tail_rank()).where(F.col("back") <= tail)
-    by = W.partitionBy("symbol")
-    x = x.withColumn("range", F.col("high") - F.col("low")).withColumn("avg_range", F.avg("range").over(by)).withColumn("avg_vol", F.avg("volume").over(by))
-    x = x.withColumn("is_flush", (F.col("range") > 2 * F.col("avg_range")) & (F.col("volume") > 1.5 * F.col("avg_vol")))
-    first = F.max(F.when(F.col("is_flush"), F.col("back"))).over(by)
-    x = x.withColumn("at", first).withColumn("flush_low", F.max(F.when(F.col("back") == F.col("at"), F.col("low"))).over(by))
-    g = x.groupBy("symbol").agg(
-        F.max("at").alias("at"), F.min(F.when(F.col("back").between(F.col("at") - 4, F.col("at") - 1), F.col("low"))).alias("after_low"), F.max("flush_low").alias("flush_low"),
-        F.min_by("close", "back").alias("close"), F.min_by("vwap", "back").alias("vwap"),
+def flush_reclaim(bars: DataFrame, daily_range: DataFrame, stall_bars: int = 4) -> DataFrame:
+    """symbol, session -> flush, stall, reclaimed, strong, stage: the session's first bar wider than twice the daily range measure
+    (symbol, atr) on twice the mean volume; its low holding for the next bars; the last close above the running VWAP, on rising
+    volume and price. Sessions with fewer than stall_bars + 2 bars are left out."""
+    day = W.partitionBy("symbol", "session").orderBy("bar_ts")
+    whole = W.partitionBy("symbol", "session")
+    run = day.rowsBetween(W.unboundedPreceding, 0)
+    vwap = F.try_divide(F.sum(F.col("close") * F.col("volume")).over(run), F.sum("volume").over(run))
+    x = bars.join(daily_range.select("symbol", "atr"), "symbol").withColumn("vwap", vwap).withColumn("i", F.row_number().over(day)).withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("mean", F.avg("volume").over(whole))
+    x = x.where(F.col("n") >= stall_bars + 2)
+    x = x.withColumn("f", F.min(F.when((F.col("high") - F.col("low") > 2 * F.col("atr")) & (F.col("volume") > 2 * F.col("mean")), F.col("i"))).over(whole))
+    after = F.col("i") > F.col("f")
+    g = x.groupBy("symbol", "session").agg(
+        F.max("f").alias("f"), F.max("n").alias("n"), F.min(F.when(F.col("i") == F.col("f"), F.col("low"))).alias("flush_low"), F.min(F.when(after & (F.col("i") <= F.col("f") + stall_bars), F.col("low"))).alias("after_low"),
+        *[F.max_by(c, "i").alias(c) for c in ("close", "vwap", "volume")], F.max(F.when(F.col("i") == F.col("n") - 1, F.col("close"))).alias("close_b"), F.max(F.when(F.col("i") == F.col("n") - 1, F.col("volume"))).alias("volume_b"),
     )
-    flush = F.col("at").isNotNull()
-    stall = flush & F.coalesce(F.col("after_low") >= F.col("flush_low"), F.lit(False))
-    return g.select("symbol", flush.alias("flush"), stall.alias("stall"), (stall & F.coalesce(F.col("close") > F.col("vwap"), F.lit(False))).alias("reclaimed"))
+    no, left = F.lit(False), F.col("n") - F.col("f")
+    flush = F.col("f").isNotNull()
+    stall = F.coalesce((left >= stall_bars) & (F.col("after_low") >= F.col("flush_low")), no)
+    back = F.coalesce((left >= 1) & (F.col("close") > F.col("vwap")), no)
+    strong = back & F.coalesce((left >= 2) & (F.col("volume") > F.col("volume_b")) & (F.col("close") > F.col("close_b")), no)
+    stage = F.when(back, "reclaim").when(stall, "stall").when(flush, "flush").otherwise("none")
+    return g.select("symbol", "session", flush.alias("flush"), stall.alias("stall"), back.alias("reclaimed"), strong.alias("strong"), stage.alias("stage"))

@@ -79,22 +79,52 @@ def reclaims(spark, d):
     return T.reclaim(M.daily_bars(spark, d))
 
 
-@query("e03_e06_technical_read")
+_IND = f"""dl AS (SELECT symbol, date, close - lag(close) OVER w AS dd FROM bars {SW}), dz AS (SELECT symbol, date, greatest(dd, 0) AS up, greatest(-dd, 0) AS dn FROM dl WHERE dd IS NOT NULL),
+  ru AS {_ewm_sql('up', 1 / 14, 'dz', 'symbol, date')}, rd AS {_ewm_sql('dn', 1 / 14, 'dz', 'symbol, date')}, mf AS {_ewm_sql('close', 2 / 13, 'bars', 'symbol, date')}, ms AS {_ewm_sql('close', 2 / 27, 'bars', 'symbol, date')},
+  mm AS (SELECT mf.symbol, mf.date, mf.y - ms.y AS macd FROM mf JOIN ms ON mf.symbol = ms.symbol AND mf.date = ms.date), mg AS {_ewm_sql('macd', 2 / 10, 'mm', 'symbol, date, macd')},
+  tr AS (SELECT symbol, date, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars {SW}), at_ AS {_ewm_sql('tr', 1 / 14, 'tr', 'symbol, date')}"""
+
+
+@query(
+    "e03_e06_technical_read",
+    f"""WITH {B}, {_IND}, x AS (SELECT b.symbol, b.date, close, 100 - 100 / (1 + ru.y / rd.y) AS rsi, macd - mg.y AS histogram, at_.y AS atr, {_ma(50)} AS ma50, {_ma(200)} AS ma200, {_ma(50, 'high', 'max')} AS res50, {_ma(50, 'low', 'min')} AS sup50
+        FROM (SELECT * FROM bars) b LEFT JOIN ru USING (symbol, date) LEFT JOIN rd USING (symbol, date) LEFT JOIN mg USING (symbol, date) LEFT JOIN at_ USING (symbol, date)),
+      y AS (SELECT *, histogram > lag(histogram) OVER w AS macd_rising, close > lag(close, 39) OVER w AND rsi < lag(rsi, 39) OVER w AND rsi < 60 AS divergence, {_TAIL} FROM x {SW}),
+      z AS (SELECT *, CASE WHEN close >= ma50 AND close >= ma200 AND ma50 >= ma200 THEN 'uptrend' WHEN close < ma50 AND close < ma200 AND ma50 < ma200 THEN 'downtrend' ELSE 'mixed' END AS trend FROM y WHERE back = 1)
+    SELECT symbol, date, close, trend, rsi AS rsi_a, rsi AS rsi_b, histogram, macd_rising, divergence, atr, res50, sup50, CASE trend WHEN 'uptrend' THEN 'BUY' WHEN 'downtrend' THEN 'AVOID' ELSE 'WAIT' END AS vote FROM z""",
+    "close rsi_a rsi_b histogram atr res50 sup50",
+)
 def read(spark, d):
     return T.technical_read(M.daily_bars(spark, d))
 
 
-@query("w27_flush_gate")
+@query(
+    "w27_flush_gate",
+    f"""WITH {IN}, rg AS (SELECT symbol, avg(high - low) / 4 AS atr FROM intraday GROUP BY symbol),
+      x AS (SELECT i.*, atr, sum(close * volume) OVER r / sum(volume) OVER r AS vwap, row_number() OVER r AS i, count(*) OVER s AS n, avg(volume) OVER s AS mean FROM intraday i JOIN rg USING (symbol) WINDOW r AS (PARTITION BY symbol, session ORDER BY bar_ts), s AS (PARTITION BY symbol, session)),
+      y AS (SELECT *, min(CASE WHEN high - low > 2 * atr AND volume > 2 * mean THEN i END) OVER (PARTITION BY symbol, session) AS f FROM x WHERE n >= 6),
+      g AS (SELECT symbol, session, any_value(f) AS f, any_value(n) AS n, min(low) FILTER (i = f) AS fl, min(low) FILTER (i > f AND i <= f + 4) AS al, arg_max(close, i) AS c, arg_max(vwap, i) AS vw, arg_max(volume, i) AS v, max(close) FILTER (i = n - 1) AS cb, max(volume) FILTER (i = n - 1) AS vb FROM y GROUP BY symbol, session),
+      h AS (SELECT symbol, session, f IS NOT NULL AS flush, coalesce(n - f >= 4 AND al >= fl, false) AS stall, coalesce(n - f >= 1 AND round(c - vw, 9) > 0, false) AS reclaimed, coalesce(n - f >= 2 AND v > vb AND c > cb, false) AS up FROM g)
+    SELECT symbol, session, flush, stall, reclaimed, reclaimed AND up AS strong, CASE WHEN reclaimed THEN 'reclaim' WHEN stall THEN 'stall' WHEN flush THEN 'flush' ELSE 'none' END AS stage FROM h""",
+)
 def flush(spark, d):
-    return I.flush_reclaim(M.intraday_bars(spark, d))
+    bars = M.intraday_bars(spark, d)
+    return I.flush_reclaim(bars, bars.groupBy("symbol").agg((F.avg(F.col("high") - F.col("low")) / 4).alias("atr")))
 
 
-@query("e18_e24_reclaim_gate")
+_INB = "ib AS (SELECT *, bar_ts AS date FROM intraday WHERE bar_ts + INTERVAL 15 minutes <= TIMESTAMP '2024-01-20 10:07:00')"
+
+
+@query(
+    "e18_e24_reclaim_gate",
+    f"""WITH {IN}, {_INB}, mf AS {_ewm_sql('close', 2 / 13, 'ib', 'symbol, date')}, ms AS {_ewm_sql('close', 2 / 27, 'ib', 'symbol, date')}, mm AS (SELECT mf.symbol, mf.date, mf.y - ms.y AS macd FROM mf JOIN ms ON mf.symbol = ms.symbol AND mf.date = ms.date),
+      mg AS {_ewm_sql('macd', 2 / 10, 'mm', 'symbol, date, macd')}, x AS (SELECT symbol, date, close, volume, sum((high + low + close) / 3 * volume) OVER (PARTITION BY symbol, session ORDER BY date) / sum(volume) OVER (PARTITION BY symbol, session ORDER BY date) AS vwap, lag(volume) OVER (PARTITION BY symbol ORDER BY date) AS before, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back FROM ib)
+    SELECT x.symbol, x.date AS bar_ts, coalesce(close > vwap AND volume >= before AND macd - mg.y > 0, false) AS open FROM x JOIN mg ON mg.symbol = x.symbol AND mg.date = x.date WHERE back = 1""",
+)
 def gate(spark, d):
-    return I.reclaim_gate(M.intraday_bars(spark, d), "2024-01-20 10:07:00")
+    return I.reclaim_gate(M.intraday_bars(spark, d), "2024-01-20 10:07:00").withColumn("bar_ts", F.col("bar_ts").cast("timestamp_ntz"))
 
 
-_RS = ", ".join(f"({n}, rel - lag(rel, {n}) OVER w)" for n in (5, 10, 20, 40, 63, 126))
 RS_SQL = f"""{B}, {BE}, j AS (SELECT symbol, date, ln(close) - ln(bench) AS rel FROM bars JOIN bench USING (date)),
   x AS ({' UNION ALL '.join(f"SELECT symbol, date, {n} AS win, rel - lag(rel, {n}) OVER w AS r FROM j {SW}" for n in (5, 10, 20, 40, 63, 126))}),
   c AS (SELECT *, arg_max(r, date) OVER (PARTITION BY symbol, win) AS cur FROM x WHERE r IS NOT NULL),
@@ -147,7 +177,24 @@ def handoff(spark, d):
     return E.handoff_text(E.annotate_episodes(b.where(F.dayofmonth("date").isin(15, 16)), lib))
 
 
-@query("e09_verdict_triggers")
+@query(
+    "e09_verdict_triggers",
+    f"""WITH {B}, {BE}, al AS (SELECT symbol, date, close, volume, low, last_value(bench IGNORE NULLS) OVER w AS bench, row_number() OVER w AS rn, {_TAIL} FROM bars LEFT JOIN bench USING (date) {SW}),
+      a AS (SELECT *, close - lag(close) OVER w AS dd, close / lag(close) OVER w - 1 AS r1, coalesce(close >= ({_ma(20)}), false) AS up, {_ma(200)} AS ma200, close / ({_ma(252, 'close', 'max', 60)}) - 1 AS draw, ln(close) - ln(bench) AS rel FROM al {SW}),
+      b AS (SELECT *, rn - coalesce(max(CASE WHEN NOT up THEN rn END) OVER w, 0) AS streak, ma200 - lag(ma200, 20) OVER w AS slope, {_ma(20, 'r1', 'stddev_samp')} AS vol, rel - lag(rel, 10) OVER w AS short, rel - lag(rel, 100) OVER w AS long,
+        coalesce(sum(volume) FILTER (dd >= 0) OVER q, 0) / sum(volume) FILTER (dd < 0) OVER q AS ratio, close <= min(close) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING) AND NOT bench <= min(bench) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING) AS breaks FROM a {SW}, q AS (PARTITION BY symbol ORDER BY date ROWS 9 PRECEDING)),
+      c AS (SELECT *, lag(vol, 10) OVER w AS vol_b, lag(ratio, 5) OVER w AS ratio_b, CASE WHEN short <= min(short) OVER w THEN rn END AS lowrn, count(long) OVER h >= 126 AND long <= min(long) OVER h AS long_low FROM b {SW}, h AS (PARTITION BY symbol ORDER BY date ROWS 125 PRECEDING)),
+      e AS (SELECT *, rn - max(lowrn) OVER w AS quiet FROM c {SW}),
+      sx AS (SELECT symbol, date, low, min(low) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS m, {_TAIL} FROM bars), sy AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rk FROM sx WHERE low = m AND back BETWEEN 6 AND 55),
+      sw AS (SELECT symbol, max(low) FILTER (rk = 1) AS latest, max(low) FILTER (rk = 2) AS prior FROM sy GROUP BY symbol), l AS (SELECT e.*, CASE WHEN prior IS NOT NULL THEN latest END AS latest, prior FROM e LEFT JOIN sw USING (symbol) WHERE back = 1)
+    SELECT symbol, t.id, t.direction, t.threshold, t.current, coalesce(t.met, false) AS met FROM (SELECT symbol, unnest([
+      {{'id': 'above_ma20_3d', 'direction': 'upgrade', 'threshold': 3.0::DOUBLE, 'current': streak::DOUBLE, 'met': streak >= 3}}, {{'id': 'higher_swing_low', 'direction': 'upgrade', 'threshold': prior, 'current': latest, 'met': latest > prior}},
+      {{'id': 'rs_short_stops_new_lows', 'direction': 'upgrade', 'threshold': 5.0, 'current': quiet::DOUBLE, 'met': quiet >= 5}}, {{'id': 'updown_vol_ratio_above_1.2', 'direction': 'upgrade', 'threshold': 1.2, 'current': ratio, 'met': ratio >= 1.2}},
+      {{'id': 'vol20d_falling_above_low', 'direction': 'upgrade', 'threshold': vol_b, 'current': vol, 'met': vol < vol_b AND close >= latest}}, {{'id': 'new_low_benchmark_holds', 'direction': 'downgrade', 'threshold': 1.0, 'current': breaks::INT::DOUBLE, 'met': breaks}},
+      {{'id': 'ma200_slope_negative', 'direction': 'downgrade', 'threshold': 0.0, 'current': slope, 'met': slope < 0}}, {{'id': 'updown_vol_ratio_below_0.6_falling', 'direction': 'downgrade', 'threshold': 0.6, 'current': ratio, 'met': ratio < 0.6 AND ratio < ratio_b}},
+      {{'id': 'drawdown_beyond_mc_p25', 'direction': 'downgrade', 'threshold': NULL, 'current': draw, 'met': false}}, {{'id': 'rs_long_new_6mo_low', 'direction': 'downgrade', 'threshold': 1.0, 'current': long_low::INT::DOUBLE, 'met': long_low}}]) AS t FROM l)""",
+    "threshold current",
+)
 def vtriggers(spark, d):
     return E.verdict_triggers(M.daily_bars(spark, d), M.benchmark(spark, d))
 
@@ -448,7 +495,7 @@ def scalars(spark, d):
 )
 def votes(spark, d):
     k = F.col("o_orderkey")
-    trend = F.when(k % 3 == 0, "up").when(k % 3 == 1, "down").otherwise("mixed")
+    trend = F.when(k % 3 == 0, "uptrend").when(k % 3 == 1, "downtrend").otherwise("mixed")
     sign = F.when(k % 2 == 0, "accumulation").otherwise("balanced")
     return M.table(spark, d, "orders").select(
         "o_orderkey", S.trend_vote(trend).alias("trend_vote"), S.trough_vote(-(k % 15).cast("double")).alias("trough_vote"), S.gate_count(sign, k % 5 == 0, (k % 13).cast("double")).alias("gates"), S.scenario_confidence(k % 14).alias("confidence"), S.mix_weight(k % 14).alias("weight"),

@@ -116,13 +116,17 @@ def reclaim(bars: DataFrame, window: int = 13) -> DataFrame:
 
 
 def technical_read(bars: DataFrame) -> DataFrame:
-    """The last row of each symbol with its readings and vote."""
+    """The last row of each symbol with its readings: trend against both averages and their order, momentum, levels, vote."""
     x = atr(macd(rsi(bars)))
-    for n in (20, 50, 200):
+    for n in (50, 200):
         x = x.withColumn(f"ma{n}", rolling(F.avg, "close", n))
-    x = x.withColumn("res50", rolling(F.max, "high", 50)).withColumn("sup50", rolling(F.min, "low", 50)).withColumn("back", tail_rank()).where("back = 1")
-    trend = F.when(F.col("ma200").isNull(), "unknown").when((F.col("close") > F.col("ma50")) & (F.col("ma50") > F.col("ma200")), "up").when((F.col("close") < F.col("ma50")) & (F.col("ma50") < F.col("ma200")), "down").otherwise("mixed")
-    momentum = F.when(F.col("rsi_a") >= 70, "overbought").when(F.col("rsi_a") <= 30, "oversold").otherwise("neutral")
-    vote = F.when(F.col("trend") == "up", "BUY").when(F.col("trend") == "down", "AVOID").when(F.col("trend") == "mixed", "WAIT").otherwise("INSUFFICIENT_EVIDENCE")
-    x = x.withColumn("trend", trend).withColumn("momentum", momentum).withColumn("vote", vote)
-    return x.select("symbol", "date", "close", "trend", "momentum", "rsi_b", "histogram", "atr", "res50", "sup50", "vote")
+    w = series()
+    x = x.withColumn("res50", rolling(F.max, "high", 50)).withColumn("sup50", rolling(F.min, "low", 50)).withColumn("macd_rising", F.coalesce(F.col("histogram") > F.lag("histogram").over(w), F.lit(False)))
+    diverges = (F.col("close") > F.lag("close", 39).over(w)) & (F.col("rsi_a") < F.lag("rsi_a", 39).over(w)) & (F.col("rsi_a") < 60)
+    x = x.withColumn("divergence", F.coalesce(diverges, F.lit(False))).withColumn("back", tail_rank()).where("back = 1")
+    a, b, g = F.col("close") >= F.col("ma50"), F.col("close") >= F.col("ma200"), F.col("ma50") >= F.col("ma200")
+    short = F.when(a, "uptrend").otherwise("downtrend")
+    trend = F.when(F.col("ma50").isNull(), "unknown").when(F.col("ma200").isNull(), short).when(a & b & g, "uptrend").when(~a & ~b & ~g, "downtrend").otherwise("mixed")
+    x = x.withColumn("trend", trend)
+    vote = F.when(F.col("trend") == "uptrend", "BUY").when(F.col("trend") == "downtrend", "AVOID").otherwise("WAIT")
+    return x.select("symbol", "date", "close", "trend", "rsi_a", "rsi_b", "histogram", "macd_rising", "divergence", "atr", "res50", "sup50", vote.alias("vote"))
