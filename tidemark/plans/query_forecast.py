@@ -152,7 +152,7 @@ def outcomes(spark, d):
     return FC.score_outcomes(forecasts(spark, d), M.daily_bars(spark, d), M.benchmark(spark, d))
 
 
-@query("e16_outcome_scoring", f"WITH {FORECASTS_SQL}, {OUTCOMES_SQL} SELECT forecast_id, symbol, h, entry_date, ret, excess, mae, mfe, event, covered, brier, log_loss FROM oc", "ret excess mae mfe brier log_loss")
+@query("e16_f15_outcome_scoring", f"WITH {FORECASTS_SQL}, {OUTCOMES_SQL} SELECT forecast_id, symbol, h, entry_date, ret, excess, mae, mfe, event, covered, brier, log_loss FROM oc", "ret excess mae mfe brier log_loss")
 def scoring(spark, d):
     return outcomes(spark, d)
 

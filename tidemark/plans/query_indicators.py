@@ -151,7 +151,7 @@ def rng_seed(spark, d):
 
 
 @query(
-    "io23_universe_merge",
+    "io23_s04_universe_merge",
     """WITH u AS (SELECT p_brand AS ticker, 0 AS src FROM part UNION ALL SELECT p_type, 1 FROM part UNION ALL SELECT p_brand, 2 FROM part)
     SELECT ticker, min(src)::INT AS src FROM u GROUP BY ticker""",
 )

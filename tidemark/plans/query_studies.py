@@ -199,7 +199,7 @@ def vtriggers(spark, d):
     return E.verdict_triggers(M.daily_bars(spark, d), M.benchmark(spark, d))
 
 
-@query("e04_a19_bottom_scenarios")
+@query("e04_a19_w32_bottom_scenarios")
 def scenarios(spark, d):
     return E.trough_summary(E.bottom_scenarios(M.daily_bars(spark, d), sims=500))
 
@@ -401,7 +401,7 @@ def months(spark, d):
 
 
 @query(
-    "e17_deployment_ladder",
+    "e17_f18_deployment_ladder",
     f"""WITH {REGIMES_SQL}, ev(e, note) AS (VALUES (DATE '1995-06-01', 'SEP'), (DATE '1998-06-01', NULL)), cj AS (SELECT date, credit, credit - lag(credit, 21) OVER (ORDER BY date) AS jump FROM credit),
       x AS (SELECT b.symbol, b.date, b.close, {_ma(20, 'b.close', 'max').replace('symbol', 'b.symbol').replace('ORDER BY date', 'ORDER BY b.date')} AS high20, vix_label = 'stressed' AND trend = 'below' AND credit_label = 'widening' AS brk, c.credit, c.jump
         FROM bars b JOIN rg USING (symbol, date) LEFT JOIN cj c ON c.date = b.date),
@@ -429,7 +429,7 @@ def folds(spark, d):
     return V.purged_folds(spark, 1003, 3, 5, 21, 100)
 
 
-@query("r09_hmm_states")
+@query("r09_f23_hmm_states")
 def hmm(spark, d):
     return V.hmm_regimes(V.hmm_features(M.benchmark(spark, d), M.credit(spark, d)))
 
@@ -442,7 +442,7 @@ def walk_forward(spark, d):
 # ---- scalar functions over orders and line items
 
 @query(
-    "f01_f03_deflation",
+    "f01_f02_f03_deflation",
     """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity AS n, 0.5 + 4 * l_discount AS c, l_linenumber * 6 AS s FROM lineitem), z AS (SELECT *, (c - 0.5) / sqrt(0.25 / n) AS z, sqrt(2 * ln(greatest(s, 2))) AS zc FROM x)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, z, zc, CASE WHEN z > 0 THEN greatest(z - zc, 0) / (greatest(z - zc, 0) + zc) ELSE 0 END AS factor FROM z""",
     "l_extendedprice z zc factor",
@@ -471,7 +471,7 @@ def confidence(spark, d):
 
 
 @query(
-    "f08_f17_scalars",
+    "f08_f13_f14_f16_scalars",
     """SELECT o_orderkey, CASE WHEN o_orderkey % 20 < 8 THEN 'INSUFFICIENT_EVIDENCE' WHEN (o_orderkey % 11) / 20.0 - 0.25 <= -0.08 OR -((o_orderkey % 7) / 40.0) < -0.12 THEN 'AVOID' WHEN (o_orderkey % 11) / 20.0 - 0.25 >= 0.08 THEN 'BUY' ELSE 'WAIT' END AS verdict,
       0.02 / (o_totalprice / 1000000 * sqrt(20 / 252.0)) AS per_vol, (o_orderkey % 9)::DOUBLE > sqrt(15) AS ood, greatest(0, least(1, 1 - (o_orderkey % 9) / (2 * sqrt(15)))) AS density, pow((o_orderkey % 11) / 10.0 - (o_orderkey % 2 = 0)::INT, 2) AS brier,
       -CASE WHEN o_orderkey % 2 = 0 THEN ln(greatest(1e-6, least(1 - 1e-6, (o_orderkey % 11) / 10.0))) ELSE ln(1 - greatest(1e-6, least(1 - 1e-6, (o_orderkey % 11) / 10.0))) END AS log_loss, o_orderkey % 12 >= 8 AS blowout FROM orders""",
@@ -488,7 +488,7 @@ def scalars(spark, d):
 
 
 @query(
-    "f20_f22_votes",
+    "f20_f21_f22_votes",
     """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'BUY' WHEN 1 THEN 'AVOID' ELSE 'WAIT' END AS trend_vote, CASE WHEN o_orderkey % 15 > 10 THEN 'AVOID' WHEN o_orderkey % 15 < 3 THEN 'BUY' ELSE 'WAIT' END AS trough_vote,
       ((o_orderkey % 2 = 0)::INT + (o_orderkey % 5 = 0)::INT + (o_orderkey % 13 > 6)::INT)::INT AS gates, least(0.7, 0.7 * (o_orderkey % 14) / 10.0) AS confidence, 100 * least(1.0, (o_orderkey % 14) / 10.0) AS weight FROM orders""",
     "confidence weight",

@@ -37,5 +37,6 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
 from tidemark.plans import (  # noqa: E402,F401  each module registers its queries
     query_forecast,
     query_indicators,
+    query_store,
     query_studies,
 )
