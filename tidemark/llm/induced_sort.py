@@ -92,13 +92,10 @@ class DiskQueue:
             return rows
         if not self.held:
             return None
-        rows = self.blocks.pop(0)
-        self.held -= len(rows)
-        if len(rows) > BLOCK:
-            self.blocks.insert(0, rows[BLOCK:])
-            self.held += len(rows) - BLOCK
-            rows = rows[:BLOCK]
-        return rows
+        rows = self.blocks[0] if len(self.blocks) == 1 else np.concatenate(self.blocks)  # many small pushes make one block
+        self.blocks = [rows[BLOCK:]] if len(rows) > BLOCK else []
+        self.held = max(0, len(rows) - BLOCK)
+        return rows[:BLOCK]
 
     def drop(self) -> None:
         if self.file is not None:
