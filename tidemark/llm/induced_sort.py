@@ -30,6 +30,8 @@ from collections.abc import Iterator
 import numpy as np
 
 BLOCK = 1 << 15
+#: What sorting a reduced string in memory takes for each of its characters.
+SORT_BYTES = 72
 NONE = np.int32(1 << 30)
 
 
@@ -276,15 +278,15 @@ def _induce(text, is_s, run, starts, start_lcp, store: Store, memory: int, cap:
 def _doubling(names: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, common prefixes) of a string's suffixes by their first `limit` characters at least; in memory."""
     n = len(names)
-    levels = [names.astype(np.int64) + 1]
+    kind = np.int32 if n < 1 << 30 else np.int64
+    levels = [(names + 1).astype(kind)]
     width = 1
     while width < limit and int(levels[-1].max()) < n:
-        rank = levels[-1]
-        shifted = np.zeros(n, np.int64)
+        pairs = levels[-1].astype(np.int64) * (n + 2)
         if width < n:
-            shifted[: n - width] = rank[width:]
-        _, rank = np.unique(rank * (n + 2) + shifted, return_inverse=True)
-        levels.append(rank.astype(np.int64) + 1)
+            pairs[: n - width] += levels[-1][width:]
+        _, rank = np.unique(pairs, return_inverse=True)
+        levels.append((rank + 1).astype(kind))
         width *= 2
     order = np.argsort(levels[-1], kind="stable")
     a, b = order[:-1].copy(), order[1:].copy()
@@ -430,7 +432,7 @@ def _sorted_starts(text, is_s, store: Store, memory: int, cap: int) -> tuple[np.
     names[order] = np.concatenate([[0], np.cumsum(~same)])
     if int(names.max()) + 1 == len(starts):
         reduced, shared = np.argsort(names, kind="stable"), np.zeros(len(starts), np.int32)
-    elif len(starts) * 8 * 12 <= memory:
+    elif len(starts) * SORT_BYTES <= memory:
         reduced, shared = _doubling(names, cap)
     else:
         reduced, shared = _by_heap(names, store, memory, cap)

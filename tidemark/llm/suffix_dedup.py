@@ -32,8 +32,8 @@ from tidemark.llm.induced_sort import repeated_positions
 LENGTH = 400
 GRAM = 160
 #: Bytes of context for one shard, on average; and what its sort may hold in memory.
-SHARD_BYTES = 4 << 20
-MEMORY = 96 << 20
+SHARD_BYTES = 2 << 20
+MEMORY = 128 << 20
 #: An anchor with more occurrences than this is counted by context before it is moved.
 HOT = 100_000
 RUN_BYTES = 1 << 20
