@@ -35,7 +35,7 @@ GRAM = 160
 SHARD_BYTES = 2 << 20
 MEMORY = 128 << 20
 #: An anchor with more occurrences than this is counted by context before it is moved.
-HOT = 100_000
+HOT = 4096
 RUN_BYTES = 1 << 20
 OUT = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
 
@@ -107,11 +107,21 @@ def _runs_batch(keys: list, texts: list, length: int, gram: int) -> Iterator[pa.
             return
         offsets = np.cumsum([0] + [len(g[2]) for g in group[:-1]])
         shift = np.array([g[1] for g in group]) - offsets
-        digests = [hashlib.blake2b(data[a : b + length], digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist())]
+        digests = np.array([hashlib.blake2b(data[a : b + length], digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist())], "S16")
+        # runs of one context that follow or overlap in a document (periodic text) are one row
+        order = np.lexsort((first, anchors, which))
+        which, first, last, anchors, digests = which[order], first[order], last[order], anchors[order], digests[order]
+        new = np.ones(len(which), bool)
+        new[1:] = (which[1:] != which[:-1]) | (anchors[1:] != anchors[:-1]) | (digests[1:] != digests[:-1]) | (first[1:] > last[:-1] + length)
+        begin = np.flatnonzero(new)
+        count = np.diff(np.append(begin, len(which)))
+        stop = last[np.append(begin[1:], len(which)) - 1]
+        which, first, n, anchors = which[begin], first[begin], (last - first)[begin], anchors[begin]
+        digests = [d.ljust(16, b"\0") for d in digests[begin].tolist()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(anchors.view(np.int64)), pa.array(digests, pa.binary()), pa.array([group[i][0] for i in which.tolist()], pa.binary()),
-             pa.array(first + shift[which]), pa.array(last + shift[which])],
-            ["anchor", "ctx", "doc", "a", "b"],
+             pa.array(first + shift[which]), pa.array(stop + shift[which]), pa.array(n), pa.array(count)],
+            ["anchor", "ctx", "doc", "a", "b", "n", "c"],
         )
 
     for key, text in zip(keys, texts):
@@ -129,27 +139,29 @@ def _runs_batch(keys: list, texts: list, length: int, gram: int) -> Iterator[pa.
 
 
 def _counted(runs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Runs whose anchor occurs again, with copies (rows of the context), contexts (different ones of the anchor) and lead
-    (one row of each context). Of a context's rows for one (doc, a) any number may stay."""
-    often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor")
+    """Runs whose anchor occurs again, with copies (occurrences of the context), contexts (different ones of the anchor) and
+    lead (one row of each context)."""
+    often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("anchor")
     often = scratch.small(often, "hot-anchors")  # at most one for every HOT runs
     plain = runs.join(often, "anchor", "left_anti")
     by_ctx = W.partitionBy("anchor", "ctx")
     plain = (
         plain.withColumn("rn", F.row_number().over(by_ctx.orderBy("doc", "a")))
-        .withColumn("n", F.count(F.lit(1)).over(W.partitionBy("anchor")))
-        .where("n > 1")
-        .withColumn("copies", F.count(F.lit(1)).over(by_ctx))
+        .withColumn("all", F.sum("c").over(W.partitionBy("anchor")))
+        .where(F.col("all") > 1)
+        .withColumn("copies", F.sum("c").over(by_ctx))
         .withColumn("contexts", F.sum(F.when(F.col("rn") == 1, 1)).over(W.partitionBy("anchor")))
-        .select("anchor", "ctx", "doc", "a", "b", "copies", "contexts", (F.col("rn") == 1).alias("lead"))
+        .select("anchor", "ctx", "doc", "a", "b", "n", "copies", "contexts", (F.col("rn") == 1).alias("lead"))
     )
     if often.isEmpty():
         return plain
-    hot = runs.join(often, "anchor")
-    per = hot.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "a")).alias("first"))
-    many = per.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"))
-    hot = hot.join(per.join(many, "anchor"), ["anchor", "ctx"])
-    return plain.unionByName(hot.select("anchor", "ctx", "doc", "a", "b", "copies", "contexts", (F.struct("doc", "a") == F.col("first")).alias("lead")))
+    hot = runs.join(often, "anchor").groupBy("anchor", "ctx", "doc", "a", "b", "n").agg(F.sum("c").alias("c"))  # equal documents become one
+    hot = scratch.table(hot, "hot-runs")
+    per = hot.groupBy("anchor", "ctx").agg(F.sum("c").alias("copies"), F.min(F.struct("doc", "a")).alias("first"))
+    per = scratch.table(per, "hot-contexts")
+    many = scratch.small(per.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")), "hot-counts")
+    hot = hot.join(scratch.small(per.join(many, "anchor"), "hot-totals"), ["anchor", "ctx"])
+    return plain.unionByName(hot.select("anchor", "ctx", "doc", "a", "b", "n", "copies", "contexts", (F.struct("doc", "a") == F.col("first")).alias("lead")))
 
 
 def _sort_shards(length: int):
@@ -194,7 +206,8 @@ def _sort_shards(length: int):
 
 
 def repeated_runs(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """texts (doc binary digest, text binary; one row per document) -> (doc, a, b): positions a..b whose strings start elsewhere, too."""
+    """texts (doc binary digest, text binary; one row per document) -> (doc, a, b): the strings that start at a..b cover
+    nothing but bytes of strings that start elsewhere, too."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,10 +216,10 @@ def repeated_runs(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gram
                 yield from _runs_batch(part.column(0).to_pylist(), part.column(1).to_pylist(), length, gram)
 
     long_enough = texts.where(F.octet_length("text") >= length)
-    runs = scratch.table(long_enough.select("doc", "text").mapInArrow(find, "anchor long, ctx binary, doc binary, a long, b long"), "runs")
+    runs = scratch.table(long_enough.select("doc", "text").mapInArrow(find, "anchor long, ctx binary, doc binary, a long, b long, n long, c long"), "runs")
     again = scratch.table(_counted(runs, scratch).where("copies > 1 or (contexts > 1 and lead)"), "repeated-anchors")
     whole = again.where("copies > 1").select("doc", "a", "b").distinct()
-    edges = again.where("contexts > 1 and lead")
+    edges = again.where("contexts > 1 and lead").withColumn("b", F.col("a") + F.col("n"))
     total = edges.agg(F.sum(F.col("b") - F.col("a") + length)).first()[0] or 0
     shards = max(1, round(total / SHARD_BYTES))
     shard = F.expr(f"pmod(xxhash64(anchor), {shards})")
