@@ -270,7 +270,7 @@ def gaps(spark, d):
 
 @query("a05_median_path", f"""WITH {B}, x AS (SELECT symbol, date, list(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 60 FOLLOWING) AS l FROM bars),
       p AS (SELECT symbol, list_transform(list_filter(l, lambda v, i: (i - 1) % 5 = 0), lambda v: v / l[1] * 100) AS p FROM x WHERE len(l) = 61 AND day(date) = 1)
-    SELECT symbol, idx::INT AS idx, quantile_cont(v, 0.5) AS median FROM (SELECT symbol, unnest(p) AS v, unnest(range(len(p))) AS idx FROM p) GROUP BY symbol, idx""", "median")
+    SELECT symbol, idx::INT AS idx, quantile_cont(v, 0.5) AS median FROM (SELECT symbol, unnest(p) AS v, unnest(range(len(p))) AS idx FROM p) GROUP BY symbol, idx""", "median", places=4)
 def medians(spark, d):
     p = forward_paths(M.daily_bars(spark, d), 60, 5).where("n = 61").where(F.dayofmonth("date") == 1)
     return median_path(p.select("symbol", "path"), "symbol")

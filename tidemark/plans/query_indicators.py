@@ -29,7 +29,7 @@ SW = "WINDOW w AS (PARTITION BY symbol ORDER BY date)"
 
 # ---- sources
 
-@query("io04_daily_bars", f"WITH {B} SELECT * FROM bars", "open high low close volume")
+@query("io04_daily_bars", f"WITH {B} SELECT * FROM bars", "open high low close volume", places=4)
 def daily(spark, d):
     return M.daily_bars(spark, d)
 
@@ -206,7 +206,7 @@ def _ma(n, c="close", agg="avg", least=None):
     return f"CASE WHEN count({c}) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING) >= {least or n} THEN {agg}({c}) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING) END"
 
 
-@query("p02_p03_moving_averages", f"WITH {B} SELECT symbol, date, {_ma(20)} AS ma20, {_ma(50)} AS ma50, {_ma(200)} AS ma200, close / ({_ma(200)}) - 1 AS ext200 FROM bars", "ma20 ma50 ma200 ext200")
+@query("p02_p03_moving_averages", f"WITH {B} SELECT symbol, date, {_ma(20)} AS ma20, {_ma(50)} AS ma50, {_ma(200)} AS ma200, close / ({_ma(200)}) - 1 AS ext200 FROM bars", "ma20 ma50 ma200 ext200", places=4)
 def averages(spark, d):
     b = M.daily_bars(spark, d)
     for n in (20, 50, 200):
@@ -218,6 +218,7 @@ def averages(spark, d):
     "p04_p05_p06_highs_drawdowns",
     f"WITH {B} SELECT symbol, date, {_ma(252, 'close', 'max', 60)} AS high252, close / ({_ma(252, 'close', 'max', 60)}) - 1 AS drawdown, {_ma(252, 'close', 'max')} AS strict252, close / ({_ma(20, 'close', 'max')}) - 1 AS from_hi20 FROM bars",
     "high252 drawdown strict252 from_hi20",
+    places=4,
 )
 def drawdowns(spark, d):
     b = M.daily_bars(spark, d).withColumn("high252", rolling(F.max, "close", 252, 60)).withColumn("strict252", rolling(F.max, "close", 252)).withColumn("hi20", rolling(F.max, "close", 20))
@@ -280,6 +281,7 @@ def _ewm_sql(c: str, a: float, rel: str, keep: str) -> str:
       coalesce(CASE WHEN v.y <> 0 THEN 100 - 100 / (1 + u.y / v.y) END, 50) AS rsi_b
     FROM bars b LEFT JOIN u ON u.symbol = b.symbol AND u.date = b.date LEFT JOIN v ON v.symbol = b.symbol AND v.date = b.date""",
     "rsi_a rsi_b",
+    places=4,
 )
 def rsi_query(spark, d):
     return rsi(M.daily_bars(spark, d)).select("symbol", "date", "rsi_a", "rsi_b")
@@ -292,6 +294,7 @@ def rsi_query(spark, d):
       g AS {_ewm_sql('macd', 2 / 10, 'm', 'symbol, date, macd')}
     SELECT symbol, date, macd, y AS signal, macd - y AS histogram FROM g""",
     "macd signal histogram",
+    places=2,
 )
 def macd_query(spark, d):
     return macd(M.daily_bars(spark, d)).select("symbol", "date", "macd", "signal", "histogram")
@@ -302,6 +305,7 @@ def macd_query(spark, d):
     f"""WITH {B}, x AS (SELECT symbol, date, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars {SW}),
       g AS {_ewm_sql('tr', 1 / 14, 'x', 'symbol, date')} SELECT symbol, date, y AS atr FROM g""",
     "atr",
+    places=2,
 )
 def atr_query(spark, d):
     return atr(M.daily_bars(spark, d)).select("symbol", "date", "atr")
@@ -313,6 +317,7 @@ def atr_query(spark, d):
     SELECT symbol, date, close, volume FROM bars b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.symbol = b.symbol AND o.date = b.date)
     UNION ALL SELECT symbol, date, close, NULL FROM o""",
     "close volume",
+    places=4,
 )
 def manual_override(spark, d):
     from tidemark.sources.files import override_today
@@ -351,6 +356,7 @@ def drop_open(spark, d):
     f"""WITH {B}, f AS (SELECT symbol, date, close, {_ma(200)} AS ma200, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) - 1 AS back FROM bars)
     SELECT symbol, back::INT AS back, date, CASE WHEN ma200 IS NOT NULL THEN close END AS close, ma200 FROM f WHERE back IN (0, 21, 63, 126, 252)""",
     "close ma200",
+    places=4,
 )
 def snapshots(spark, d):
     b = M.daily_bars(spark, d).withColumn("ma200", rolling(F.avg, "close", 200))
@@ -465,14 +471,14 @@ def leaders(spark, d):
     return regimes.leadership(M.panel_bars(spark, d), groups, M.benchmark(spark, d))
 
 
-@query("r08_leadership", f"WITH {LEADER_SQL} SELECT date, leader, spread FROM lead_", "spread")
+@query("r08_leadership", f"WITH {LEADER_SQL} SELECT date, leader, spread FROM lead_", "spread", places=4)
 def leadership(spark, d):
     return leaders(spark, d)
 
 
 # ---- joins
 
-@query("j01_inner_dates", f"WITH {BE}, {VX} SELECT date, bench, vix FROM bench JOIN vix USING (date)", "bench vix")
+@query("j01_inner_dates", f"WITH {BE}, {VX} SELECT date, bench, vix FROM bench JOIN vix USING (date)", "bench vix", places=4)
 def inner_dates(spark, d):
     return M.benchmark(spark, d).join(M.vix(spark, d), "date").dropna()
 
@@ -529,6 +535,7 @@ def grid(spark, d):
     f"""WITH {B}, x AS (SELECT *, min(close) OVER w AS run_min, row_number() OVER w AS rn, close <= min(close) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING) AS low20 FROM bars {SW})
     SELECT symbol, date, run_min, (rn - max(CASE WHEN close <= run_min THEN rn END) OVER w)::BIGINT AS since_low, low20 FROM x {SW}""",
     "run_min",
+    places=4,
 )
 def lows(spark, d):
     w = series().rowsBetween(W.unboundedPreceding, 0)
@@ -553,6 +560,7 @@ def streaks(spark, d):
       y AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rk FROM x WHERE low = m AND back BETWEEN 6 AND 55)
     SELECT symbol, date, low, rk::INT AS rk FROM y WHERE rk <= 2""",
     "low",
+    places=4,
 )
 def swings(spark, d):
     from tidemark.plans.technicals import swing_lows
@@ -560,7 +568,7 @@ def swings(spark, d):
     return swing_lows(M.daily_bars(spark, d))
 
 
-@query("w08_ewm", f"WITH {B}, g AS {_ewm_sql('close', 2 / 21, 'bars', 'symbol, date')} SELECT symbol, date, y AS ema20 FROM g", "ema20")
+@query("w08_ewm", f"WITH {B}, g AS {_ewm_sql('close', 2 / 21, 'bars', 'symbol, date')} SELECT symbol, date, y AS ema20 FROM g", "ema20", places=2)
 def ewm_query(spark, d):
     return ewm(M.daily_bars(spark, d), "close", 2 / 21, "ema20").select("symbol", "date", "ema20")
 
@@ -655,21 +663,21 @@ def pct_rank(spark, d):
     return r.select("symbol", "date", percent_rank_average("ret", "date").alias("pr"))
 
 
-@query("w22_session_vwap", f"WITH {IN} SELECT symbol, bar_ts, sum((high + low + close) / 3 * volume) OVER s / sum(volume) OVER s AS vwap FROM intraday WINDOW s AS (PARTITION BY symbol, session ORDER BY bar_ts)", "vwap")
+@query("w22_session_vwap", f"WITH {IN} SELECT symbol, bar_ts, sum((high + low + close) / 3 * volume) OVER s / sum(volume) OVER s AS vwap FROM intraday WINDOW s AS (PARTITION BY symbol, session ORDER BY bar_ts)", "vwap", places=4)
 def session_vwap(spark, d):
     from tidemark.plans.intraday import vwap_by_session
 
     return vwap_by_session(M.intraday_bars(spark, d)).select("symbol", F.col("bar_ts").cast("timestamp_ntz").alias("bar_ts"), "vwap")
 
 
-@query("w23_running_vwap", f"WITH {IN} SELECT symbol, bar_ts, sum(close * volume) OVER s / nullif(sum(volume) OVER s, 0) AS vwap FROM intraday WINDOW s AS (PARTITION BY symbol ORDER BY bar_ts)", "vwap")
+@query("w23_running_vwap", f"WITH {IN} SELECT symbol, bar_ts, sum(close * volume) OVER s / nullif(sum(volume) OVER s, 0) AS vwap FROM intraday WINDOW s AS (PARTITION BY symbol ORDER BY bar_ts)", "vwap", places=4)
 def running_vwap(spark, d):
     from tidemark.plans.intraday import vwap_running
 
     return vwap_running(M.intraday_bars(spark, d)).select("symbol", F.col("bar_ts").cast("timestamp_ntz").alias("bar_ts"), "vwap")
 
 
-@query("w24_support_resistance", f"WITH {B} SELECT symbol, date, {_ma(20, 'high', 'max')} AS res20, {_ma(20, 'low', 'min')} AS sup20, {_ma(100, 'high', 'max')} AS res100, {_ma(100, 'low', 'min')} AS sup100 FROM bars", "res20 sup20 res100 sup100")
+@query("w24_support_resistance", f"WITH {B} SELECT symbol, date, {_ma(20, 'high', 'max')} AS res20, {_ma(20, 'low', 'min')} AS sup20, {_ma(100, 'high', 'max')} AS res100, {_ma(100, 'low', 'min')} AS sup100 FROM bars", "res20 sup20 res100 sup100", places=4)
 def support(spark, d):
     return M.daily_bars(spark, d).select("symbol", "date", rolling(F.max, "high", 20).alias("res20"), rolling(F.min, "low", 20).alias("sup20"), rolling(F.max, "high", 100).alias("res100"), rolling(F.min, "low", 100).alias("sup100"))
 
@@ -691,6 +699,7 @@ def cross_states(spark, d):
     f"""WITH {B}, x AS (SELECT symbol, date, close, list(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 126 FOLLOWING) AS l FROM bars)
     SELECT symbol, date, len(l)::INT AS n, l[6] / l[1] * 100 AS at5, list_min(l) / l[1] - 1 AS worst, (list_position(l, list_min(l)) - 1)::INT AS days_to_trough, len(list_filter(l, lambda v, i: (i - 1) % 5 = 0))::INT AS samples FROM x WHERE len(l) >= 6""",
     "at5 worst",
+    places=4,
 )
 def paths(spark, d):
     from tidemark.plans.outcomes import forward_paths

@@ -25,7 +25,7 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='tidemark-')}/store-{uuid.uuid4().hex}"
 
 
-@query("io01_io03_io27_price_store", f"WITH {B} SELECT date, open, high, low, close, volume FROM bars WHERE symbol = 'NO' AND date <= DATE '1998-03-31'", "open high low close volume")
+@query("io01_io03_io27_price_store", f"WITH {B} SELECT date, open, high, low, close, volume FROM bars WHERE symbol = 'NO' AND date <= DATE '1998-03-31'", "open high low close volume", places=4)
 def price_store(spark, d):
     root = scratch_root(spark)
     pit.write_prices(M.daily_bars(spark, d), root)
@@ -45,7 +45,7 @@ def lookahead(spark, d):
     return pit.assert_no_lookahead(rows, "1997-01-31")
 
 
-@query("io12_shape_ohlcv", f"WITH {B} SELECT symbol, date, close FROM bars WHERE day(date) <> 7", "close")
+@query("io12_shape_ohlcv", f"WITH {B} SELECT symbol, date, close FROM bars WHERE day(date) <> 7", "close", places=4)
 def shaped(spark, d):
     raw = M.daily_bars(spark, d).select(F.col("symbol").alias("SYMBOL"), F.col("date").alias("Date"), F.when(F.dayofmonth("date") == 7, float("nan")).otherwise(F.col("close")).alias("Close"))
     return files.shape_ohlcv(raw)
@@ -69,7 +69,7 @@ def write_ahead(spark, d):
     return spark.read.schema("write_id long, attempts int").json(path).groupBy("write_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("w01_w02_w03_positions", f"WITH {B} SELECT symbol, date, row_number() OVER w - 1 AS pos, lag(close, 3) OVER w AS back3, lead(close, 3) OVER w AS ahead3, {_ma(10, 'close', 'max', 4)} AS max10 FROM bars {SW}", "back3 ahead3 max10")
+@query("w01_w02_w03_positions", f"WITH {B} SELECT symbol, date, row_number() OVER w - 1 AS pos, lag(close, 3) OVER w AS back3, lead(close, 3) OVER w AS ahead3, {_ma(10, 'close', 'max', 4)} AS max10 FROM bars {SW}", "back3 ahead3 max10", places=4)
 def positions(spark, d):
     w = series()
     return M.daily_bars(spark, d).select("symbol", "date", position().alias("pos"), F.lag("close", 3).over(w).alias("back3"), F.lead("close", 3).over(w).alias("ahead3"), rolling(F.max, "close", 10, 4).alias("max10"))

@@ -63,6 +63,7 @@ def up_down(spark, d):
     SELECT symbol, bin, lo + (bin + 0.5) * ((hi - lo) / 24) AS price, v / sum(v) OVER (PARTITION BY symbol) AS share, round(v, 6) >= round(quantile_cont(v, 0.8) OVER (PARTITION BY symbol), 6) AND v > 0 AS is_shelf,
       row_number() OVER (PARTITION BY symbol ORDER BY v DESC, bin)::INT AS rk FROM f QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY v DESC, bin) <= 3""",
     "price share",
+    places=4,
 )
 def shelves(spark, d):
     return T.volume_shelves(M.daily_bars(spark, d)).where("rk <= 3")
@@ -93,6 +94,7 @@ _IND = f"""dl AS (SELECT symbol, date, close - lag(close) OVER w AS dd FROM bars
       z AS (SELECT *, CASE WHEN close >= ma50 AND close >= ma200 AND ma50 >= ma200 THEN 'uptrend' WHEN close < ma50 AND close < ma200 AND ma50 < ma200 THEN 'downtrend' ELSE 'mixed' END AS trend FROM y WHERE back = 1)
     SELECT symbol, date, close, trend, rsi AS rsi_a, rsi AS rsi_b, histogram, macd_rising, divergence, atr, res50, sup50, CASE trend WHEN 'uptrend' THEN 'BUY' WHEN 'downtrend' THEN 'AVOID' ELSE 'WAIT' END AS vote FROM z""",
     "close rsi_a rsi_b histogram atr res50 sup50",
+    places=2,
 )
 def read(spark, d):
     return T.technical_read(M.daily_bars(spark, d))
@@ -194,6 +196,7 @@ def handoff(spark, d):
       {{'id': 'ma200_slope_negative', 'direction': 'downgrade', 'threshold': 0.0, 'current': slope, 'met': slope < 0}}, {{'id': 'updown_vol_ratio_below_0.6_falling', 'direction': 'downgrade', 'threshold': 0.6, 'current': ratio, 'met': ratio < 0.6 AND ratio < ratio_b}},
       {{'id': 'drawdown_beyond_mc_p25', 'direction': 'downgrade', 'threshold': NULL, 'current': draw, 'met': false}}, {{'id': 'rs_long_new_6mo_low', 'direction': 'downgrade', 'threshold': 1.0, 'current': long_low::INT::DOUBLE, 'met': long_low}}]) AS t FROM l)""",
     "threshold current",
+    places=4,
 )
 def vtriggers(spark, d):
     return E.verdict_triggers(M.daily_bars(spark, d), M.benchmark(spark, d))
@@ -216,6 +219,7 @@ def fan(spark, d):
       b AS (SELECT k, v, CASE WHEN s THEN w ELSE w / 0.3 * 0.7 END AS w FROM a), c AS (SELECT k, v, sum(w) OVER (PARTITION BY k ORDER BY v RANGE UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY k) AS t FROM b)
     SELECT k, min(v) AS value FROM c WHERE c >= 0.25 * t - 1e-12 GROUP BY k""",
     "value",
+    places=4,
 )
 def mixture(spark, d):
     o = M.table(spark, d, "orders").select(F.col("o_orderpriority").alias("k"), F.col("o_totalprice").alias("v"), (F.col("o_orderstatus") == "O").alias("s"))
@@ -276,7 +280,7 @@ def summary(spark, d):
 
 # ---- rotation
 
-@query("w18_rs_table", f"WITH {P}, {BE}, j AS (SELECT symbol, date, close, last_value(bench IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date) AS bench FROM panel LEFT JOIN bench USING (date)), x AS (SELECT symbol, " + ", ".join(f"((close / lag(close, {h}) OVER w - 1) - (bench / lag(bench, {h}) OVER w - 1)) * 100 AS x{h}" for h in (21, 63, 126, 252)) + f", {_TAIL} FROM j {SW}) SELECT symbol, x21, x63, x126, x252, row_number() OVER (ORDER BY coalesce(x63, -999) DESC, symbol)::INT AS rk FROM x WHERE back = 1", "x21 x63 x126 x252")
+@query("w18_rs_table", f"WITH {P}, {BE}, j AS (SELECT symbol, date, close, last_value(bench IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date) AS bench FROM panel LEFT JOIN bench USING (date)), x AS (SELECT symbol, " + ", ".join(f"((close / lag(close, {h}) OVER w - 1) - (bench / lag(bench, {h}) OVER w - 1)) * 100 AS x{h}" for h in (21, 63, 126, 252)) + f", {_TAIL} FROM j {SW}) SELECT symbol, x21, x63, x126, x252, row_number() OVER (ORDER BY coalesce(x63, -999) DESC, symbol)::INT AS rk FROM x WHERE back = 1", "x21 x63 x126 x252", places=4)
 def rs_table(spark, d):
     return ST.rs_table(M.panel_bars(spark, d), M.benchmark(spark, d))
 
@@ -286,6 +290,7 @@ def rs_table(spark, d):
     f"""WITH {P}, {BE}, j AS (SELECT symbol, date, close / last_value(bench IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date) AS ratio, {_TAIL} FROM panel LEFT JOIN bench USING (date)),
       x AS (SELECT symbol, date, ratio / first_value(ratio) OVER w * 100 AS rebased, row_number() OVER w - 1 AS i FROM j WHERE back <= 252 {SW}) SELECT symbol, date, rebased FROM x WHERE i % 3 = 0""",
     "rebased",
+    places=4,
 )
 def rs_curves(spark, d):
     return ST.rs_curves(M.panel_bars(spark, d), M.benchmark(spark, d))
@@ -299,7 +304,7 @@ def leader_runs(spark, d):
     return ST.leader_runs(leaders(spark, d))
 
 
-@query("p16_e22_rotation_context", f"WITH {_LRUN} SELECT date, spread, CASE WHEN leader = 'unknown' THEN 0 ELSE (date - min(date) OVER (PARTITION BY run ORDER BY date) + 1) / 7.0 END::DOUBLE AS age_weeks FROM lr", "spread age_weeks")
+@query("p16_e22_rotation_context", f"WITH {_LRUN} SELECT date, spread, CASE WHEN leader = 'unknown' THEN 0 ELSE (date - min(date) OVER (PARTITION BY run ORDER BY date) + 1) / 7.0 END::DOUBLE AS age_weeks FROM lr", "spread age_weeks", places=4)
 def rotation_context(spark, d):
     return ST.rotation_context(leaders(spark, d))
 
@@ -321,6 +326,7 @@ def best_follower(spark, d):
       l AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY series ORDER BY date DESC) = 1)
     SELECT l.series, l.date, l.value, l.value - (SELECT arg_max(value, date) FROM m WHERE m.series = l.series AND m.date <= l.date - 91) AS change_91d, l.value - (SELECT arg_max(value, date) FROM m WHERE m.series = l.series AND m.date <= l.date - 365) AS change_365d, l.yoy FROM l""",
     "value change_91d change_365d yoy",
+    places=4,
 )
 def macro_block(spark, d):
     c = M.credit(spark, d).select(F.lit("credit").alias("series"), "date", F.col("credit").alias("value"))
@@ -526,7 +532,7 @@ def counters(spark, d):
     return x.groupBy("symbol").agg(F.count_distinct(F.floor(F.year("date") / 10)).alias("decades"), F.count("l").alias("matured"), F.count(F.when(F.col("l").isNull(), 1)).alias("not_yet"))
 
 
-@query("t01_t08_last_rows", f"WITH {B} SELECT symbol, date, close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 60", "close")
+@query("t01_t08_last_rows", f"WITH {B} SELECT symbol, date, close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 60", "close", places=4)
 def last_rows(spark, d):
     return M.daily_bars(spark, d).withColumn("back", T.tail_rank()).where("back <= 60").select("symbol", "date", "close")
 

@@ -2,8 +2,9 @@
 
 The driver's tables hold no market prices, so these proxies only exercise semantics:
 bars are aggregated from lineitem by day, the volatility and credit series from its
-discounts and taxes, intraday bars from events. Values are rounded at the source, so
-every later number starts from equal inputs whatever the order of aggregation.
+discounts and taxes, intraday bars from events. Averages are taken over whole cents and
+cut to four or six decimals in integers, so every later number starts from equal inputs
+whatever the order of aggregation.
 """
 
 from __future__ import annotations
@@ -16,13 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _mean(c: str, factor: int, decimals: int):
+    """factor * average of a column with two decimals, cut to so many decimals, by integers."""
+    cents = f"sum(cast(round({c} * 100) as bigint)) * {factor * 10**decimals // 100} div count({c})"
+    return F.expr(f"({cents}) / {10**decimals}d")
+
+
 def _ohlcv(rows: DataFrame, keys: list[str]) -> DataFrame:
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return rows.groupBy(*keys).agg(
         F.round(F.min(order)["l_extendedprice"], 4).alias("open"),
         F.max("l_extendedprice").alias("high"),
         F.min("l_extendedprice").alias("low"),
-        F.round(F.avg("l_extendedprice"), 4).alias("close"),
+        _mean("l_extendedprice", 1, 4).alias("close"),
         F.sum("l_quantity").alias("volume"),
     )
 
@@ -43,19 +50,19 @@ def panel_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, bench: the average price of all lines of a day."""
     rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.to_date("l_shipdate").alias("date")).agg(F.round(F.avg("l_extendedprice"), 4).alias("bench"))
+    return rows.groupBy(F.to_date("l_shipdate").alias("date")).agg(_mean("l_extendedprice", 1, 4).alias("bench"))
 
 
 def vix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, vix: a volatility proxy on its own calendar."""
     rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return rows.groupBy(F.to_date("l_shipdate").alias("date")).agg(F.round(400 * F.avg("l_discount"), 6).alias("vix"))
+    return rows.groupBy(F.to_date("l_shipdate").alias("date")).agg(_mean("l_discount", 400, 6).alias("vix"))
 
 
 def credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, credit: a credit-spread proxy."""
     rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.to_date("l_shipdate").alias("date")).agg(F.round(50 * F.avg("l_tax"), 6).alias("credit"))
+    return rows.groupBy(F.to_date("l_shipdate").alias("date")).agg(_mean("l_tax", 50, 6).alias("credit"))
 
 
 def intraday_bars(spark: SparkSession, sf_dir: str, minutes: int = 15) -> DataFrame:
@@ -73,13 +80,17 @@ def intraday_bars(spark: SparkSession, sf_dir: str, minutes: int = 15) -> DataFr
 
 
 #: The same relations in DuckDB SQL, as common table expressions.
-_SQL_OHLCV = """round(min(struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_suppkey, e := l_extendedprice)).e, 4) AS open,
-    max(l_extendedprice) AS high, min(l_extendedprice) AS low, round(avg(l_extendedprice), 4) AS close, sum(l_quantity) AS volume"""
+def _sql_mean(c: str, factor: int, decimals: int) -> str:
+    return f"(sum(round({c} * 100)::BIGINT)::BIGINT * {factor * 10**decimals // 100} // count({c})) / {10**decimals}::DOUBLE"
+
+
+_SQL_OHLCV = f"""round(min(struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_suppkey, e := l_extendedprice)).e, 4) AS open,
+    max(l_extendedprice) AS high, min(l_extendedprice) AS low, {_sql_mean('l_extendedprice', 1, 4)} AS close, sum(l_quantity) AS volume"""
 SQL_BARS = f"bars AS (SELECT l_returnflag || l_linestatus AS symbol, l_shipdate::DATE AS date, {_SQL_OHLCV} FROM lineitem GROUP BY 1, 2)"
 SQL_PANEL = f"panel AS (SELECT p_brand AS symbol, l_shipdate::DATE AS date, {_SQL_OHLCV} FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
-SQL_BENCH = "bench AS (SELECT l_shipdate::DATE AS date, round(avg(l_extendedprice), 4) AS bench FROM lineitem GROUP BY 1)"
-SQL_VIX = "vix AS (SELECT l_shipdate::DATE AS date, round(400 * avg(l_discount), 6) AS vix FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)"
-SQL_CREDIT = "credit AS (SELECT l_shipdate::DATE AS date, round(50 * avg(l_tax), 6) AS credit FROM lineitem GROUP BY 1)"
+SQL_BENCH = f"bench AS (SELECT l_shipdate::DATE AS date, {_sql_mean('l_extendedprice', 1, 4)} AS bench FROM lineitem GROUP BY 1)"
+SQL_VIX = f"vix AS (SELECT l_shipdate::DATE AS date, {_sql_mean('l_discount', 400, 6)} AS vix FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)"
+SQL_CREDIT = f"credit AS (SELECT l_shipdate::DATE AS date, {_sql_mean('l_tax', 50, 6)} AS credit FROM lineitem GROUP BY 1)"
 SQL_INTRADAY = """intraday AS (
   SELECT event_type AS symbol, time_bucket(INTERVAL 15 minutes, ts) AS bar_ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high,
     min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*)::DOUBLE AS volume, time_bucket(INTERVAL 15 minutes, ts)::DATE AS session
