@@ -25,12 +25,17 @@ def duck():
 
 def normal(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
-    cell = lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)) else round(float(v), 4) + 0.0 if isinstance(v, (float, np.floating)) else str(v)
+
+    def cell(v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
+            return None
+        if isinstance(v, (int, float, np.integer, np.floating)) and not isinstance(v, bool):
+            return round(float(v), 4) + 0.0
+        return str(v)
+
     for c in df.columns:
         if str(df[c].dtype).startswith("datetime"):
             df = df.assign(**{c: df[c].astype("datetime64[us]").astype(str)})
-        elif str(df[c].dtype) in ("int64", "int32") and df[c].notna().all():
-            df = df.assign(**{c: df[c].astype(float)})
     rows = [tuple(cell(v) for v in r) for r in df.itertuples(index=False)]
     return sorted(rows, key=str)
 
