@@ -258,7 +258,10 @@ def _verify(group: pd.DataFrame) -> pd.DataFrame:
 def near_duplicate_classes(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """rows (id, text_key, text) -> (documents (id, text_key, n, cls), linked classes (cls, root))."""
     sketched = scratch.table(_sketch(rows), "sketches")
-    classes = sketched.where("n > 0").groupBy("cls").agg(F.min("text_key").alias("text_key"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    # of equal sets one row stands for all: the least digest and id, so that copies of one text don't meet in a join
+    one = F.min(F.struct("text_key", F.col("id").isNull().alias("none"), "id"))
+    classes = sketched.where("n > 0").groupBy("cls").agg(one.alias("one"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    classes = classes.select("cls", "n", "bands", "one.text_key", "one.id")
     members = classes.select("cls", F.explode("bands").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     members = scratch.table(members.join(full, "bucket"), "buckets")
@@ -266,14 +269,15 @@ def near_duplicate_classes(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame
     lead = members.join(degree, "cls").groupBy("bucket").agg(F.max(F.struct("deg", "cls")).alias("m")).select("bucket", F.col("m.cls").alias("lead"))
     edges = members.join(lead, "bucket").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
     clusters = connected_components(edges, scratch).select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
-    known = classes.select("cls", "text_key", "n").join(clusters, "cls")
+    known = classes.select("cls", "text_key", "id", "n").join(clusters, "cls")
     known = scratch.table(known, "clusters")
     sizes = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     fits = (F.col("docs") <= GROUP_DOCS) & (F.col("shingles") <= GROUP_SHINGLES)
     large = scratch.table(sizes.where(~fits), "large-clusters")
     # one text for each class
-    wanted = known.select("text_key").distinct()
-    texts = rows.select("text_key", "text").join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
+    wanted = scratch.small(known.select(F.col("text_key").alias("__k"), F.col("id").alias("__i")), "wanted")
+    at = (F.col("text_key") == F.col("__k")) & F.col("id").eqNullSafe(F.col("__i"))
+    texts = rows.select("text_key", "id", "text").join(wanted, at, "left_semi").dropDuplicates(["text_key", "id"]).drop("id")
     whole = known.join(large.select("cluster"), "cluster", "left_anti").select("cls", "text_key", F.col("cluster").alias("group"))
     any_large = not large.isEmpty()
     if any_large:
