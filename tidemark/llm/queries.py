@@ -74,7 +74,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    values = ", ".join(f"('{host}', '{path}', '{action}')" for host, path, action in RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, action)")
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
