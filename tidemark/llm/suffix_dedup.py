@@ -224,7 +224,8 @@ def repeated_runs(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     shards = max(1, round(total / SHARD_BYTES))
     shard = F.expr(f"pmod(xxhash64(anchor), {shards})")
     wanted = edges.groupBy("doc").agg(F.collect_list(F.struct(shard.alias("shard"), "a", "b")).alias("parts"))  # bounded by the document's length
-    source = long_enough.select("doc", "text").join(wanted.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
+    listed = scratch.small(wanted.select("doc"), "edge-documents")  # where it is small, only their texts are moved, one of each
+    source = long_enough.select("doc", "text").join(listed, "doc", "left_semi").dropDuplicates(["doc"])
     cut = F.transform("parts", lambda p: F.struct(p["shard"].alias("shard"), p["a"].alias("a"), F.substring(F.col("text"), (p["a"] + 1).cast("int"), (p["b"] - p["a"] + length).cast("int")).alias("context")))
     contexts = source.join(wanted, "doc").select("doc", F.explode(cut).alias("c")).select("c.shard", "doc", "c.a", "c.context")
     dealt = contexts.repartition(shards, "shard").sortWithinPartitions("shard", "doc", "a")
