@@ -9,20 +9,26 @@ from pyspark.sql import functions as F
 from tidemark.operators.thinning import thin_by_distance
 
 
-def distance(a: Column, b: Column, scale: Column | None = None) -> Column:
-    """Euclidean distance of two arrays, each difference divided by scale."""
+def distance(a: Column, b: Column, scale: Column | None = None, dims: int | None = None) -> Column:
+    """Euclidean distance of two arrays, each difference divided by scale. With dims the sum is written out, which is compiled."""
+    if dims:
+        diff = [(a[i] - b[i]) / scale[i] if scale is not None else a[i] - b[i] for i in range(dims)]
+        total = diff[0] * diff[0]
+        for x in diff[1:]:
+            total = total + x * x
+        return F.sqrt(total)
     parts = F.arrays_zip(a.alias("a"), b.alias("b"), (scale if scale is not None else F.transform(a, lambda x: F.lit(1.0))).alias("s"))
     return F.sqrt(F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + F.pow((p["a"] - p["b"]) / p["s"], 2)))
 
 
-def nearest_earlier(rows: DataFrame, queries: DataFrame, k: int, scaled: bool = False) -> DataFrame:
+def nearest_earlier(rows: DataFrame, queries: DataFrame, k: int, scaled: bool = False, dims: int | None = None) -> DataFrame:
     """rows (symbol, pos, x), queries (the same, with scale if scaled) -> symbol, query_pos, pos, dist, rk: the k nearest rows before each query.
 
     A stated set of queries against the earlier rows of the same symbol; each query keeps a bounded top k.
     """
     q = queries.select("symbol", F.col("pos").alias("query_pos"), F.col("x").alias("qx"), *([F.col("scale")] if scaled else []))
     pairs = rows.select("symbol", "pos", "x").join(q, "symbol").where("pos < query_pos")
-    d = distance(F.col("x"), F.col("qx"), F.col("scale") if scaled else None)
+    d = distance(F.col("x"), F.col("qx"), F.col("scale") if scaled else None, dims)
     pairs = pairs.select("symbol", "query_pos", "pos", d.alias("dist")).where("dist is not null")
     rk = F.row_number().over(W.partitionBy("symbol", "query_pos").orderBy("dist", "pos"))
     return pairs.withColumn("rk", rk).where(F.col("rk") <= k)

@@ -89,7 +89,7 @@ def analog_matches(features: DataFrame, queries: DataFrame) -> DataFrame:
     whole = F.forall("x", lambda v: v.isNotNull())
     x = x.where(whole).select("symbol", "pos", "x", "scale")
     asked = x.join(queries.select("symbol", "pos"), ["symbol", "pos"], "left_semi")
-    near = nearest_earlier(x, asked, POOL, scaled=True)
+    near = nearest_earlier(x, asked, POOL, scaled=True, dims=len(FEATURES))
     thinned = thin_nearest(near, GAP, MOST)
     dist = near.groupBy("symbol", "query_pos").agg(F.avg(F.when(F.col("rk") <= 20, F.col("dist"))).alias("mean_dist"))
     return thinned.join(dist, ["symbol", "query_pos"])

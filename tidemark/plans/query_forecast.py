@@ -74,6 +74,13 @@ def forecast_query(spark, d):
     return FC.forecast(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.last_positions(rg))
 
 
+@query("e20_forecast_month_ends")
+def forecast_months(spark, d):
+    """The whole forecast (analogs, regimes, ensemble) replayed for every symbol and month at once."""
+    rg = regime_bars(spark, d)
+    return FC.forecast(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.month_ends(rg))
+
+
 @query("t12_basis_horizon")
 def basis(spark, d):
     rg = regime_bars(spark, d)
