@@ -134,12 +134,12 @@ FORECASTS_SQL = f"""{B}, {BE}, fc AS (
   SELECT symbol || '-' || strftime(date, '%Y%m%d') || '-' || h AS forecast_id, symbol, symbol AS ticker, date AS trading_date, h::INT AS h, h::INT AS horizon, (0.3 + 0.4 * (day(date) % 10) / 9.0)::DOUBLE AS p_positive,
     -0.02::DOUBLE AS q20, 0.03::DOUBLE AS q80, CASE WHEN day(date) % 3 = 0 THEN 'dip_context' ELSE 'forecast_engine' END AS voter, (day(date) * 3.25)::DOUBLE AS confidence,
     CASE WHEN day(date) % 2 = 0 THEN 'high' ELSE 'moderate' END AS label, date::TIMESTAMP AS as_of_ts
-  FROM bars, (VALUES (5), (20)) t(h) WHERE day(date) >= 25)"""
+  FROM bars, (VALUES (5), (20)) t(h))"""
 
 
 def forecasts(spark, d):
     h = F.explode(F.array(F.lit(5), F.lit(20)))
-    f = M.daily_bars(spark, d).where(F.dayofmonth("date") >= 25).select("symbol", F.col("date").alias("trading_date"), h.alias("h"))
+    f = M.daily_bars(spark, d).select("symbol", F.col("date").alias("trading_date"), h.alias("h"))
     day = F.dayofmonth("trading_date")
     return f.select(
         F.concat_ws("-", "symbol", F.date_format("trading_date", "yyyyMMdd"), F.col("h").cast("string")).alias("forecast_id"), "symbol", F.col("symbol").alias("ticker"), "trading_date", "h", F.col("h").alias("horizon"),
@@ -206,13 +206,13 @@ def listings(spark, d):
 
 @query(
     "j08_j09_nested_decisions",
-    f"""WITH {FORECASTS_SQL}, {OUTCOMES_SQL}, dc AS (SELECT 'D' || forecast_id AS decision_id, forecast_id, CASE WHEN h = 5 THEN 'BUY' ELSE 'WAIT' END AS action FROM fc WHERE ticker = 'AF')
+    f"""WITH {FORECASTS_SQL}, {OUTCOMES_SQL}, dc AS (SELECT 'D' || forecast_id AS decision_id, forecast_id, CASE WHEN h = 5 THEN 'BUY' ELSE 'WAIT' END AS action FROM fc)
     SELECT decision_id, action, ticker, count(oc.forecast_id) AS n_outcomes, max(ret) AS ret FROM dc JOIN fc USING (forecast_id) LEFT JOIN oc USING (forecast_id) GROUP BY ALL""",
     "ret",
 )
 def nested(spark, d):
     f = forecasts(spark, d)
-    dec = f.where("ticker = 'AF'").select(F.concat(F.lit("D"), "forecast_id").alias("decision_id"), "forecast_id", F.when(F.col("h") == 5, "BUY").otherwise("WAIT").alias("action"))
+    dec = f.select(F.concat(F.lit("D"), "forecast_id").alias("decision_id"), "forecast_id", F.when(F.col("h") == 5, "BUY").otherwise("WAIT").alias("action"))
     out = outcomes(spark, d).select("forecast_id", "ret", F.col("entry_date").alias("evaluated_at"))
     n = L.nested_decisions(dec, f, out)
     per = F.col("forecast.outcomes")
@@ -221,18 +221,18 @@ def nested(spark, d):
 
 @query(
     "j10_lookup_bundle",
-    f"""WITH {FORECASTS_SQL}, {OUTCOMES_SQL} SELECT f.forecast_id, f.p_positive, f.label, arg_max(oc.ret, oc.entry_date) AS latest_ret FROM fc f LEFT JOIN oc USING (forecast_id) WHERE f.ticker = 'NO' AND f.trading_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' GROUP BY ALL""",
+    f"""WITH {FORECASTS_SQL}, {OUTCOMES_SQL} SELECT f.forecast_id, f.p_positive, f.label, arg_max(oc.ret, oc.entry_date) AS latest_ret FROM fc f LEFT JOIN oc USING (forecast_id) GROUP BY ALL""",
     "p_positive latest_ret",
 )
 def bundle(spark, d):
-    f = forecasts(spark, d).where("ticker = 'NO' and trading_date between '1997-01-01' and '1997-12-31'")
+    f = forecasts(spark, d)
     o = outcomes(spark, d).groupBy("forecast_id").agg(F.max_by("ret", "entry_date").alias("latest_ret"))
     return f.join(o, "forecast_id", "left").select("forecast_id", "p_positive", "label", "latest_ret")
 
 
 @query(
     "j11_s05_episode_library",
-    f"""WITH {B}, lib AS (SELECT symbol AS asset, date AS event_date, 'cause ' || day(date) AS cause FROM bars WHERE day(date) = 15), ev AS (SELECT symbol, date FROM bars WHERE day(date) IN (15, 16))
+    f"""WITH {B}, lib AS (SELECT symbol AS asset, date AS event_date, 'cause ' || day(date) AS cause FROM bars WHERE day(date) = 15), ev AS (SELECT symbol, date FROM bars)
     SELECT symbol, date, cause, cause IS NOT NULL AS annotated FROM ev LEFT JOIN lib ON asset = symbol AND event_date = date""",
 )
 def library(spark, d):
@@ -240,7 +240,7 @@ def library(spark, d):
 
     b = M.daily_bars(spark, d).select("symbol", "date")
     lib = b.where(F.dayofmonth("date") == 15).select(F.col("symbol").alias("asset"), F.col("date").alias("event_date"), F.concat(F.lit("cause "), F.dayofmonth("date").cast("string")).alias("cause"))
-    return annotate_episodes(b.where(F.dayofmonth("date").isin(15, 16)), lib).select("symbol", "date", "cause", "annotated")
+    return annotate_episodes(b, lib).select("symbol", "date", "cause", "annotated")
 
 
 @query("j16_backfill_dates", "SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE END, DATE '1990-01-01') AS trading_date, date_diff('day', coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE END, DATE '1990-01-01'), o_orderdate::DATE)::INT AS drift_days FROM orders")
@@ -276,10 +276,10 @@ def gaps(spark, d):
 
 
 @query("a05_median_path", f"""WITH {B}, x AS (SELECT symbol, date, list(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 60 FOLLOWING) AS l FROM bars),
-      p AS (SELECT symbol, list_transform(list_filter(l, lambda v, i: (i - 1) % 5 = 0), lambda v: v / l[1] * 100) AS p FROM x WHERE len(l) = 61 AND day(date) = 1)
+      p AS (SELECT symbol, list_transform(list_filter(l, lambda v, i: (i - 1) % 5 = 0), lambda v: v / l[1] * 100) AS p FROM x WHERE len(l) = 61)
     SELECT symbol, idx::INT AS idx, quantile_cont(v, 0.5) AS median FROM (SELECT symbol, unnest(p) AS v, unnest(range(len(p))) AS idx FROM p) GROUP BY symbol, idx""", "median", places=4)
 def medians(spark, d):
-    p = forward_paths(M.daily_bars(spark, d), 60, 5).where("n = 61").where(F.dayofmonth("date") == 1)
+    p = forward_paths(M.daily_bars(spark, d), 60, 5).where("n = 61")
     return median_path(p.select("symbol", "path"), "symbol")
 
 

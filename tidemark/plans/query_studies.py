@@ -171,12 +171,12 @@ def analogs(spark, d):
 
 @query(
     "e08_handoff_prompt",
-    f"WITH {B} SELECT symbol, 'Explain these dates of ' || symbol || ': ' || string_agg(strftime(date, '%Y-%m-%d'), ', ' ORDER BY date) AS prompt FROM bars WHERE day(date) = 16 GROUP BY symbol",
+    f"WITH {B} SELECT symbol, 'Explain these dates of ' || symbol || ': ' || string_agg(strftime(date, '%Y-%m-%d'), ', ' ORDER BY date) AS prompt FROM bars WHERE day(date) <> 15 GROUP BY symbol",
 )
 def handoff(spark, d):
     b = M.daily_bars(spark, d).select("symbol", "date")
     lib = b.where(F.dayofmonth("date") == 15).select(F.col("symbol").alias("asset"), F.col("date").alias("event_date"), F.lit("known").alias("cause"))
-    return E.handoff_text(E.annotate_episodes(b.where(F.dayofmonth("date").isin(15, 16)), lib))
+    return E.handoff_text(E.annotate_episodes(b, lib))
 
 
 @query(
@@ -231,7 +231,7 @@ def mixture(spark, d):
 
 _DIMS = ["vix_label", "trend"]
 EPISODES_SQL = f"""{REGIMES_SQL}, fx AS (SELECT symbol, date, lead(close, 63) OVER w / close - 1 AS ret, min(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING) / close - 1 AS dd FROM bars {SW}),
-  ep AS (SELECT symbol, date, ret, dd, vix_label, trend FROM rg JOIN fx USING (symbol, date) WHERE day(date) = 1 AND ret IS NOT NULL)"""
+  ep AS (SELECT symbol, date, ret, dd, vix_label, trend FROM rg JOIN fx USING (symbol, date) WHERE ret IS NOT NULL)"""
 CLAIMS_SQL = f"""{EPISODES_SQL}, cj AS (SELECT symbol, date, ret, dd, unnest(['vix_label=' || vix_label, 'trend=' || trend, 'vix_label=' || vix_label || '&trend=' || trend]) AS c FROM ep),
   sr AS (SELECT symbol, (count(DISTINCT vix_label) + count(DISTINCT trend) + count(DISTINCT vix_label) * count(DISTINCT trend))::BIGINT AS searched FROM ep GROUP BY symbol),
   cl2 AS (SELECT symbol, c, count(*) AS n, quantile_cont(ret, 0.5) AS median, min(ret) AS floor, min(dd) AS worst_dd, greatest(avg((ret > 0)::INT), 1 - avg((ret > 0)::INT)) AS consistency, count(DISTINCT floor(year(date) / 10)) AS decades FROM cj GROUP BY symbol, c HAVING count(*) >= 4)"""
@@ -241,7 +241,7 @@ def episodes(spark, d):
     x = regime_bars(spark, d)
     w = series()
     x = x.withColumn("ret", F.lead("close", 63).over(w) / F.col("close") - 1).withColumn("dd", F.min("close").over(w.rowsBetween(0, 63)) / F.col("close") - 1)
-    return x.where((F.dayofmonth("date") == 1) & F.col("ret").isNotNull())
+    return x.where("ret is not null")
 
 
 @query("a06_a07_claims", f"WITH {CLAIMS_SQL} SELECT * FROM cl2 JOIN sr USING (symbol)", "median floor worst_dd consistency")
