@@ -34,10 +34,12 @@ def nearest_earlier(rows: DataFrame, queries: DataFrame, k: int, scaled: bool =
     return pairs.withColumn("rk", rk).where(F.col("rk") <= k)
 
 
-def thin_nearest(near: DataFrame, gap: int, most: int) -> DataFrame:
-    """symbol, query_pos, kept: the nearest first, gap rows from all kept ones, at most `most`."""
-    g = near.groupBy("symbol", "query_pos").agg(F.sort_array(F.collect_list(F.struct("rk", "pos"))).alias("l"))
-    return g.select("symbol", "query_pos", thin_by_distance(F.transform("l", lambda s: s["pos"].cast("bigint")), gap, most).alias("kept"))
+def thin_nearest(near: DataFrame, gap: int, most: int, closest: int = 20) -> DataFrame:
+    """symbol, query_pos, kept, mean_dist: the nearest first, gap rows from all kept ones, at most `most`; and the mean distance of the closest."""
+    g = near.groupBy("symbol", "query_pos").agg(F.sort_array(F.collect_list(F.struct("rk", "pos", "dist"))).alias("l"))
+    kept = thin_by_distance(F.transform("l", lambda s: s["pos"].cast("bigint")), gap, most)
+    total = F.aggregate(F.slice("l", 1, closest), F.lit(0.0), lambda acc, s: acc + s["dist"])
+    return g.select("symbol", "query_pos", kept.alias("kept"), (total / F.least(F.size("l"), F.lit(closest))).alias("mean_dist"))
 
 
 def scales(rows: DataFrame, features: list[str], w) -> DataFrame:

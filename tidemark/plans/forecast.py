@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators.alignment import reindex_ffill
 from tidemark.operators.regimes import UNKNOWN
-from tidemark.operators.thinning import greedy_thin
+from tidemark.operators.thinning import greedy_thin, thin_by_distance
 from tidemark.operators.windows import n_bar_return, position, rolling, series
 from tidemark.plans.analogs import nearest_earlier, scales, thin_nearest
 from tidemark.plans.outcomes import forward_stats, horizon_stats
@@ -90,9 +90,7 @@ def analog_matches(features: DataFrame, queries: DataFrame) -> DataFrame:
     x = x.where(whole).select("symbol", "pos", "x", "scale")
     asked = x.join(queries.select("symbol", "pos"), ["symbol", "pos"], "left_semi")
     near = nearest_earlier(x, asked, POOL, scaled=True, dims=len(FEATURES))
-    thinned = thin_nearest(near, GAP, MOST)
-    dist = near.groupBy("symbol", "query_pos").agg(F.avg(F.when(F.col("rk") <= 20, F.col("dist"))).alias("mean_dist"))
-    return thinned.join(dist, ["symbol", "query_pos"])
+    return thin_nearest(near, GAP, MOST)
 
 
 def outcomes_of(matches: DataFrame, forward: DataFrame) -> DataFrame:
@@ -109,21 +107,17 @@ def forecast(bars: DataFrame, bench: DataFrame, regime_rows: DataFrame, queries:
     features = feature_frame(bars, bench)
     analog = analog_matches(features, queries)
     regime = regime_matches(regime_rows, queries)
-    a_rows = analog.select("symbol", "query_pos", F.explode("kept").alias("pos"))
-    union = regime.groupBy("symbol", "query_pos").agg(F.sort_array(F.collect_list("pos")).alias("r"))
-    union = analog.select("symbol", "query_pos", "kept").join(union, ["symbol", "query_pos"], "full")
-    from tidemark.operators.thinning import thin_by_distance
-
     none = F.array().cast("array<bigint>")
-    union = union.withColumn("all", F.sort_array(thin_by_distance(F.coalesce("r", none), GAP, 1 << 30, F.coalesce("kept", none))))
-    rows = (
-        a_rows.withColumn("model", F.lit("analog"))
-        .unionByName(regime.select("symbol", "query_pos", "pos").withColumn("model", F.lit("regime")))
-        .unionByName(union.select("symbol", "query_pos", F.explode("all").alias("pos")).withColumn("model", F.lit("ensemble")))
-    )
-    stats = horizon_stats(outcomes_of(rows, forward), ["symbol", "query_pos", "model", "h"])
+    matched = regime.groupBy("symbol", "query_pos").agg(F.sort_array(F.collect_list("pos")).alias("r"))
+    both = analog.join(matched, ["symbol", "query_pos"], "full").withColumn("kept", F.coalesce("kept", none)).withColumn("r", F.coalesce("r", none))
+    both = both.withColumn("all", thin_by_distance(F.col("r"), GAP, 1 << 30, F.col("kept")))
+    # one row per query holds all three models' positions, so each search runs once
+    model = lambda name, c: F.struct(F.lit(name).alias("model"), F.col(c).alias("at"))
+    rows = both.select("symbol", "query_pos", "mean_dist", F.explode(F.array(model("analog", "kept"), model("regime", "r"), model("ensemble", "all"))).alias("m"))
+    rows = rows.select("symbol", "query_pos", "mean_dist", "m.model", F.explode("m.at").alias("pos"))
+    stats = horizon_stats(outcomes_of(rows, forward), ["symbol", "query_pos", "mean_dist", "model", "h"])
     asked = regime_rows.select("symbol", F.col("pos").alias("query_pos"), F.col("date").alias("as_of"), (F.concat_ws("/", *DIMS).contains(UNKNOWN)).alias("unknown"))
-    stats = stats.join(asked, ["symbol", "query_pos"]).join(analog.select("symbol", "query_pos", "mean_dist"), ["symbol", "query_pos"], "left")
+    stats = stats.join(asked, ["symbol", "query_pos"])
     shift, density = S.ood(F.col("mean_dist"), len(FEATURES))
     conc = S.is_concentrated(F.col("regimes"), F.col("date_start"), F.col("date_end"))
     by = W.partitionBy("symbol", "query_pos", "h")
