@@ -212,10 +212,11 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     seen = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that a hub's rows meet its minimum in a join that Spark can split
+        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.table(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         pairs = scratch.table(small, "small-star")
