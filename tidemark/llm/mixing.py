@@ -22,7 +22,7 @@ MAX_EPOCHS = 3
 #: The dynamic program's budget: sums up to this many words are fitted exactly.
 DP_BUDGET = 1 << 16
 #: Documents of one source and length are ranked in blocks of about this many.
-BLOCK = 4096
+BLOCK = 256
 OUT = ["size", "source_size", "target", "taken"]
 
 
@@ -183,7 +183,7 @@ def mix(
     # large groups of one length: count blocks of the hash, so that only the block where the count ends is ranked
     blocks = F.when(F.col("n") > 2 * BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(1)
     some = fitted.where("extra > 0 and extra < n").withColumn("blocks", blocks.cast("long")).select("__src", "size", "extra", "blocks")
-    large = some.where("blocks > 1")
+    large = scratch.small(some.where("blocks > 1"), "large-groups")
     key = ["__src", "size"]
     in_large = rows.select(*key, "__pick").join(large, key).groupBy(*key, "extra", "blocks", F.expr("pmod(__pick, blocks)").alias("__block"))
     before = F.coalesce(F.sum("c").over(W.partitionBy(*key).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -192,7 +192,7 @@ def mix(
     cuts = some.join(ends, key, "left").select(
         *key, "blocks", F.coalesce("cut", F.lit(0).cast("long")).alias("cut"), F.coalesce("in_cut", "extra").alias("in_cut")
     )
-    cuts = scratch.table(cuts, "cuts")
+    cuts = scratch.small(cuts, "cuts")
     # rank only the rows of cut blocks, by ids alone; a row's copies (equal id and text) are ranked as one run
     picks = rows.select(*key, "__pick").join(cuts, key).where(F.expr("pmod(__pick, blocks)") == F.col("cut"))
     runs = picks.groupBy(*key, "in_cut", "__pick").agg(F.count(F.lit(1)).alias("c"))
