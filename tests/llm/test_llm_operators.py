@@ -457,3 +457,18 @@ def test_scratch_release(spark):
     t = s.table(spark.range(3), "x")
     assert t.count() == 3
     s.release()
+
+
+def test_shards_beyond_the_memory_budget_spill(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MEMORY", 256)
+    rng = random.Random(15)
+    base = "".join(rng.choice("abc") for _ in range(160))
+    texts = [base[i : i + 90] + "".join(rng.choice("xyz") for _ in range(20)) for i in range(0, 60, 7)]
+    text = suffix_dedup._ShardText()
+    for t in texts:
+        text.append(t.encode())
+    assert text.file is not None and len(text.array()) == sum(len(t) + 1 for t in texts)
+    text.close()
+    frame = docs(spark, texts)
+    out = suffix_dedup.remove_repeats(frame, length=40, gram=16).orderBy("doc_id").toPandas()
+    assert out.n_removed.tolist() == [r for r, _ in brute_repeats_of(texts, 40)]

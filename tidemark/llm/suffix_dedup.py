@@ -164,43 +164,61 @@ def _counted(runs: DataFrame, scratch: Scratch) -> DataFrame:
     return plain.unionByName(hot.select("anchor", "ctx", "doc", "a", "b", "n", "copies", "contexts", (F.struct("doc", "a") == F.col("first")).alias("lead")))
 
 
+class _ShardText:
+    """A shard's contexts one after another, each with a separator; in memory, beyond the budget in a task-private spill file."""
+
+    def __init__(self) -> None:
+        self.held, self.file = bytearray(), None
+
+    def append(self, context: bytes) -> None:
+        self.held += (np.frombuffer(context, np.uint8).astype(np.int16) + 1).tobytes() + b"\0\0"
+        if len(self.held) > MEMORY:
+            if self.file is None:
+                self.file = tempfile.NamedTemporaryFile(prefix="shard-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+            self.file.write(self.held)
+            self.held = bytearray()
+
+    def array(self) -> np.ndarray:
+        if self.file is None:
+            return np.frombuffer(self.held, np.int16)
+        self.file.write(self.held)
+        self.file.flush()
+        self.held = bytearray()
+        return np.memmap(self.file.name, np.int16, "r", shape=(self.file.tell() // 2,))
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
 def _sort_shards(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows, file = None, [], None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal file
-            file.flush()
-            size = file.tell()
-            text = np.memmap(file.name, np.int16, "r", shape=(size // 2,)) if size > MEMORY else np.fromfile(file.name, np.int16)
-            flags = repeated_positions(text, length, MEMORY)
-            del text
-            file.close()
-            out: list[tuple] = []
-            at = 0
-            for doc, a, n in rows:
-                hit = np.flatnonzero(np.diff(flags[at : at + n - length + 1].view(np.int8), prepend=0, append=0))
-                out += [(doc, a + int(s), a + int(e) - 1) for s, e in zip(hit[0::2], hit[1::2])]
-                at += n + 1
-            file = None
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64()))], ["doc", "a", "b"])
+    def sort(text: _ShardText, rows: list) -> Iterator[pa.RecordBatch]:
+        flags = repeated_positions(text.array(), length, MEMORY)
+        out: list[tuple] = []
+        at = 0
+        for doc, a, n in rows:
+            hit = np.flatnonzero(np.diff(flags[at : at + n - length + 1].view(np.int8), prepend=0, append=0))
+            out += [(doc, a + int(s), a + int(e) - 1) for s, e in zip(hit[0::2], hit[1::2])]
+            at += n + 1
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64()))], ["doc", "a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, rows, text = None, [], _ShardText()
         try:
             for batch in batches:
                 for s, doc, a, context in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                    if s != shard:
-                        if file is not None:
-                            yield from close()
-                        shard, rows = s, []
-                        file = tempfile.NamedTemporaryFile(prefix="shard-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
-                    file.write((np.frombuffer(context, np.uint8).astype(np.int16) + 1).tobytes() + b"\0\0")
+                    if s != shard and rows:
+                        yield from sort(text, rows)
+                        text.close()
+                        rows, text = [], _ShardText()
+                    shard = s
+                    text.append(context)
                     rows.append((doc, a, len(context)))
-            if file is not None:
-                yield from close()
+            if rows:
+                yield from sort(text, rows)
         finally:
-            if file is not None:
-                file.close()
+            text.close()
 
     return run
 
