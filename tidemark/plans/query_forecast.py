@@ -132,7 +132,7 @@ def dips(spark, d):
 
 FORECASTS_SQL = f"""{B}, {BE}, fc AS (
   SELECT symbol || '-' || strftime(date, '%Y%m%d') || '-' || h AS forecast_id, symbol, symbol AS ticker, date AS trading_date, h::INT AS h, h::INT AS horizon, (0.3 + 0.4 * (day(date) % 10) / 9.0)::DOUBLE AS p_positive,
-    -0.02::DOUBLE AS q20, 0.03::DOUBLE AS q80, CASE WHEN day(date) % 3 = 0 THEN 'dip_context' ELSE 'forecast_engine' END AS voter, (day(date) * 3.25)::DOUBLE AS confidence,
+    -0.02::DOUBLE AS q20, 0.03::DOUBLE AS q80, CASE WHEN day(date) % 3 = 0 THEN 'dip_context' ELSE 'ensemble' END AS voter, (day(date) * 3.25)::DOUBLE AS confidence,
     CASE WHEN day(date) % 2 = 0 THEN 'high' ELSE 'moderate' END AS label, date::TIMESTAMP AS as_of_ts
   FROM bars, (VALUES (5), (20)) t(h))"""
 
@@ -143,7 +143,7 @@ def forecasts(spark, d):
     day = F.dayofmonth("trading_date")
     return f.select(
         F.concat_ws("-", "symbol", F.date_format("trading_date", "yyyyMMdd"), F.col("h").cast("string")).alias("forecast_id"), "symbol", F.col("symbol").alias("ticker"), "trading_date", "h", F.col("h").alias("horizon"),
-        (0.3 + 0.4 * (day % 10) / 9.0).alias("p_positive"), F.lit(-0.02).alias("q20"), F.lit(0.03).alias("q80"), F.when(day % 3 == 0, "dip_context").otherwise("forecast_engine").alias("voter"),
+        (0.3 + 0.4 * (day % 10) / 9.0).alias("p_positive"), F.lit(-0.02).alias("q20"), F.lit(0.03).alias("q80"), F.when(day % 3 == 0, "dip_context").otherwise("ensemble").alias("voter"),
         (day * 3.25).alias("confidence"), F.when(day % 2 == 0, "high").otherwise("moderate").alias("label"), F.col("trading_date").cast("timestamp").alias("as_of_ts"),
     )
 
