@@ -198,6 +198,24 @@ def test_induced_sort_flags(memory, monkeypatch):
         assert (got == naive_flags(text, length)).all(), text.tolist()
 
 
+def test_induced_sort_stays_in_budget(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(induced_sort, "BLOCK", 1 << 10)
+    rng = np.random.default_rng(6)
+    text = rng.integers(1, 5, 150_000).astype(np.int16)
+    text[100_000:140_000] = text[:40_000]
+    want = np.array(induced_sort.repeated_positions(text, 40))
+    tracemalloc.start()
+    try:
+        got = induced_sort.repeated_positions(text, 40, 1 << 17)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (got == want).all() and 80_000 - 78 <= got.sum() < 80_100
+    assert peak < 8 * len(text)  # the tuples of both passes alone are more
+
+
 def brute_repeats_of(texts, length):
     seen = defaultdict(int)
     data = [(t or "").encode() for t in texts]

@@ -14,6 +14,9 @@ blocks of a queue are handled with numpy at once. A reduced string has too many
 characters for that: one within the memory budget is sorted in memory by doubling, a
 larger one by the same induction, tuple by tuple, over `DiskHeap`.
 
+What grows with the string (types, starts, substring order, names, both passes' tuples, flags)
+is an array or a queue of `Store`, on disk beyond the budget, and handled in blocks.
+
 Only `cap` characters count: suffixes equal in as many are in any order, and common
 prefixes stop there.
 """
@@ -30,8 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 
 BLOCK = 1 << 15
-#: What sorting a reduced string in memory takes for each of its characters.
+#: What sorting a reduced string in memory takes for each of its characters, and substrings for each of them.
 SORT_BYTES = 72
+PART_BYTES = 128
+#: Bits of a character by which substrings are split at once while they are over the budget.
+DIGIT = 8
 NONE = np.int32(1 << 30)
 
 
@@ -61,10 +67,11 @@ class Store:
 
 
 class DiskQueue:
-    """First-in-first-out rows of two int32 values; those over `room` rows go to a file."""
+    """First-in-first-out rows of two integers; those over `room` rows go to a file."""
 
-    def __init__(self, store: Store, room: int) -> None:
+    def __init__(self, store: Store, room: int, kind=np.int32) -> None:
         self.store, self.room = store, room
+        self.kind = np.dtype(kind)
         self.blocks: list[np.ndarray] = []
         self.held = 0
         self.file = None
@@ -80,16 +87,17 @@ class DiskQueue:
                 self.file = open(self.name, "w+b")
             self.file.seek(0, 2)
             for b in self.blocks:
-                self.file.write(np.ascontiguousarray(b, np.int32).tobytes())
+                self.file.write(np.ascontiguousarray(b, self.kind).tobytes())
             self.written += self.held
             self.blocks, self.held = [], 0
 
     def pop(self) -> np.ndarray | None:
         """The next block, at most BLOCK rows; None if empty."""
         if self.read_at < self.written:
-            self.file.seek(self.read_at * 8)
+            row = 2 * self.kind.itemsize
+            self.file.seek(self.read_at * row)
             n = min(BLOCK, self.written - self.read_at)
-            rows = np.frombuffer(self.file.read(n * 8), np.int32).reshape(-1, 2)
+            rows = np.frombuffer(self.file.read(n * row), self.kind).reshape(-1, 2)
             self.read_at += n
             return rows
         if not self.held:
@@ -106,8 +114,63 @@ class DiskQueue:
             self.file = None
 
 
+class Spill:
+    """Rows of `width` integers under small keys, read by key in either direction; those over `room` rows go to one file."""
+
+    def __init__(self, store: Store, keys: int, room: int, width: int, kind=np.int64) -> None:
+        self.store, self.room, self.width, self.kind = store, room, width, np.dtype(kind)
+        self.live: dict[int, list[np.ndarray]] = {}
+        self.parts: list[list[tuple[int, int]]] = [[] for _ in range(keys)]  # (offset, rows) in the file
+        self.rows = [0] * keys
+        self.held = 0
+        self.file = None
+        self.name = ""
+
+    def append(self, key: int, rows: np.ndarray) -> None:
+        self.live.setdefault(key, []).append(rows)
+        self.rows[key] += len(rows)
+        self.held += len(rows)
+        if self.held > self.room:
+            if self.file is None:
+                self.name = self.store.path()
+                self.file = open(self.name, "w+b")
+            self.file.seek(0, 2)
+            for k, blocks in self.live.items():
+                all_ = np.concatenate(blocks)
+                for a in range(0, len(all_), BLOCK):
+                    part = np.ascontiguousarray(all_[a : a + BLOCK], self.kind)
+                    self.parts[k].append((self.file.tell(), len(part)))
+                    self.file.write(part.tobytes())
+            self.live, self.held = {}, 0
+
+    def _part(self, offset: int, rows: int) -> np.ndarray:
+        self.file.seek(offset)
+        return np.frombuffer(self.file.read(rows * self.width * self.kind.itemsize), self.kind).reshape(-1, self.width)
+
+    def read(self, key: int, backward: bool = False) -> Iterator[np.ndarray]:
+        """Its blocks, the first or the last first; rows in a block are always in the order they came."""
+        parts, live = self.parts[key], self.live.get(key, [])
+        if backward:
+            yield from reversed(live)
+            yield from (self._part(*x) for x in reversed(parts))
+        else:
+            yield from (self._part(*x) for x in parts)
+            yield from live
+
+    def forget(self, key: int) -> None:
+        """A key that was read is not wanted again; the file goes with the last one."""
+        self.held -= sum(map(len, self.live.pop(key, [])))
+        self.parts[key], self.rows[key] = [], 0
+        if self.file is not None and not any(self.rows):
+            self.file.close()
+            os.remove(self.name)
+            self.file = None
+
+
 class DiskHeap:
-    """A priority queue of integer tuples (three values); sorted runs over `room` tuples go to files."""
+    """A priority queue of integer tuples (three values); sorted runs over `room` tuples go to files, RUNS of which are merged."""
+
+    RUNS = 64
 
     def __init__(self, store: Store, room: int) -> None:
         self.store, self.room = store, room
@@ -119,15 +182,22 @@ class DiskHeap:
         if len(self.heap) > self.room:
             self.heap.sort()
             keep, out = self.heap[: self.room // 4], self.heap[self.room // 4 :]
-            name = self.store.path()
-            np.array(out, np.int64).tofile(name)
             self.heap = keep
-            self._next(self._rows(name))
-
-    @staticmethod
-    def _rows(name: str) -> Iterator[tuple]:
+            self._write(iter(out))
+            if len(self.runs) >= self.RUNS:
+                runs, self.runs = self.runs, []
+                self._write(heapq.merge(*(itertools.chain([head], rows) for head, _, rows in runs)))
+
+    def _write(self, items: Iterator[tuple]) -> None:
+        name = self.store.path()
+        with open(name, "wb") as f:
+            while part := list(itertools.islice(items, 4096)):
+                np.array(part, np.int64).tofile(f)
+        self._next(self._rows(name))
+
+    def _rows(self, name: str) -> Iterator[tuple]:
         with open(name, "rb") as f:
-            while data := f.read(24 * 4096):
+            while data := f.read(24 * max(4, self.room // self.RUNS)):
                 yield from map(tuple, np.frombuffer(data, np.int64).reshape(-1, 3).tolist())
         os.remove(name)
 
@@ -149,17 +219,37 @@ class DiskHeap:
         return head
 
 
-def suffix_types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(is_s, run): S type of each suffix (the end counts as less than any character), and how often its first character repeats."""
+def suffix_types(text: np.ndarray, store: Store, memory: int) -> np.ndarray:
+    """S type of each suffix (the end counts as less than any character), block by block from the end."""
     n = len(text)
-    change = np.flatnonzero(text[1:] != text[:-1]) + 1
-    ends = np.append(change, n)
-    begins = np.concatenate([[0], change])
-    rising = np.zeros(len(ends), bool)
-    rising[:-1] = text[ends[:-1]] > text[ends[:-1] - 1]
-    lengths = ends - begins
-    run = (np.repeat(ends, lengths) - np.arange(n)).astype(np.int32)
-    return np.repeat(rising, lengths), run
+    is_s = store.array(n, bool, memory // 8)
+    for a in range((n - 1) // BLOCK * BLOCK, -1, -BLOCK):
+        b = min(a + BLOCK, n)
+        t = np.asarray(text[a:b])
+        change = np.flatnonzero(t[1:] != t[:-1]) + 1
+        ends = np.append(change, len(t))
+        rising = np.zeros(len(ends), bool)
+        rising[:-1] = t[change] > t[change - 1]
+        if b < n:
+            rising[-1] = is_s[b] if text[b] == t[-1] else text[b] > t[-1]
+        is_s[a:b] = np.repeat(rising, np.diff(ends, prepend=0))
+    return is_s
+
+
+def _run(text: np.ndarray, at: int, cap: int) -> int:
+    """How often the character at a position repeats from there, up to cap."""
+    part = np.asarray(text[at : at + cap])
+    other = np.flatnonzero(part != part[0])
+    return int(other[0]) if len(other) else len(part)
+
+
+def _mark(flags: np.ndarray, rows: np.ndarray, before: int | None, length: int) -> None:
+    """Flags the positions of a block whose common prefix with a neighbour is `length`; before: the position before the block."""
+    pos, hit = rows[:, 0], rows[:, 1] >= length
+    flags[pos[hit]] = True
+    flags[pos[:-1][hit[1:]]] = True
+    if hit[0] and before is not None:
+        flags[before] = True
 
 
 class _Carry:
@@ -211,20 +301,23 @@ def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
         table = np.minimum(table[: len(table) - (1 << (k - 1))], table[1 << (k - 1) :])
 
 
-def _induce(text, is_s, run, starts, start_lcp, store: Store, memory: int, cap: int) -> tuple[list, list, int]:
-    """The L and S queues of every character, by two passes over sorted leftmost S suffixes.
+def _induce(text, is_s, starts, start_lcp, flags, store: Store, memory: int, cap: int) -> None:
+    """Flags by two passes over sorted leftmost S suffixes, the L suffixes of every character ascending, then the S suffixes descending.
 
-    Returns (left, right, sigma): left[c] blocks of (position, common prefix) ascending,
-    right[c] blocks descending.
+    A block is flagged when it is taken; only the L tuples are kept (on disk beyond the budget), for the second pass.
     """
-    sigma = int(text.max()) + 1
+    sigma = int(max(np.max(text[a : a + BLOCK]) for a in range(0, len(text), BLOCK))) + 1
+    kind = np.int32 if len(text) < 1 << 31 else np.int64
     room = max(BLOCK, memory // 64 // max(1, min(sigma, 64)))
-    bounds = np.searchsorted(text[starts], np.arange(sigma + 1))
-    left: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-    right: list[list[np.ndarray]] = [[] for _ in range(sigma)]
+    sizes = np.zeros(sigma, np.int64)
+    for a in range(0, len(starts), BLOCK):
+        sizes += np.bincount(text[starts[a : a + BLOCK]], minlength=sigma)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    left = Spill(store, sigma, max(BLOCK, memory // 64), 2, kind)
+    ends: dict[bool, dict[int, int]] = {False: {}, True: {}}  # the last position taken of each character
 
-    def passes(down: bool, out: list) -> None:
-        queues = [DiskQueue(store, room) for _ in range(sigma)]
+    def passes(down: bool) -> None:
+        queues = [DiskQueue(store, room, kind) for _ in range(sigma)]
         carry = _Carry(sigma, cap)
 
         def scan(pos: np.ndarray, lcp: np.ndarray) -> None:
@@ -237,10 +330,13 @@ def _induce(text, is_s, run, starts, start_lcp, store: Store, memory: int, cap:
             p, chars = p[order], chars[order]
             cuts = np.flatnonzero(np.diff(chars, prepend=-1))
             for a, b in zip(cuts, np.append(cuts[1:], len(chars))):
-                queues[chars[a]].push(np.stack([p[a:b], values[a:b]], 1).astype(np.int32))
+                queues[chars[a]].push(np.stack([p[a:b], values[a:b]], 1).astype(kind))
+
+        def meet(c: int, last: int | None, first: int) -> int:
+            return 0 if last is None else min(_run(text, last, cap), _run(text, first, cap))
 
         if not down:  # the last suffix is L: the end of the text comes before everything
-            queues[int(text[-1])].push(np.array([[len(text) - 1, 0]], np.int32))
+            queues[int(text[-1])].push(np.array([[len(text) - 1, 0]], kind))
             carry.has[int(text[-1])] = True
             carry.low[int(text[-1])] = 0
         for c in range(sigma - 1, -1, -1) if down else range(sigma):
@@ -249,30 +345,38 @@ def _induce(text, is_s, run, starts, start_lcp, store: Store, memory: int, cap:
                 rows = rows.copy()
                 if last is None:
                     rows[0, 1] = 0
-                out[c].append(rows)
-                last = rows[-1, 0]
-                scan(rows[:, 0].astype(np.int64), rows[:, 1])
+                _mark(flags, rows, last, cap)
+                if not down:
+                    left.append(c, rows)
+                last = int(rows[-1, 0])
+                scan(rows[:, 0].astype(np.int64), rows[:, 1].astype(np.int32))
             queues[c].drop()
+            if last is not None:
+                ends[down][c] = last
             if down:  # then its L suffixes, the largest first
                 follow = None
-                for rows in reversed(left[c]):
+                for rows in left.read(c, backward=True):
                     pos = rows[::-1, 0].astype(np.int64)
                     lcp = np.empty(len(pos), np.int32)
                     lcp[1:] = rows[:0:-1, 1]
-                    lcp[0] = follow if follow is not None else (0 if last is None else min(run[last], run[pos[0]], cap))
+                    lcp[0] = follow if follow is not None else meet(c, last, int(pos[0]))
                     follow = rows[0, 1]
                     scan(pos, lcp)
+                left.forget(c)
             else:  # then its leftmost S suffixes
                 for a in range(bounds[c], bounds[c + 1], BLOCK):
                     pos = starts[a : min(a + BLOCK, bounds[c + 1])].astype(np.int64)
                     lcp = start_lcp[a : a + len(pos)].astype(np.int32)
                     if a == bounds[c]:
-                        lcp[0] = 0 if last is None else min(run[last], run[pos[0]], cap)
+                        lcp[0] = meet(c, last, int(pos[0]))
                     scan(pos, lcp)
 
-    passes(False, left)
-    passes(True, right)
-    return left, right, sigma
+    passes(False)
+    passes(True)
+    for c in ends[False].keys() & ends[True].keys():
+        a, b = ends[False][c], ends[True][c]
+        if min(_run(text, a, cap), _run(text, b, cap)) >= cap:
+            flags[a] = flags[b] = True
 
 
 def _doubling(names: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -304,19 +408,24 @@ def _doubling(names: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
 def _by_heap(names: np.ndarray, store: Store, memory: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, common prefixes) of a reduced string that is over the budget: induction tuple by tuple over DiskHeap."""
     n = len(names)
-    is_s, run = suffix_types(names)
+    is_s = suffix_types(names, store, memory)
     starts, start_lcp = _sorted_starts(names, is_s, store, memory, cap)
     room = max(4, memory // 256)
-    order, lcps = store.array(n, np.int64, memory), store.array(n, np.int32, memory)
+    order, lcps = store.array(n, np.int64, memory // 8), store.array(n, np.int32, memory // 8)
     sigma = int(names.max()) + 1
-    slots = np.concatenate([[0], np.cumsum(np.bincount(names, minlength=sigma))])
+    slots = store.array(sigma + 1, np.int64, memory // 8)
+    for a in range(0, n, BLOCK):
+        np.add.at(slots, names[a : a + BLOCK] + 1, 1)
+    np.cumsum(slots, out=slots)
+    fill, ends_l, last_at = (store.array(sigma, np.int64, memory // 8) for _ in range(3))
+    both = lambda p, q: min(_run(names, int(p), cap), _run(names, int(q), cap))
 
     def passes(down: bool) -> None:
         heap, seq = DiskHeap(store, room), itertools.count()
         # the least value over the last so many tuples taken, by a stack of minimums
         taken: list[tuple[int, int]] = []  # (count, value), values increasing
         count = 0
-        last_at: dict[int, int] = {}
+        last_at[:] = -2
 
         def take(p: int, value: int) -> None:
             nonlocal count
@@ -327,15 +436,15 @@ def _by_heap(names: np.ndarray, store: Store, memory: int, cap: int) -> tuple[np
             q = p - 1
             if p and bool(is_s[q]) == down:
                 c = int(names[q])
-                if c in last_at:
-                    i = _bisect(taken, last_at[c] + 1)
+                if last_at[c] > -2:
+                    i = _bisect(taken, int(last_at[c]) + 1)
                     v = min(taken[i][1] + 1, cap)
                 else:
                     v = 0
                 last_at[c] = count - 1
                 heap.push((-c if down else c, next(seq), q * (cap + 1) + v))
 
-        fill = slots[1:].copy() if down else slots[:-1].copy()
+        fill[:] = slots[1:] if down else slots[:-1]
         at_start = 0
         if not down:
             last_at[int(names[-1])] = -1
@@ -358,7 +467,7 @@ def _by_heap(names: np.ndarray, store: Store, memory: int, cap: int) -> tuple[np
                 end, before = ends_l[c], None
                 for i in range(end - 1, slots[c] - 1, -1):
                     p = int(order[i])
-                    v = before if before is not None else (0 if last is None else min(int(run[last]), int(run[p]), cap))
+                    v = before if before is not None else (0 if last is None else both(last, p))
                     before = int(lcps[i])
                     take(p, v)
             else:
@@ -368,22 +477,21 @@ def _by_heap(names: np.ndarray, store: Store, memory: int, cap: int) -> tuple[np
                     p = int(starts[at_start])
                     v = int(start_lcp[at_start])
                     if first:
-                        v = 0 if last is None else min(int(run[last]), int(run[p]), cap)
+                        v = 0 if last is None else both(last, p)
                     first = False
                     take(p, v)
                     at_start += 1
 
-    ends_l = np.zeros(sigma, np.int64)
     passes(False)
     passes(True)
     # S values are common prefixes with the next suffix: turn them into those with the one before
-    out = np.zeros(n, np.int32)
+    out = store.array(n, np.int32, memory // 8)
     for c in range(sigma):
         a, m, b = slots[c], ends_l[c], slots[c + 1]
         out[a:m] = lcps[a:m]
         if m < b:
             out[m + 1 : b] = lcps[m : b - 1]
-            out[m] = min(run[order[m - 1]], run[order[m]], cap) if m > a else 0
+            out[m] = both(order[m - 1], order[m]) if m > a else 0
     return order, out
 
 
@@ -413,61 +521,125 @@ def _equal_length(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) ->
     return out
 
 
+def _leftmost(is_s: np.ndarray, store: Store, memory: int) -> np.ndarray:
+    """The leftmost S positions, ascending."""
+
+    def found() -> Iterator[np.ndarray]:
+        for a in range(1, len(is_s), BLOCK):
+            b = min(a + BLOCK, len(is_s))
+            yield np.flatnonzero(is_s[a:b] & ~is_s[a - 1 : b - 1]) + a
+
+    starts, at = store.array(sum(map(len, found())), np.int64, memory // 8), 0
+    for x in found():
+        starts[at : at + len(x)] = x
+        at += len(x)
+    return starts
+
+
 def _sorted_starts(text, is_s, store: Store, memory: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, common prefixes) of the leftmost S suffixes in order."""
-    starts = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    if not len(starts):
+    starts = _leftmost(is_s, store, memory)
+    m = len(starts)
+    if not m:
         return starts, np.zeros(0, np.int32)
-    # their substrings in order: up to the next leftmost S position, or the end
-    ends = np.append(starts[1:], len(text) - 1)
-    lengths = ends - starts + 1
-    order = _sort_substrings(text, starts, lengths)
-    a, b = starts[order[:-1]], starts[order[1:]]
-    la, lb = lengths[order[:-1]], lengths[order[1:]]
-    same = la == lb
-    at_end = (ends[order[:-1]] == len(text) - 1) | (ends[order[1:]] == len(text) - 1)
-    same &= ~at_end
-    same[same] = _equal_length(text, a[same], b[same], int(lengths.max())) >= la[same]
-    names = np.empty(len(starts), np.int64)
-    names[order] = np.concatenate([[0], np.cumsum(~same)])
-    if int(names.max()) + 1 == len(starts):
-        reduced, shared = np.argsort(names, kind="stable"), np.zeros(len(starts), np.int32)
-    elif len(starts) * SORT_BYTES <= memory:
-        reduced, shared = _doubling(names, cap)
+    chunk = max(BLOCK, memory // 256)
+    order = _sort_substrings(text, starts, store, memory)
+    names = store.array(m, np.int64, memory // 8)
+    name = 0
+    for i in range(1, m, chunk):
+        ids = np.asarray(order[i - 1 : i + chunk])
+        at, size = starts[ids], _lengths(text, starts, ids)
+        same = (size[1:] == size[:-1]) & (ids[1:] < m - 1) & (ids[:-1] < m - 1)  # the last one ends with the text
+        same[same] = _equal_length(text, at[:-1][same], at[1:][same], int(size.max())) >= size[:-1][same]
+        names[ids[1:]] = name + np.cumsum(~same)
+        name += int((~same).sum())
+    if name + 1 == m:
+        reduced, shared = order, store.array(m, np.int32, memory // 8)
+    elif m * SORT_BYTES <= memory:
+        reduced, shared = _doubling(np.asarray(names), cap)
     else:
         reduced, shared = _by_heap(names, store, memory, cap)
-    reduced = np.asarray(reduced, np.int64)
     # from names to characters: the equal substrings, then what the next two share
-    lcp = np.zeros(len(starts), np.int32)
-    x, y, k = reduced[:-1], reduced[1:], np.asarray(shared[1:], np.int64)
+    out, lcp = store.array(m, np.int64, memory // 8), store.array(m, np.int32, memory // 8)
+    out[0] = starts[reduced[0]]
+    for i in range(1, m, chunk):
+        ids = np.asarray(reduced[i - 1 : i + chunk], np.int64)
+        x, y, k = ids[:-1], ids[1:], np.asarray(shared[i : i + chunk], np.int64)
+        xe, ye = np.minimum(x + k, m - 1), np.minimum(y + k, m - 1)
+        whole = np.minimum(starts[xe] - starts[x], cap)
+        tail = _equal_length(text, starts[xe], starts[ye], cap)
+        lcp[i : i + len(y)] = np.minimum(whole + tail, cap)
+        out[i : i + len(y)] = starts[y]
+    return out, lcp
+
+
+def _lengths(text: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Lengths of the substrings: up to the next leftmost S position, or the end."""
     last = len(starts) - 1
-    xe, ye = np.minimum(x + k, last), np.minimum(y + k, last)
-    whole = np.minimum(starts[xe] - starts[x], cap)
-    tail = _equal_length(text, starts[xe], starts[ye], cap)
-    lcp[1:] = np.minimum(whole + tail, cap)
-    return starts[reduced], lcp
-
-
-def _sort_substrings(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Order of the substrings: by rounds of four characters, over those that are still tied.
+    return np.where(ids < last, starts[np.minimum(ids + 1, last)], len(text) - 1) - starts[ids] + 1
+
+
+def _sort_substrings(text: np.ndarray, starts: np.ndarray, store: Store, memory: int) -> np.ndarray:
+    """Order of the substrings. Those over the budget are split by their next digit into files, the rest is sorted in memory."""
+    m, n = len(starts), len(text)
+    order, done = store.array(m, np.int64, memory // 8), 0
+    top = int(max(np.max(text[a : a + BLOCK]) for a in range(0, n, BLOCK))) + 2  # stands for the end of a substring
+    digits = -(-top.bit_length() // DIGIT)
+    whole = lambda: (np.arange(a, min(a + BLOCK, m)) for a in range(0, m, BLOCK))
+    stack: list[tuple[Spill | None, int, int, int]] = [(None, 0, m, 0)]
+    while stack:
+        parts, key, count, k = stack.pop()
+        blocks = whole() if parts is None else (rows[:, 0] for rows in parts.read(key))
+        at, step = divmod(k, digits)
+        if count == 1 or count * PART_BYTES <= memory:
+            ids = np.concatenate(list(blocks))
+            order[done : done + count] = ids[_sort_part(text, starts[ids], _lengths(text, starts, ids), ids == m - 1, at, top)]
+            done += count
+        else:
+            split = Spill(store, 1 << DIGIT, max(BLOCK, memory // 64), 1)
+            ended = False
+            for ids in blocks:
+                size = _lengths(text, starts, ids)
+                if step == 0 and at and size[0] < at:  # they ended a character before, so they are equal
+                    ended = True
+                    order[done : done + len(ids)] = ids
+                    done += len(ids)
+                    continue
+                v = np.where(ids == m - 1, 0, top)
+                inside = at < size
+                v[inside] = text[starts[ids[inside]] + at].astype(np.int64) + 1
+                d = v >> DIGIT * (digits - 1 - step) & (1 << DIGIT) - 1
+                by = np.argsort(d, kind="stable")
+                cuts = np.flatnonzero(np.diff(d[by], prepend=-1))
+                for a, b in zip(cuts, np.append(cuts[1:], len(by))):
+                    split.append(int(d[by[a]]), ids[by[a:b], None])
+            if not ended:
+                stack += [(split, d, c, k + 1) for d, c in reversed(list(enumerate(split.rows))) if c]
+        if parts is not None:
+            parts.forget(key)
+    return order
+
+
+def _sort_part(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, is_last: np.ndarray, k: int, top: int) -> np.ndarray:
+    """Order of substrings that agree in k characters: by rounds of four characters, over those that are still tied.
 
     Where one substring begins another, one of the two is the last, which ends with the
     text: no other ends where a leftmost S suffix starts and goes on. It comes first.
     """
     n = len(text)
-    base = int(text.max()) + 3
+    base = top + 1
     per = 1
     while base ** (per + 1) < 1 << 40 and per < 4:
         per += 1
     group = np.zeros(len(starts), np.int64)
     order = np.arange(len(starts))
-    tied, k = order, 0
+    tied = order
     while len(tied):
         key = np.zeros(len(tied), np.int64)
         for i in range(per):
             at = starts[tied] + k + i
             inside = (k + i < lengths[tied]) & (at < n)
-            v = np.where(tied == len(starts) - 1, 0, base - 1)
+            v = np.where(is_last[tied], 0, base - 1)
             v[inside] = text[at[inside]].astype(np.int64) + 1
             key = key * base + v
         by = np.lexsort((key, group[tied]))
@@ -486,7 +658,7 @@ def _sort_substrings(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray)
         goes_on = np.maximum.reduceat(lengths[members], np.flatnonzero(new)) > k  # one that has ended comes before those that go on
         tied = members[np.repeat((sizes > 1) & goes_on, sizes)]
     # the last substring ends with the text, so it comes before its equals
-    return np.lexsort((np.arange(len(starts)) != len(starts) - 1, group))
+    return np.lexsort((~is_last, group))
 
 
 def repeated_positions(text: np.ndarray, length: int, memory: int = 64 << 20) -> np.ndarray:
@@ -498,26 +670,12 @@ def repeated_positions(text: np.ndarray, length: int, memory: int = 64 << 20) ->
     n = len(text)
     store = Store()
     try:
-        flags = store.array(n, bool, memory)
+        flags = store.array(n, bool, memory // 8)
         if n < 2:
-            return np.array(flags)
-        is_s, run = suffix_types(text)
+            return flags
+        is_s = suffix_types(text, store, memory)
         starts, start_lcp = _sorted_starts(text, is_s, store, memory, length)
-        left, right, sigma = _induce(text, is_s, run, starts, start_lcp, store, memory, length)
-        for c in range(sigma):
-            for blocks in (left[c], right[c]):
-                before = None
-                for rows in blocks:
-                    pos, hit = rows[:, 0], rows[:, 1] >= length
-                    flags[pos[hit]] = True
-                    flags[pos[:-1][hit[1:]]] = True
-                    if hit[0] and before is not None:
-                        flags[before] = True
-                    before = pos[-1]
-            if left[c] and right[c]:
-                a, b = left[c][-1][-1, 0], right[c][-1][-1, 0]
-                if min(run[a], run[b]) >= length:
-                    flags[a] = flags[b] = True
-        return np.array(flags)
+        _induce(text, is_s, starts, start_lcp, flags, store, memory, length)
+        return flags  # a mapped file stays readable after close
     finally:
         store.close()

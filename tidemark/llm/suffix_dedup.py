@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import pickle
 import tempfile
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ MEMORY = 128 << 20
 #: An anchor with more occurrences than this is counted by context before it is moved.
 HOT = 4096
 RUN_BYTES = 1 << 20
+#: Contexts or found runs that a shard's task lists in memory.
+ROWS = 1 << 16
 OUT = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
 
 _U = np.uint64
@@ -191,8 +194,40 @@ class _ShardText:
             self.file.close()
 
 
+class _ShardRows:
+    """(doc, first, bytes) of a shard's contexts in order; beyond ROWS in a task-private spill file."""
+
+    def __init__(self) -> None:
+        self.held, self.file, self.dumps = [], None, 0
+
+    def append(self, row: tuple) -> None:
+        self.held.append(row)
+        if len(self.held) >= ROWS:
+            if self.file is None:
+                self.file = tempfile.TemporaryFile(prefix="rows-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+            pickle.dump(self.held, self.file)
+            self.held, self.dumps = [], self.dumps + 1
+
+    def __bool__(self) -> bool:
+        return bool(self.held or self.dumps)
+
+    def __iter__(self) -> Iterator[tuple]:
+        if self.file is not None:
+            self.file.seek(0)
+            for _ in range(self.dumps):
+                yield from pickle.load(self.file)
+        yield from self.held
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
 def _sort_shards(length: int):
-    def sort(text: _ShardText, rows: list) -> Iterator[pa.RecordBatch]:
+    def found(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64()))], ["doc", "a", "b"])
+
+    def sort(text: _ShardText, rows: _ShardRows) -> Iterator[pa.RecordBatch]:
         flags = repeated_positions(text.array(), length, MEMORY)
         out: list[tuple] = []
         at = 0
@@ -200,18 +235,22 @@ def _sort_shards(length: int):
             hit = np.flatnonzero(np.diff(flags[at : at + n - length + 1].view(np.int8), prepend=0, append=0))
             out += [(doc, a + int(s), a + int(e) - 1) for s, e in zip(hit[0::2], hit[1::2])]
             at += n + 1
+            if len(out) >= ROWS:
+                yield found(out)
+                out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64()))], ["doc", "a", "b"])
+            yield found(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows, text = None, [], _ShardText()
+        shard, rows, text = None, _ShardRows(), _ShardText()
         try:
             for batch in batches:
                 for s, doc, a, context in zip(*(batch.column(i).to_pylist() for i in range(4))):
                     if s != shard and rows:
                         yield from sort(text, rows)
                         text.close()
-                        rows, text = [], _ShardText()
+                        rows.close()
+                        rows, text = _ShardRows(), _ShardText()
                     shard = s
                     text.append(context)
                     rows.append((doc, a, len(context)))
@@ -219,6 +258,7 @@ def _sort_shards(length: int):
                 yield from sort(text, rows)
         finally:
             text.close()
+            rows.close()
 
     return run
 
