@@ -150,6 +150,11 @@ def last_positions(regime_rows: DataFrame, least: int = MIN_ROWS) -> DataFrame:
     return regime_rows.groupBy("symbol").agg(F.max("pos").alias("pos")).where(F.col("pos") + 1 >= least)
 
 
+def replay_positions(regime_rows: DataFrame, least: int = MIN_ROWS) -> DataFrame:
+    """symbol, pos of every row from the row floor on."""
+    return regime_rows.where(F.col("pos") + 1 >= least).select("symbol", "pos")
+
+
 def month_ends(regime_rows: DataFrame, least: int = MIN_ROWS) -> DataFrame:
     """symbol, pos of each month's last row from the row floor on."""
     return regime_rows.groupBy("symbol", F.trunc("date", "month")).agg(F.max("pos").alias("pos")).where(F.col("pos") + 1 >= least).select("symbol", "pos")

@@ -49,6 +49,8 @@ def _replay_sql(asked: str, hs) -> str:
 _LAST = "SELECT symbol, max(pos) AS pos FROM rg GROUP BY symbol HAVING max(pos) + 1 >= 260"
 _MONTHS = "SELECT symbol, pos FROM (SELECT symbol, max(pos) AS pos FROM rg GROUP BY symbol, date_trunc('month', date)) WHERE pos + 1 >= 260"
 
+_ALL = "SELECT symbol, pos FROM rg WHERE pos + 1 >= 260"
+
 
 @query("flagship_regime_outcomes", _replay_sql(_LAST, (1, 5, 20, 60)), _STAT_D)
 def flagship(spark, d):
@@ -81,6 +83,19 @@ def forecast_months(spark, d):
     return FC.forecast(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.month_ends(rg))
 
 
+@query("e20_replay_forecasts")
+def forecast_replay(spark, d):
+    """The whole forecast replayed for every symbol and date."""
+    rg = regime_bars(spark, d)
+    return FC.forecast(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.replay_positions(rg))
+
+
+@query("e20_replay_regimes", _replay_sql(_ALL, FC.HORIZONS), _STAT_D)
+def regime_replays(spark, d):
+    rg = regime_bars(spark, d)
+    return FC.regime_replay(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.replay_positions(rg))
+
+
 @query("t12_basis_horizon")
 def basis(spark, d):
     rg = regime_bars(spark, d)
@@ -112,22 +127,29 @@ def expanding_scale(spark, d):
     return x.select("symbol", "date", *[F.col("scale")[i].alias(f"s_{c}") for i, c in enumerate(FC.FEATURES[:4])])
 
 
-@query(
-    "e02_dip_context",
-    f"""WITH RECURSIVE {REGIMES_SQL}, {_PREFIX}, dp AS (SELECT symbol, pos FROM (SELECT symbol, row_number() OVER w - 1 AS pos, close / ({_ma(252, 'close', 'max', 60)}) - 1 AS dd FROM bars {SW}) WHERE dd <= -0.1),
-      pd AS (SELECT pf.* FROM pf JOIN dp USING (symbol, pos)), {thin_sql('pd', 21, 'symbol, depth, prefix')}, {_forward_sql((21, 63))}, ask AS (SELECT m.* FROM ({_MONTHS}) m JOIN dp USING (symbol, pos)),
+def _dip_sql(asked: str) -> str:
+    return f"""WITH RECURSIVE {REGIMES_SQL}, {_PREFIX}, dp AS (SELECT symbol, pos FROM (SELECT symbol, row_number() OVER w - 1 AS pos, close / ({_ma(252, 'close', 'max', 60)}) - 1 AS dd FROM bars {SW}) WHERE dd <= -0.1),
+      pd AS (SELECT pf.* FROM pf JOIN dp USING (symbol, pos)), {thin_sql('pd', 21, 'symbol, depth, prefix')}, {_forward_sql((21, 63))}, ask AS (SELECT m.* FROM ({asked}) m JOIN dp USING (symbol, pos)),
       hit AS (SELECT a.symbol, a.pos AS query_pos, p.depth, k.pos FROM ask a JOIN pf p USING (symbol, pos) JOIN kept k ON k.symbol = p.symbol AND k.depth = p.depth AND k.prefix = p.prefix AND k.pos <= a.pos),
       cnt AS (SELECT symbol, query_pos, depth, count(*) AS n_positions FROM hit GROUP BY ALL HAVING count(*) >= 8),
       deep AS (SELECT * FROM cnt QUALIFY depth = max(depth) OVER (PARTITION BY symbol, query_pos)),
       st AS (SELECT symbol, query_pos, depth::INT AS depth, h::INT AS h, any_value(n_positions) AS n_positions, {_STATS} FROM hit JOIN deep USING (symbol, query_pos, depth) JOIN fw USING (symbol, pos) WHERE pos + h <= query_pos GROUP BY symbol, query_pos, depth, h)
-    SELECT *, p_positive - 0.5 AS edge, CASE WHEN n < 8 THEN 'INSUFFICIENT_EVIDENCE' WHEN p_positive - 0.5 <= -0.08 OR expected_mae < -0.12 THEN 'AVOID' WHEN p_positive - 0.5 >= 0.08 THEN 'BUY' ELSE 'WAIT' END AS verdict FROM st""",
-    _STAT_D + " edge",
-)
+    SELECT *, p_positive - 0.5 AS edge, CASE WHEN n < 8 THEN 'INSUFFICIENT_EVIDENCE' WHEN p_positive - 0.5 <= -0.08 OR expected_mae < -0.12 THEN 'AVOID' WHEN p_positive - 0.5 >= 0.08 THEN 'BUY' ELSE 'WAIT' END AS verdict FROM st"""
+
+
+@query("e02_dip_context", _dip_sql(_MONTHS), _STAT_D + " edge")
 def dips(spark, d):
     rg = regime_bars(spark, d)
     return FC.dip_context(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.month_ends(rg))
 
 
+@query("e20_replay_dips", _dip_sql(_ALL), _STAT_D + " edge")
+def dip_replay(spark, d):
+    """The dip voter replayed for every symbol and date."""
+    rg = regime_bars(spark, d)
+    return FC.dip_context(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.replay_positions(rg))
+
+
 # ---- ledger: forecasts from the bars, one per symbol, month and horizon
 
 FORECASTS_SQL = f"""{B}, {BE}, fc AS (
