@@ -1,10 +1,13 @@
 """Queries do the whole job of their inventory line."""
 
+import datetime as dt
 import os
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from tidemark.plans import engines
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
@@ -25,3 +28,49 @@ def test_replay_has_every_date_and_both_voters(spark):
     assert len(both) == len(months) and (both.n_x == both.n_y).all() and (both.p_positive_x - both.p_positive_y).abs().max() < 1e-9
     dips = run(spark, "e20_replay_dips")
     assert set(dips.h) == {21, 63} and len(at(dips)) > 5 * len(at(run(spark, "e02_dip_context")))
+
+
+def dipping(spark):
+    """D falls by 15 % every 100 days and is in a fall now; U rises."""
+    rng = np.random.default_rng(3)
+    step = np.where(np.arange(560) % 100 < 80, 0.004, -0.012) + rng.normal(0, 0.002, 560)
+    closes = {"D": 100 * np.exp(np.cumsum(step[:495])), "U": 100 * np.exp(np.arange(495) * 0.001)}
+    rows = [(s, dt.date(2000, 1, 3) + dt.timedelta(i), float(c)) for s, x in closes.items() for i, c in enumerate(x)]
+    return spark.createDataFrame(rows, "symbol string, date date, close double"), closes["D"]
+
+
+def test_scenarios_mix_episodes_and_blocks(spark):
+    bars, c = dipping(spark)
+    high = np.array([c[max(0, i - 251) : i + 1].max() if i >= 59 else np.nan for i in range(len(c))])
+    dd = c / high - 1
+    kept, last = [], -(10**9)
+    for i in np.flatnonzero(np.abs(dd - dd[-1]) <= 0.06):
+        if i - last >= 21 and i + 63 < len(c):
+            kept.append(i)
+            last = i
+    want = {tuple(np.round(c[i + 1 : i + 64] / c[i] - 1, 9)) for i in kept}
+    assert dd[-1] <= -0.1 and kept
+    states = engines.dip_states(bars)
+    paths = engines.scenario_paths(states).toPandas()
+    assert set(paths.symbol) == {"D"} and len(paths) == 2000 and (paths.path.map(len) == 63).all()
+    past = paths[paths.branch == "history"]
+    assert len(past) == round(2000 * min(0.7, 0.07 * len(kept))) and {tuple(np.round(p, 9)) for p in past.path} == want
+    daily = np.sort(c[1:] / c[:-1] - 1)
+    drawn = np.diff(np.log1p(np.stack(paths[paths.branch == "break"].path)), axis=1, prepend=0).ravel()
+    at = np.clip(np.searchsorted(daily, np.expm1(drawn)), 1, len(daily) - 1)
+    assert np.minimum(abs(daily[at] - np.expm1(drawn)), abs(daily[at - 1] - np.expm1(drawn))).max() < 1e-9
+    rows = {r.symbol: r for r in engines.scenario_report(states, engines.scenario_paths(states)).collect()}
+    d = rows["D"]
+    troughs = np.stack(paths.path).min(axis=1)
+    assert not rows["U"].available and rows["U"].q25 is None and d.n_episodes == len(kept) and d.n_sims == 2000
+    assert [round(x, 9) for x in (d.median, d.q25, d.q10)] == [round(float(np.quantile(troughs, q)), 9) for q in (0.5, 0.25, 0.1)]
+    assert [(r.tranche, r.pctile, round(r.price, 6)) for r in d.ladder] == [(1, None, round(c[-1], 6)), (2, 25, round(c[-1] * (1 + d.q25), 6)), (3, 10, round(c[-1] * (1 + d.q10), 6))]
+    assert len(d.history_pool) == len(d.break_pool) == 600 and {round(x, 9) for x in d.history_pool} == {min(p) for p in want}
+    fan = engines.fan_chart(engines.scenario_paths(states)).toPandas().sort_values("day")
+    assert fan.day.tolist() == list(range(1, 64)) and abs(fan.p10.iloc[9] - np.quantile(np.stack(paths.path)[:, 9], 0.1)) < 1e-9
+
+
+def test_scenario_queries_have_2000_simulations_and_every_day(spark):
+    rows, fan = run(spark, "e04_a19_w32_bottom_scenarios"), run(spark, "a20_fan_chart")
+    assert set(rows[rows.available].n_sims) <= {2000} and {"ladder", "history_pool", "break_pool"} <= set(rows.columns)
+    assert len(fan) == 63 * rows.available.sum()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators.alignment import reindex_ffill
-from tidemark.operators.thinning import greedy_thin
+from tidemark.operators.thinning import greedy_thin, thin_positions
 from tidemark.operators.windows import position, rolling, series, trailing, with_streak
 from tidemark.plans.outcomes import forward_paths
 from tidemark.plans.technicals import swing_lows, tail_rank, up_down_volume
@@ -131,6 +131,66 @@ def bottom_scenarios(bars: DataFrame, sims: int = 2000, days: int = 63, block: i
     return path.withColumn("e", run).select("symbol", "sim", (F.exp("e.m") - 1).alias("trough"), (F.exp("e.x") - 1).alias("last"))
 
 
+def dip_states(bars: DataFrame, days: int = 63, threshold: float = -0.10, tolerance: float = 0.06, gap: int = 21, least: int = 120) -> DataFrame:
+    """symbol, available (a drawdown of the threshold now, and enough rows), current_dd, price, returns (daily), episodes
+    (complete paths of `days` cumulative returns after earlier days of a comparable drawdown, gap rows apart), n_episodes, w_history."""
+    x = bars.select("symbol", "date", "close").withColumn("pos", position()).withColumn("dd", F.col("close") / rolling(F.max, "close", 252, 60) - 1)
+    x = x.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("pos", "close", "dd"))).alias("l"))
+    last = F.element_at("l", -1)
+    x = x.select("symbol", "l", F.size("l").alias("rows"), last["dd"].alias("current_dd"), last["close"].alias("price"), F.transform("l", lambda r: r["close"]).alias("c"))
+    x = x.withColumn("available", F.coalesce((F.col("rows") >= least) & (F.col("current_dd") <= threshold), F.lit(False)))
+    near = F.filter("l", lambda r: (F.abs(r["dd"] - F.col("current_dd")) <= tolerance) & (r["pos"] + days < F.col("rows")))
+    kept = F.when(F.col("available"), thin_positions(F.transform(near, lambda r: r["pos"].cast("bigint")), gap))
+    after = lambda p: F.transform(F.slice("c", (p + 2).cast("int"), F.lit(days)), lambda v: v / F.element_at("c", (p + 1).cast("int")) - 1)
+    steps = F.when(F.col("available"), F.transform(F.slice("c", F.lit(2), F.greatest(F.col("rows") - 1, F.lit(0))), lambda v, i: v / F.element_at("c", i + 1) - 1))
+    x = x.withColumn("episodes", F.transform(kept, after)).withColumn("returns", steps).withColumn("n_episodes", F.when(F.col("available"), F.size("episodes")))
+    return x.select("symbol", "available", "current_dd", "price", "returns", "episodes", "n_episodes", S.scenario_confidence(F.col("n_episodes")).alias("w_history"))
+
+
+def _draw_paths(states: DataFrame, sims: int, history: Column, days: int, block: int, seed: int, tag: str) -> DataFrame:
+    """symbol, sim, branch, path: draws of an episode where history holds, else of blocks of daily returns, compounded."""
+    x = states.where("available").withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).withColumn("of_history", history)
+    draw = lambda k, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), "symbol", "sim", k), n)
+    episode = F.element_at("episodes", (draw(F.lit(-1), F.size("episodes")) + 1).cast("int"))
+    room = F.greatest(F.size("returns") - block, F.lit(1))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(-(-days // block) - 1)), lambda k: F.slice("returns", (draw(k, room) + 1).cast("int"), F.lit(block)))
+    start = F.struct(F.lit(1.0).alias("x"), F.array().cast("array<double>").alias("p"))
+    grow = lambda a, v: F.struct((a["x"] * (1 + v)).alias("x"), F.concat(a["p"], F.array(a["x"] * (1 + v) - 1)).alias("p"))
+    blocks = F.aggregate(F.slice(F.flatten(parts), 1, days), start, grow, lambda a: a["p"])
+    path = F.when(F.col("of_history"), episode).otherwise(blocks)
+    return x.select("symbol", "sim", F.when(F.col("of_history"), "history").otherwise("break").alias("branch"), path.alias("path"))
+
+
+def scenario_paths(states: DataFrame, sims: int = 2000, days: int = 63, block: int = 5, seed: int = 42) -> DataFrame:
+    """symbol, sim, branch, path, trough of symbols in a dip: the share w_history resamples past episodes, the rest is a block bootstrap.
+
+    Draws are hashes, so they don't depend on partitioning.
+    """
+    paths = _draw_paths(states, sims, F.col("sim") < F.bround(F.lit(float(sims)) * F.col("w_history")), days, block, seed, "mix")
+    return paths.withColumn("trough", F.array_min("path"))
+
+
+def fan_chart(paths: DataFrame) -> DataFrame:
+    """symbol, day (from 1), p10 to p90 of the simulated returns."""
+    x = paths.select("symbol", F.posexplode("path").alias("i", "v"))
+    return x.groupBy("symbol", (F.col("i") + 1).alias("day")).agg(*[F.percentile("v", p / 100).alias(f"p{p}") for p in (10, 25, 50, 75, 90)])
+
+
+def scenario_report(states: DataFrame, paths: DataFrame, days: int = 63, block: int = 5, seed: int = 42, pool: int = 600) -> DataFrame:
+    """A row per symbol: available; in a dip also the trough statistics, a ladder of three tranches, and pure pools of each branch for the slider."""
+    pools = {}
+    for branch in ("history", "break"):
+        p = _draw_paths(states, pool, (F.lit(branch == "history") & (F.col("n_episodes") > 0)), days, block, seed, branch)
+        p = p.where(F.col("branch") == branch).groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("sim", F.array_min("path").alias("t")))).alias("l"))
+        pools[branch] = p.select("symbol", F.transform("l", lambda r: r["t"]).alias(f"{branch}_pool"))
+    x = states.drop("returns", "episodes").join(trough_summary(paths), "symbol", "left").join(paths.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_sims")), "symbol", "left")
+    x = x.join(pools["history"], "symbol", "left").join(pools["break"], "symbol", "left")
+    empty = F.when(F.col("available"), F.array().cast("array<double>"))
+    x = x.withColumn("history_pool", F.coalesce("history_pool", empty))
+    rung = lambda n, pct, r: F.struct(F.lit(n).alias("tranche"), F.lit(pct).cast("int").alias("pctile"), r.alias("ret"), (F.col("price") * (1 + r)).alias("price"))
+    return x.withColumn("ladder", F.when(F.col("available"), F.array(rung(1, None, F.lit(0.0)), rung(2, 25, F.col("q25")), rung(3, 10, F.col("q10")))))
+
+
 def trough_summary(sims: DataFrame) -> DataFrame:
     return sims.groupBy("symbol").agg(
         F.avg(F.when(F.col("trough") >= -0.005, 1.0).otherwise(0.0)).alias("already_in"), F.percentile("trough", 0.5).alias("median"), F.percentile("trough", 0.1).alias("q10"), F.percentile("trough", 0.25).alias("q25")

@@ -204,13 +204,13 @@ def vtriggers(spark, d):
 
 @query("e04_a19_w32_bottom_scenarios")
 def scenarios(spark, d):
-    return E.trough_summary(E.bottom_scenarios(M.daily_bars(spark, d), sims=500))
+    states = E.dip_states(M.daily_bars(spark, d))
+    return E.scenario_report(states, E.scenario_paths(states))
 
 
 @query("a20_fan_chart")
 def fan(spark, d):
-    s = E.bottom_scenarios(M.daily_bars(spark, d), sims=300)
-    return s.groupBy("symbol").agg(*[F.percentile("last", p / 100).alias(f"p{p}") for p in (10, 25, 50, 75, 90)])
+    return E.fan_chart(E.scenario_paths(E.dip_states(M.daily_bars(spark, d))))
 
 
 @query(
