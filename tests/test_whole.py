@@ -74,3 +74,8 @@ def test_scenario_queries_have_2000_simulations_and_every_day(spark):
     rows, fan = run(spark, "e04_a19_w32_bottom_scenarios"), run(spark, "a20_fan_chart")
     assert set(rows[rows.available].n_sims) <= {2000} and {"ladder", "history_pool", "break_pool"} <= set(rows.columns)
     assert len(fan) == 63 * rows.available.sum()
+
+
+def test_live_forecast_has_six_horizons(spark):
+    assert set(run(spark, "e01_forecast").h) == {1, 5, 20, 60, 126, 252}
+    assert set(run(spark, "e21_forecast_rows").horizon) == {1, 5, 20, 60, 126, 252}

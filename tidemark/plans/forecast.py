@@ -27,6 +27,8 @@ FEATURES = [
 ]
 GAP, LEAST, POOL, MOST = 20, 8, 120, 60
 HORIZONS = (1, 5, 20, 60)
+#: Of a forecast of the last row; the replay has only the first four.
+LIVE_HORIZONS = (*HORIZONS, 126, 252)
 MIN_ROWS = 260
 DIMS = ("vix_label", "credit_label", "trend")
 

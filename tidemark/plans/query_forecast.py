@@ -73,7 +73,7 @@ def replay_grid(spark, d):
 @query("e01_forecast")
 def forecast_query(spark, d):
     rg = regime_bars(spark, d)
-    return FC.forecast(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.last_positions(rg))
+    return FC.forecast(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.last_positions(rg), FC.LIVE_HORIZONS)
 
 
 @query("e20_forecast_month_ends")
@@ -99,7 +99,7 @@ def regime_replays(spark, d):
 @query("t12_basis_horizon")
 def basis(spark, d):
     rg = regime_bars(spark, d)
-    stats = FC.forecast(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.last_positions(rg))
+    stats = FC.forecast(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.last_positions(rg), FC.LIVE_HORIZONS)
     return FC.basis_horizon(stats.where("model = 'ensemble'"), ["symbol"])
 
 

@@ -559,7 +559,7 @@ def single(spark, d):
 @query("e21_forecast_rows")
 def forecast_rows(spark, d):
     rg = regime_bars(spark, d)
-    f = FC.forecast(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.last_positions(rg)).where("model = 'ensemble'")
+    f = FC.forecast(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.last_positions(rg), FC.LIVE_HORIZONS).where("model = 'ensemble'")
     rid = S.write_id("create_forecast", F.col("symbol"), F.date_format("as_of", "yyyy-MM-dd"), F.col("h"), F.lit("tidemark-1"), F.lit("ensemble"))
     payload = F.to_json(F.struct("n", "p_positive", "q20", "q50", "q80", "confidence", "label"))
     return f.select(rid.alias("forecast_id"), F.col("symbol").alias("ticker"), F.col("as_of").alias("trading_date"), F.col("h").alias("horizon"), F.lit("ensemble").alias("voter"), payload.alias("evidence"))
