@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.plans import engines
+from tidemark.plans import engines, research
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
@@ -79,3 +79,29 @@ def test_scenario_queries_have_2000_simulations_and_every_day(spark):
 def test_live_forecast_has_six_horizons(spark):
     assert set(run(spark, "e01_forecast").h) == {1, 5, 20, 60, 126, 252}
     assert set(run(spark, "e21_forecast_rows").horizon) == {1, 5, 20, 60, 126, 252}
+
+
+def test_study_samples_every_trigger_of_every_symbol(spark):
+    bars, _ = dipping(spark)
+    got = {(r.symbol, r.trig, r.sampling): r for r in research.study(bars, ext=0.01, trail=0.02, strength=0.02).collect()}
+    assert len(got) == 2 * 4 * 3
+    for symbol in "DU":
+        x = bars.where(f"symbol = '{symbol}'").toPandas().sort_values("date").close.reset_index(drop=True)
+        ma, t126, t252 = x.rolling(200).mean(), x / x.shift(126) - 1, x / x.shift(252) - 1
+        masks = {"ext200": (x / ma - 1 >= 0.01) & (t126 >= 0.02), "strength": (x / x.rolling(20).max() - 1 >= -0.02) & (t126 >= 0.02), "tsmom_pos": t252 > 0, "tsmom_neg": t252 <= 0}
+        for trig, mask in masks.items():
+            every, ups, last, seen = [], [], -(10**9), False
+            for i, h in enumerate(mask):
+                if h and i - last >= 63:
+                    every.append(i)
+                    last = i
+                seen = seen and x[i] >= ma[i]
+                if h and x[i] >= ma[i] and not seen:
+                    ups.append(i)
+                    seen = True
+            for name, at in (("all", every), ("uptrend", ups), ("cross", [i for i in range(1, len(x)) if mask[i] and not mask[i - 1]])):
+                r, done = got[symbol, trig, name], [i for i in at if i + 126 < len(x)]
+                assert (r.n, r.n_complete) == (len(at), len(done)), (symbol, trig, name)
+                if done:
+                    assert abs(r.median - np.median([x[i + 126] / x[i] - 1 for i in done])) < 1e-9
+                    assert abs(r.worst_dd - min(x[i : i + 127].min() / x[i] - 1 for i in done)) < 1e-9

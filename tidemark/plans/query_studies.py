@@ -278,6 +278,12 @@ def summary(spark, d):
     )
 
 
+@query("e11_research_study")
+def research_study(spark, d):
+    """Every symbol, trigger and sampling; the thresholds suit the proxies' small moves."""
+    return R.study(M.daily_bars(spark, d), ext=0.01, trail=0.02, strength=0.02)
+
+
 # ---- rotation
 
 @query("w18_rs_table", f"WITH {P}, {BE}, j AS (SELECT symbol, date, close, last_value(bench IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date) AS bench FROM panel LEFT JOIN bench USING (date)), x AS (SELECT symbol, " + ", ".join(f"((close / lag(close, {h}) OVER w - 1) - (bench / lag(bench, {h}) OVER w - 1)) * 100 AS x{h}" for h in (21, 63, 126, 252)) + f", {_TAIL} FROM j {SW}) SELECT symbol, x21, x63, x126, x252, row_number() OVER (ORDER BY coalesce(x63, -999) DESC, symbol)::INT AS rk FROM x WHERE back = 1", "x21 x63 x126 x252", places=4)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators.thinning import greedy_thin
 from tidemark.operators.windows import n_bar_return, position, rolling, series
 
 
@@ -50,6 +51,39 @@ def first_per_uptrend(x: DataFrame, hit: Column) -> DataFrame:
     return good.where("__r = 1").drop("__r", "__up", "__hit")
 
 
+TRIGGERS = ("ext200", "strength", "tsmom_pos", "tsmom_neg")
+
+
+def sampled(x: DataFrame, cooldown: int = 63) -> DataFrame:
+    """Rows with trigger columns -> trig, sampling and the rows of each sampling of each trigger: all (a cooldown apart),
+    uptrend (one for each stretch above ma200) and cross (the first day the condition turns true)."""
+    out = None
+    for trig in TRIGGERS:
+        hit = x.where(F.col(trig))
+        every = hit.join(greedy_thin(hit, cooldown, ["symbol"]), ["symbol", "pos"])
+        for name, rows in (("all", every), ("uptrend", first_per_uptrend(x, F.col(trig)).drop("stretch")), ("cross", crossed(x, trig))):
+            part = rows.select(F.lit(trig).alias("trig"), F.lit(name).alias("sampling"), *x.columns)
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def study(bars: DataFrame, ext: float = 0.30, trail: float = 0.40, hi20: float = -0.02, strength: float = 0.30, ahead: int = 126) -> DataFrame:
+    """The summary of every symbol, trigger and sampling; n is 0 where a study has no episode."""
+    x = trigger_columns(indicators(bars), ext, trail, hi20, strength)
+    x = x.withColumn("fwd", F.lead("close", ahead).over(series()) / F.col("close") - 1)
+    x = x.withColumn("max_dd", F.min("close").over(series().rowsBetween(0, ahead)) / F.col("close") - 1)
+    done = F.col("fwd").isNotNull()
+    studies = F.array(*[F.struct(F.lit(t).alias("trig"), F.lit(s).alias("sampling")) for t in TRIGGERS for s in ("all", "uptrend", "cross")])
+    g = sampled(x).groupBy("symbol", "trig", "sampling").agg(
+        F.count(F.lit(1)).alias("n"), F.count("fwd").alias("n_complete"), F.percentile("fwd", 0.5).alias("median"), F.percentile(F.when(done, F.col("max_dd")), 0.5).alias("median_dd"),
+        F.min(F.when(done, F.col("max_dd"))).alias("worst_dd"), F.try_divide(F.count(F.when(F.col("fwd") > 0, 1)).cast("double"), F.count("fwd")).alias("pct_positive"),
+    )
+    every = bars.select("symbol").distinct().withColumn("s", F.explode(studies)).select("symbol", "s.trig", "s.sampling")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    out = every.join(g, ["symbol", "trig", "sampling"], "left")
+    return out.select("symbol", "trig", "sampling", zero("n"), zero("n_complete"), "median", "median_dd", "worst_dd", "pct_positive")
+
+
 def claims(episodes: DataFrame, dims: list[str], keys: list[str], least: int) -> DataFrame:
     """episodes (keys..., date, ret, dd, dims...) -> claims about every value of one dimension and of two.
 
