@@ -5,9 +5,10 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidemark.plans import engines, research
+from tidemark.plans import engines, research, studies
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
@@ -105,3 +106,19 @@ def test_study_samples_every_trigger_of_every_symbol(spark):
                 if done:
                     assert abs(r.median - np.median([x[i + 126] / x[i] - 1 for i in done])) < 1e-9
                     assert abs(r.worst_dd - min(x[i : i + 127].min() / x[i] - 1 for i in done)) < 1e-9
+
+
+def test_digest_gates_and_skips(spark):
+    day, old = dt.date(2020, 1, 10), dt.date(2020, 1, 9)
+    t = spark.createDataFrame([(s, ["rsi_extreme"], s != "Q") for s in "ABGNOQ"], "symbol string, triggers array<string>, qualifies boolean")
+    rows = [(s, h, d, label, s == "B", 0.5, 0.02 * h, -0.01, -0.02, 0.03) for s, d, label in (("A", day, "hold_no_change"), ("B", day, "hold_no_change"), ("G", day, "no_reliable_signal"), ("O", old, "hold_no_change"), ("Q", day, "hold_no_change")) for h in (1, 5)]
+    f = spark.createDataFrame(rows, "symbol string, h int, as_of date, label string, shift boolean, confidence double, mean_excess double, expected_mae double, q20 double, q80 double")
+    got = {r.symbol: r for r in studies.gated_digest(t, f, F.lit(day)).collect()}
+    assert {s: (r.kind, r.reason, r.rk) for s, r in got.items()} == {"A": ("setup", None, 1), "B": ("setup", None, 2), "G": ("gated_out", None, None), "N": ("skipped", "no_forecast_available", None), "O": ("skipped", "stale_forecast", None)}
+    assert abs(got["A"].score - (0.1 - 0.01 - 0.025 - 0.0015 + 0.1)) < 1e-9 and abs(got["A"].score - got["B"].score - 0.15) < 1e-9
+
+
+def test_digest_query_has_only_triggered_symbols(spark):
+    scan, got = run(spark, "p21_p22_scanner_triggers"), run(spark, "e15_scanner_digest")
+    assert set(got.symbol) <= set(scan[scan.qualifies].symbol) and set(got.kind) <= {"setup", "gated_out", "skipped"}
+    assert got[got.kind != "setup"].score.isna().all()

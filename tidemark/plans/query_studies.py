@@ -369,6 +369,17 @@ def scanner_digest(spark, d):
     return ST.scanner_digest(everyone, stats)
 
 
+@query("e15_scanner_digest")
+def gated_scanner_digest(spark, d):
+    """Setups, gated out and skipped symbols of the last day, from the ensemble's forecasts."""
+    bars, bench, rg = M.daily_bars(spark, d), M.benchmark(spark, d), regime_bars(spark, d)
+    last = FC.last_positions(rg)
+    f = FC.forecast(bars, bench, rg, last, FC.LIVE_HORIZONS).where("model = 'ensemble'").withColumn("shift", S.ood(F.col("mean_dist"), len(FC.FEATURES))[0])
+    triggers = ST.scanner_triggers(bars, bench, rg).join(last, "symbol", "left_semi")
+    today = bars.agg(F.max("date")).first()[0]
+    return ST.gated_digest(triggers, f, F.lit(today)).withColumn("triggers", F.array_join("triggers", ","))
+
+
 OVERLAY_SQL = f"""{B}, {_TAGS}, oi AS (SELECT symbol, date, row_number() OVER w - 1 AS pos, close / ({_ma(200)}) - 1 AS ext, close / lag(close, 126) OVER w - 1 AS trail, lead(close, 63) OVER w / close - 1 AS fwd63, lead(close, 126) OVER w / close - 1 AS fwd126,
     min(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 126 FOLLOWING) / close - 1 AS max_dd FROM bars {SW}),
   hit AS (SELECT * FROM oi WHERE ext >= 0.01 AND trail >= 0.02), {thin_sql('hit', 21, 'symbol')},

@@ -41,6 +41,25 @@ def scanner_digest(triggers: DataFrame, stats: DataFrame) -> DataFrame:
     return x.select("symbol", "score", F.row_number().over(W.orderBy(F.desc("score"), "symbol")).alias("rk"))  # a row per symbol
 
 
+def gated_digest(triggers: DataFrame, forecasts: DataFrame, today, horizon: int = 5) -> DataFrame:
+    """symbol, kind, reason, triggers, score, rk of symbols with a trigger of their own: skipped (no forecast, or none of
+    today), gated_out (no reliable signal) or setup, which are ranked by opportunity.
+
+    forecasts: the latest ensemble rows of each symbol (as_of, h, label, shift, confidence, statistics); the row of the
+    horizon is read, or the shortest.
+    """
+    row = F.struct((F.col("h") != horizon).alias("other"), "h", *[c for c in forecasts.columns if c not in ("symbol", "h")])
+    latest = forecasts.groupBy("symbol").agg(F.min_by(row, F.struct((F.col("h") != horizon).alias("o"), "h")).alias("f"))
+    x = triggers.where("qualifies").select("symbol", "triggers").join(latest, "symbol", "left")
+    reason = F.when(F.col("f").isNull(), "no_forecast_available").when(F.to_date("f.as_of") != today, "stale_forecast")
+    x = x.withColumn("reason", reason).withColumn("kind", F.when(F.col("reason").isNotNull(), "skipped").when(F.col("f.label") == "no_reliable_signal", "gated_out").otherwise("setup"))
+    f = lambda c: F.col(f"f.{c}")
+    score = S.opportunity_score(f("mean_excess"), f("expected_mae"), f("q20"), f("q80"), F.coalesce(f("shift"), F.lit(False)).cast("double"), f("confidence"))
+    x = x.withColumn("score", F.when(F.col("kind") == "setup", score))
+    rk = F.when(F.col("kind") == "setup", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("score"), "symbol")))  # a row per symbol
+    return x.select("symbol", "kind", "reason", "triggers", "score", rk.alias("rk"))
+
+
 def rs_table(panel: DataFrame, bench: DataFrame, horizons=(21, 63, 126, 252)) -> DataFrame:
     """symbol, x21.., rk: excess returns of the last day in percent, by the three-month one (null last)."""
     x = reindex_ffill(panel.select("symbol", "date", "close"), bench, "bench")
