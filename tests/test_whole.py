@@ -122,3 +122,12 @@ def test_digest_query_has_only_triggered_symbols(spark):
     scan, got = run(spark, "p21_p22_scanner_triggers"), run(spark, "e15_scanner_digest")
     assert set(got.symbol) <= set(scan[scan.qualifies].symbol) and set(got.kind) <= {"setup", "gated_out", "skipped"}
     assert got[got.kind != "setup"].score.isna().all()
+
+
+def test_drawdown_trigger_has_its_simulated_threshold(spark):
+    x, troughs = run(spark, "e09_simulated_triggers"), run(spark, "e04_a19_w32_bottom_scenarios").set_index("symbol")
+    x = x[x.id == "drawdown_beyond_mc_p25"].set_index("symbol")
+    dips = troughs[troughs.available].index
+    assert len(dips) and len(x) == len(troughs)
+    assert (abs(x.threshold[dips] - troughs.q25[dips]) < 1e-9).all() and x.threshold.drop(dips).isna().all()
+    assert (x.met == (x.current < x.threshold)).all() and x.met.any()

@@ -202,6 +202,13 @@ def vtriggers(spark, d):
     return E.verdict_triggers(M.daily_bars(spark, d), M.benchmark(spark, d))
 
 
+@query("e09_simulated_triggers")
+def simulated_triggers(spark, d):
+    """All ten triggers, the drawdown beyond the simulated 25th-percentile trough too."""
+    bars = M.daily_bars(spark, d)
+    return E.verdict_triggers(bars, M.benchmark(spark, d), E.trough_summary(E.scenario_paths(E.dip_states(bars))))
+
+
 @query("e04_a19_w32_bottom_scenarios")
 def scenarios(spark, d):
     states = E.dip_states(M.daily_bars(spark, d))
