@@ -2,13 +2,14 @@
 
 1. Documents (text words lower-cased, distinct five-word shingles) with equal shingle
    sets form one class. Each class gets 128 minimums, cut into 32 bands of 4.
-2. Classes that share a band are candidates. Each is tied to the best connected member of
-   the band's bucket; connected candidates form a cluster.
-3. In a cluster (if it is large: in each bucket) candidates that share a band and are not
-   connected yet are compared: 32 minimums at a time, pruned as soon as the posterior
+2. Classes that share a band are candidates. Each is first compared with the best connected
+   member of the band's bucket, its lead, in groups of a lead and GROUP_DOCS candidates.
+3. A bucket is open if its other members are not all connected by then. Classes of open
+   buckets that hang together are compared in one task if they are few; beyond that in each
+   bucket by blocks, those outside the bucket's largest component with all the others.
+4. A comparison looks at 32 minimums at a time and prunes as soon as the posterior
    probability of a similarity at the threshold is below MISS; what survives is verified
    on the full shingle sets. Pairs are never rows of a table.
-4. Links found in different buckets are joined to components.
 
 A pair at the threshold shares no band with probability (1 - 0.75**4)**32 = 5e-6.
 """
@@ -34,8 +35,8 @@ BATCH = 32
 THRESHOLD = 75
 #: Chosen miss probability of the sequential test, at each batch.
 MISS = 1e-7
-#: A cluster up to this many classes and shingles is verified by one task; others by bucket.
-GROUP_DOCS, GROUP_SHINGLES = 4096, 3_000_000
+#: Classes and shingles that are verified together; what is more is dealt into blocks of about this size.
+GROUP_DOCS, GROUP_SHINGLES = 256, 1_000_000
 #: Texts are hashed in runs of about this many bytes.
 RUN_BYTES = 1 << 21
 OUT = ["n_shingles", "component_id", "kept"]
@@ -156,61 +157,91 @@ def _least_matches(threshold: float, miss: float) -> list[int]:
     return out
 
 
-def group_links(sets: list[np.ndarray], threshold: int = THRESHOLD, miss: float = MISS) -> np.ndarray:
-    """For each of a group's non-empty sets the index of its component's first member."""
+class _Group:
+    """Non-empty shingle sets that are compared with each other."""
+
+    def __init__(self, sets: list[np.ndarray], threshold: int = THRESHOLD, miss: float = MISS):
+        self.threshold, self.least = threshold, _least_matches(threshold / 100, miss)
+        self.sigs = signatures(sets)
+        self.bands = bands_of(self.sigs)
+        self.sizes = np.array([len(s) for s in sets])
+        _, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.flag = np.zeros(int(self.ids.max()) + 1, bool)
+
+    def linked(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Those of others (indexes, sharing a band with x) that are as similar to x as the threshold asks."""
+        small, large = np.minimum(self.sizes[others], self.sizes[x]), np.maximum(self.sizes[others], self.sizes[x])
+        cand = others[100 * small >= self.threshold * large]  # no larger similarity than the ratio of the sizes
+        matches = np.zeros(len(cand), np.int64)
+        for b, low in enumerate(self.least):
+            if not len(cand):
+                return cand
+            part = slice(b * BATCH, (b + 1) * BATCH)
+            matches += (self.sigs[cand, part] == self.sigs[x, part]).sum(1)
+            keep = matches >= low
+            cand, matches = cand[keep], matches[keep]
+        mine = self.ids[self.begins[x] : self.begins[x + 1]]
+        self.flag[mine] = True
+        both = np.array([np.count_nonzero(self.flag[self.ids[self.begins[y] : self.begins[y + 1]]]) for y in cand], np.int64)
+        self.flag[mine] = False
+        return cand[100 * both >= self.threshold * (self.sizes[cand] + self.sizes[x] - both)]
+
+
+def group_links(sets: list[np.ndarray], known: np.ndarray | None = None, threshold: int = THRESHOLD, miss: float = MISS) -> np.ndarray:
+    """For each of a group's non-empty sets the index of its component's first member; known: components found before."""
     n = len(sets)
-    comp = np.arange(n)
+    comp = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1]
     if n < 2:
-        return comp
-    sigs = signatures(sets)
-    bands = bands_of(sigs)
-    sizes = np.array([len(s) for s in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    flag = np.zeros(int(ids.max()) + 1, bool)
-    least = _least_matches(threshold / 100, miss)
-    keys, inverse, counts = np.unique(bands, return_inverse=True, return_counts=True)
-    degree = counts[inverse.reshape(bands.shape)].sum(1)
+        return np.arange(n)
+    group = _Group(sets, threshold, miss)
+    keys, inverse, counts = np.unique(group.bands, return_inverse=True, return_counts=True)
+    degree = counts[inverse.reshape(group.bands.shape)].sum(1)
     done = np.zeros(n, bool)
     for x in np.lexsort((np.arange(n), -degree)):  # the best connected first: most get linked to it
         done[x] = True
         open_ = np.flatnonzero(~done & (comp != comp[x]))
-        if not len(open_):
-            continue
-        small, large = np.minimum(sizes[open_], sizes[x]), np.maximum(sizes[open_], sizes[x])
-        open_ = open_[100 * small >= threshold * large]  # no larger similarity than the ratio of the sizes
-        cand = open_[(bands[open_] == bands[x]).any(1)] if len(open_) else open_
-        matches = np.zeros(len(cand), np.int64)
-        for b, low in enumerate(least):
-            if not len(cand):
-                break
-            part = slice(b * BATCH, (b + 1) * BATCH)
-            matches += (sigs[cand, part] == sigs[x, part]).sum(1)
-            keep = matches >= low
-            cand, matches = cand[keep], matches[keep]
-        if not len(cand):
-            continue
-        mine = ids[begins[x] : begins[x + 1]]
-        flag[mine] = True
-        both = np.array([np.count_nonzero(flag[ids[begins[y] : begins[y + 1]]]) for y in cand])
-        flag[mine] = False
-        linked = cand[100 * both >= threshold * (sizes[cand] + sizes[x] - both)]
-        if len(linked):
-            comp[np.isin(comp, comp[linked])] = comp[x]
+        if len(open_):
+            linked = group.linked(x, open_[(group.bands[open_] == group.bands[x]).any(1)])
+            if len(linked):
+                comp[np.isin(comp, comp[linked])] = comp[x]
     first = {}
     for i, c in enumerate(comp.tolist()):
         first.setdefault(c, i)
     return np.array([first[c] for c in comp.tolist()])
 
 
+def bucket_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, known: np.ndarray, bucket: int) -> list[tuple[int, int]]:
+    """Links between sets of a bucket marked left and those marked right that are not known to be connected.
+
+    A pair is compared in the first bucket that it shares, and not again in later ones.
+    """
+    group = _Group(sets)
+    comp = np.unique(known, return_inverse=True)[1]
+    band = int(np.flatnonzero((group.bands == bucket).any(0))[0])
+    out: list[tuple[int, int]] = []
+    for x in np.flatnonzero(left):
+        other = np.flatnonzero(right & (comp != comp[x]))
+        other = other[~(group.bands[other, :band] == group.bands[x, :band]).any(1)]
+        for y in group.linked(x, other).tolist():
+            out.append((int(x), y))
+            comp[comp == comp[y]] = comp[x]
+    return out
+
+
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether each u has one v that is no u itself: then each v is the least of what it is connected to."""
+    rows, nodes = pairs.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+    return rows == nodes and pairs.join(pairs.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges (a, b) of comparable ids -> (node, root), root the least id reachable; by large and small stars.
 
     Every round is written; a node's neighbours are only reduced and joined, never gathered.
     """
     pairs = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    while not _are_stars(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that a hub's rows meet its minimum in a join that Spark can split
         least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
@@ -219,11 +250,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         low = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
         pairs = scratch.table(small, "small-star")
-        mark = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen:
-            break
-        seen = mark
     roots = pairs.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
@@ -246,14 +274,94 @@ def _sketch(rows: DataFrame) -> DataFrame:
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, text_key string, n long, cls binary, bands array<long>")
+    return rows.mapInArrow(run, f"id {kind}, text_key binary, n long, cls binary, bands array<long>")
+
+
+_LINKS = "a binary, b binary"
 
 
-def _verify(group: pd.DataFrame) -> pd.DataFrame:
+def _verify_star(group: pd.DataFrame) -> pd.DataFrame:
+    """A lead and candidates."""
+    group = group.sort_values("is_lead", kind="stable", ascending=False)
+    linked = _Group(shingle_sets(group["text"].tolist())).linked(0, np.arange(1, len(group)))
+    cls = group["cls"].tolist()
+    return pd.DataFrame({"a": [cls[i] for i in linked], "b": [cls[0]] * len(linked)})
+
+
+def _verify_few(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("cls", kind="stable")
     cls = group["cls"].tolist()
-    first = group_links(shingle_sets(group["text"].tolist()))
-    return pd.DataFrame({"a": cls, "b": [cls[i] for i in first]})
+    first = group_links(shingle_sets(group["text"].tolist()), np.array([c.hex() for c in group["root"]]))
+    return pd.DataFrame([(cls[i], cls[j]) for i, j in enumerate(first.tolist()) if i != j], columns=["a", "b"])
+
+
+def _verify_block(group: pd.DataFrame) -> pd.DataFrame:
+    """A block of a bucket's members outside its largest component (left), and a block of all members (right)."""
+    both = group.groupby("cls", sort=True).agg({"left": "max", "right": "max", "root": "first", "text": "first", "bucket": "first"}).reset_index()
+    cls = both["cls"].tolist()
+    roots = np.array([c.hex() for c in both["root"]])
+    pairs = bucket_links(shingle_sets(both["text"].tolist()), both["left"].to_numpy(bool), both["right"].to_numpy(bool), roots, int(both["bucket"].iloc[0]))
+    return pd.DataFrame([(cls[i], cls[j]) for i, j in pairs], columns=["a", "b"])
+
+
+def _blocks(rows, shingles):
+    """Blocks for so many classes and shingles."""
+    return F.greatest(F.ceil(rows / GROUP_DOCS), F.ceil(shingles / GROUP_SHINGLES), F.lit(1)).cast("long")
+
+
+def _star_links(members: DataFrame, leads: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links of the members of each bucket with its lead. members: bucket, cls, text_key, n; leads: bucket, lead, lead_key, lead_n."""
+    pairs = members.join(leads, "bucket").where("cls <> lead")
+    ratio = F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * THRESHOLD  # no larger similarity than the ratio of the sizes
+    pairs = scratch.table(pairs.where(ratio).select("cls", "text_key", "n", "lead", "lead_key").distinct(), "stars")
+    loads = pairs.groupBy("lead", "lead_key").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
+    loads = scratch.table(loads, "star-loads")
+    often = scratch.small(loads.where("blocks > 1").select("lead", "blocks"), "hot-leads")  # one for GROUP_DOCS pairs at most
+    part = F.expr("pmod(xxhash64(cls), blocks)")
+    dealt = pairs.join(often, "lead", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.select("lead", part.alias("part"), "cls", "text_key", F.lit(False).alias("is_lead"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    own = loads.select("lead", every.alias("part"), F.col("lead").alias("cls"), F.col("lead_key").alias("text_key"), F.lit(True).alias("is_lead"))
+    rows = dealt.unionByName(own).join(texts, "text_key")
+    return rows.groupBy("lead", "part").applyInPandas(_verify_star, _LINKS)
+
+
+def _open_buckets(members: DataFrame, leads: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, cls, text_key, n, root) of buckets whose members, without the lead, are not all connected."""
+    named = members.where("k > 2").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    others = named.join(leads.select("bucket", "lead"), "bucket").where("cls <> lead").select("bucket", "cls", "text_key", "n", "root")
+    others = scratch.table(others, "rooted")  # written, so that a wide bucket is summed up before it is moved
+    ends = others.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    open_ = scratch.small(ends.where("low <> high").select("bucket"), "open-buckets")
+    return scratch.table(others.join(open_, "bucket", "left_semi"), "open")
+
+
+def _open_links(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links among the members of open buckets."""
+    tied = scratch.small(rows.groupBy("bucket").agg(F.min("cls").alias("b")), "tied")
+    clusters = connected_components(rows.join(tied, "bucket").select(F.col("cls").alias("a"), "b"), scratch)
+    clusters = clusters.select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
+    classes = scratch.table(rows.select("cls", "text_key", "n", "root").distinct().join(clusters, "cls"), "open-classes")
+    sizes = classes.groupBy("cluster").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
+    large = scratch.table(sizes.where("blocks > 1").select("cluster"), "large-clusters")
+    few = classes.join(large, "cluster", "left_anti").select("cls", "text_key", "root", "cluster").join(texts, "text_key")
+    links = few.groupBy("cluster").applyInPandas(_verify_few, _LINKS)
+    if large.isEmpty():
+        return links
+    wide = rows.join(classes.join(large, "cluster", "left_semi").select("cls"), "cls", "left_semi")
+    per = wide.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    per = per.groupBy("bucket").agg(
+        F.max(F.struct("c", "root")).alias("top"), _blocks(F.sum("c"), F.sum("s")).alias("r"), F.sum("c").alias("all"), F.sum("s").alias("s")
+    )
+    per = per.select("bucket", F.col("top.root").alias("most"), "r", _blocks(F.col("all") - F.col("top.c"), F.col("s") * (F.col("all") - F.col("top.c")) / F.col("all")).alias("l"))
+    wide = scratch.table(wide.join(per, "bucket"), "wide")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = lambda n: F.expr(f"pmod(xxhash64(cls), {n})")
+    keep = ["bucket", "cls", "text_key", "root"]
+    left = wide.where("root <> most").select(*keep, mine("l").alias("i"), upto("r").alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"))
+    right = wide.select(*keep, upto("l").alias("i"), mine("r").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"))
+    blocks = left.unionByName(right).join(texts, "text_key")
+    return links.unionByName(blocks.groupBy("bucket", "i", "j").applyInPandas(_verify_block, _LINKS))
 
 
 def near_duplicate_classes(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -261,51 +369,42 @@ def near_duplicate_classes(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame
     sketched = scratch.table(_sketch(rows), "sketches")
     # of equal sets one row stands for all: the least digest and id, so that copies of one text don't meet in a join
     one = F.min(F.struct("text_key", F.col("id").isNull().alias("none"), "id"))
-    classes = sketched.where("n > 0").groupBy("cls").agg(one.alias("one"), F.max("n").alias("n"), F.max("bands").alias("bands"))
-    classes = classes.select("cls", "n", "bands", "one.text_key", "one.id")
-    members = classes.select("cls", F.explode("bands").alias("bucket"))
-    full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    members = scratch.table(members.join(full, "bucket"), "buckets")
+    full_sets = sketched.where("n > 0")
+    banded = full_sets.groupBy("cls").agg(F.max("bands").alias("bands")).select("cls", F.explode("bands").alias("bucket"))
+    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = scratch.table(banded.join(full, "bucket"), "shared-buckets")  # few of all rows, which hold nothing else
+    classes = full_sets.groupBy("cls").agg(one.alias("one"), F.max("n").alias("n")).select("cls", F.col("one.text_key").alias("text_key"), F.col("one.id").alias("id"), "n")
+    members = scratch.table(shared.join(classes, "cls"), "buckets")
     degree = members.groupBy("cls").agg(F.sum("k").alias("deg"))
-    lead = members.join(degree, "cls").groupBy("bucket").agg(F.max(F.struct("deg", "cls")).alias("m")).select("bucket", F.col("m.cls").alias("lead"))
-    edges = members.join(lead, "bucket").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
-    clusters = connected_components(edges, scratch).select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
-    known = classes.select("cls", "text_key", "id", "n").join(clusters, "cls")
-    known = scratch.table(known, "clusters")
-    sizes = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    fits = (F.col("docs") <= GROUP_DOCS) & (F.col("shingles") <= GROUP_SHINGLES)
-    large = scratch.table(sizes.where(~fits), "large-clusters")
+    best = F.max(F.struct("deg", "cls", "text_key", "n")).alias("m")
+    leads = members.join(degree, "cls").groupBy("bucket").agg(best)
+    leads = scratch.table(leads.select("bucket", F.col("m.cls").alias("lead"), F.col("m.text_key").alias("lead_key"), F.col("m.n").alias("lead_n")), "leads")
     # one text for each class
-    wanted = scratch.small(known.select(F.col("text_key").alias("__k"), F.col("id").alias("__i")), "wanted")
+    wanted = scratch.small(members.select(F.col("text_key").alias("__k"), F.col("id").alias("__i")).distinct(), "wanted")
     at = (F.col("text_key") == F.col("__k")) & F.col("id").eqNullSafe(F.col("__i"))
     texts = rows.select("text_key", "id", "text").join(wanted, at, "left_semi").dropDuplicates(["text_key", "id"]).drop("id")
-    whole = known.join(large.select("cluster"), "cluster", "left_anti").select("cls", "text_key", F.col("cluster").alias("group"))
-    any_large = not large.isEmpty()
-    if any_large:
-        texts = scratch.table(texts, "texts")
-    links = whole.join(texts, "text_key").groupBy("group").applyInPandas(_verify, "a binary, b binary")
-    if not any_large:
-        return sketched.drop("bands"), links.where("a <> b").select(F.col("a").alias("cls"), F.col("b").alias("root"))
-    wide = known.join(large.select("cluster"), "cluster", "left_semi").select("cls", "text_key", "n").join(members.select("cls", "bucket"), "cls")
-    # a bucket too large for one task: every pair of its blocks
-    loads = wide.groupBy("bucket").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) * 2 / GROUP_DOCS), F.ceil(F.sum("n") * 2 / GROUP_SHINGLES)).cast("long").alias("blocks")
-    )
-    wide = wide.join(loads, "bucket").withColumn("mine", F.expr("pmod(xxhash64(cls), blocks)"))
-    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pair = F.struct("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    by_bucket = wide.select("cls", "text_key", pair.alias("group")).join(texts, "text_key")
-    links = links.unionByName(by_bucket.groupBy("group").applyInPandas(_verify, "a binary, b binary")).where("a <> b")
-    roots = connected_components(scratch.table(links, "links"), scratch)
+    texts = scratch.table(texts, "texts")
+    found = scratch.table(_star_links(members.drop("k", "id"), leads, texts, scratch), "star-links")
+    roots = connected_components(found, scratch)
+    open_ = _open_buckets(members, leads, roots.select(F.col("node").alias("cls"), "root"), scratch)
+    if not open_.isEmpty():
+        more = scratch.table(_open_links(open_, texts, scratch), "open-links")
+        if not more.isEmpty():
+            roots = connected_components(found.unionByName(more), scratch)
     return sketched.drop("bands"), roots.where("node <> root").select(F.col("node").alias("cls"), "root")
 
 
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn("__key", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+def _text_key(column: str):
+    return F.unhex(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")))
+
+
+def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs as one struct __row, so that no name of theirs clashes, with id and text_key."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("id"), _text_key(text_col).alias("text_key"))
 
 
 def label_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """One row per document, without its text: id, text_key (md5), n_shingles, root (its component; null without words),
+    """One row per document, without its text: id, text_key (md5, binary), n_shingles, root (its component; null without words),
     component_id (the least id reachable over links) and kept (id = component_id).
 
     * A text without words, or null, has no shingles, links with nothing and is its own component.
@@ -314,8 +413,8 @@ def label_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     * An empty table gives no rows.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    rows = _keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text")
-    found, linked = near_duplicate_classes(rows.select("id", F.col("__key").alias("text_key"), "text"), scratch)
+    rows = docs.select(F.col(id_col).alias("id"), _text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    found, linked = near_duplicate_classes(rows, scratch)
     classes = found.where("n > 0").groupBy("cls").agg(F.min("id").alias("least")).join(linked, "cls", "left")
     classes = scratch.table(classes.withColumn("root", F.coalesce("root", "cls")), "classes")
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -327,11 +426,10 @@ def label_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """docs with n_shingles, component_id and kept, as label_documents defines them; columns of these names are replaced."""
-    rows = _keyed(without(docs, [*OUT, "__key", "__id"]), text_col)
-    labels = label_documents(docs, id_col, text_col, scratch)
-    labels = labels.select(F.col("text_key").alias("__key"), F.col("id").alias("__id"), *OUT).distinct()
-    at = (rows["__key"] == labels["__key"]) & rows[id_col].eqNullSafe(labels["__id"])
-    return rows.join(labels, at, "left").drop("__key", "__id")
+    packed = _packed(without(docs, OUT), id_col, text_col)
+    labels = label_documents(docs, id_col, text_col, scratch).select("text_key", F.col("id").alias("__id"), *OUT).distinct()
+    at = (packed["text_key"] == labels["text_key"]) & packed["id"].eqNullSafe(labels["__id"])
+    return packed.join(labels, at, "left").select("__row.*", *OUT)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -343,11 +441,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     labels = scratch.table(label_documents(docs, id_col, text_col, scratch).where("n_shingles > 0"), "labels")
     first = labels.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("c"))
     first = scratch.small(first.select(F.col("c.id").alias("__id"), F.col("c.text_key").alias("__first")), "first")
-    rows = _keyed(docs, text_col)
-    has_words = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    at = (F.col("__key") == F.col("__first")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    rows = _packed(docs, id_col, text_col)
+    has_words = F.coalesce(F.col(f"__row.`{text_col}`").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    at = (F.col("text_key") == F.col("__first")) & F.col("id").eqNullSafe(F.col("__id"))
     kept = rows.where(has_words).join(first, at, "left_semi")
-    copies = labels.join(first, (F.col("text_key") == F.col("__first")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi")
-    if not copies.groupBy("id", "text_key").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "__key"])
-    return kept.unionByName(rows.where(~has_words)).drop("__key")
+    if not labels.join(first, at, "left_semi").groupBy("id", "text_key").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["id", "text_key"])
+    return kept.unionByName(rows.where(~has_words)).select("__row.*")
