@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -24,11 +25,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, a single machine) a temporary folder is made.
+    Where that is unset, a temporary folder is made if all tasks run in the driver's
+    process; on a cluster, whose executors could not see it, this raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="tidemark-")
@@ -58,15 +62,19 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def small(self, df: DataFrame, name: str, limit: int = 8 << 20) -> DataFrame:
-        """df, written and read again, to be broadcast only if its files have at most `limit` bytes."""
+    def small(self, df: DataFrame, name: str, limit: int = 16 << 20) -> DataFrame:
+        """df, written and read again, to be broadcast only if its rows take at most `limit` bytes in memory.
+
+        Files over the limit are not counted; of others the rows and the bytes of their
+        variable-length values are.
+        """
         path = self.path(name)
         df.write.parquet(path)
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         size = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
         out = self.spark.read.schema(df.schema).parquet(path)
-        return F.broadcast(out) if size <= limit else out
+        return F.broadcast(out) if size <= limit and memory_of(out) <= limit else out
 
     def drop(self, df_path: str) -> None:
         """Deletes one folder of this scratch."""
@@ -83,6 +91,15 @@ class Scratch:
             pass
 
 
+def memory_of(df: DataFrame) -> int:
+    """Bytes that df's rows take in a hashed relation: fixed parts, and the lengths of what varies."""
+    varies = [f.name for f in df.schema if f.dataType.typeName() in ("string", "binary", "array", "struct", "map")]
+    lengths = [F.octet_length(F.col(f"`{n}`").cast("string")) for n in varies]
+    body = sum((F.coalesce(n, F.lit(0)) for n in lengths), F.lit(0).cast("long"))
+    rows, held = df.agg(F.count(F.lit(1)), F.sum(body)).first()
+    return rows * (32 + 16 * len(df.columns)) + (held or 0)
+
+
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """df without the columns an operator is about to add."""
     clash = {n.lower() for n in names}
