@@ -21,6 +21,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: The dynamic program's budget: sums up to this many words are fitted exactly.
 DP_BUDGET = 1 << 16
+#: Sums that are listed before the program is used instead.
+STATES = 1 << 20
 #: Documents of one source and length are ranked in blocks of about this many.
 BLOCK = 256
 OUT = ["size", "source_size", "target", "taken"]
@@ -99,29 +101,69 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return out
 
 
+def _powers_of_two(count: int) -> list[int]:
+    """Parts whose subsets have every sum up to count."""
+    parts, take = [], 1
+    while count > 0:
+        parts.append(min(take, count))
+        count -= parts[-1]
+        take *= 2
+    return parts
+
+
+def sparse_fit(lengths: np.ndarray, counts: np.ndarray, budget: int, states: int = STATES) -> np.ndarray | None:
+    """Counts whose sum is as near below budget as any subset's; None if that takes more than `states` sums to tell.
+
+    The sums that subsets reach are kept as sorted arrays, one for each part added, so
+    going back over them gives the counts. It doesn't matter how long the lengths are.
+    """
+    steps, sums, held = [], np.zeros(1, np.int64), 1
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        for part in _powers_of_two(min(int(counts[i]), budget // int(lengths[i]))):
+            more = sums + part * int(lengths[i])
+            steps.append((i, part, sums))
+            sums = np.union1d(sums, more[more <= budget])
+            held += len(sums)
+            if held > states:
+                return None
+        if sums[-1] == budget:
+            break
+    at, out = int(sums[-1]), np.zeros(len(lengths), np.int64)
+    for i, part, before in reversed(steps):
+        j = int(np.searchsorted(before, at))
+        if j < len(before) and before[j] == at:
+            continue
+        out[i] += part
+        at -= part * int(lengths[i])
+    return out
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_BUDGET) -> np.ndarray:
-    """Counts to take of each length (positive lengths, at most counts), their sum at most budget and near it."""
+    """Counts to take of each length (different positive lengths, at most counts), their sum at most budget and near it.
+
+    If subsets reach few different sums, these are all listed and the nearest is taken. Otherwise
+    most of the budget is filled in proportion, so that all lengths are drawn from alike, then by the longest,
+    and the dynamic program fits the rest. The sum is then short of the budget by less than
+    the shortest length that is not used up.
+    """
     total = int((lengths * counts).sum())
     if total <= budget:
         return counts.copy()
+    few = sparse_fit(lengths, counts, budget)
+    if few is not None:
+        return few
     take = np.array([int(c) * budget // total for c in counts.tolist()], dtype=np.int64)
     rest, left = budget - int((lengths * take).sum()), counts - take
-    for i in np.argsort(-lengths, kind="stable"):  # what is over the program's budget, by the longest lengths
-        if rest <= dp_budget:
-            break
-        more = min(int(left[i]), (rest - dp_budget // 2) // int(lengths[i]))
-        if more > 0:
-            take[i] += more
-            left[i] -= more
-            rest -= more * int(lengths[i])
-    if rest > dp_budget:  # what is left is longer than the program's budget
-        for i in np.argsort(-lengths, kind="stable"):
-            more = min(int(left[i]), rest // int(lengths[i]))
+    order = np.argsort(-lengths, kind="stable")
+    for keep in (dp_budget // 2, 0):  # down to the program's budget by the longest lengths; all of it, if those are longer
+        for i in order:
+            if rest <= dp_budget:
+                break
+            more = min(int(left[i]), max(0, rest - keep) // int(lengths[i]))
             take[i] += more
             left[i] -= more
             rest -= more * int(lengths[i])
     # longest first, so that the short ones fill what is left
-    order = np.argsort(-lengths, kind="stable")
     take[order] += knapsack(lengths[order], left[order], int(min(rest, dp_budget)))
     return take
 
@@ -142,12 +184,16 @@ def mix(
     max_epochs: int = MAX_EPOCHS,
     seed: int = 17,
     scratch: Scratch | None = None,
+    with_text: bool = True,
 ) -> DataFrame:
-    """docs with size (words), source_size, target and taken (words the mix takes, repeats counted).
+    """docs (without its text, if not with_text) with size (words), source_size, target and taken (words the mix
+    takes, repeats counted).
 
     taken is size times the document's repeats: whole epochs of its source, and one more
     for the chosen ones, so never over max_epochs times size. A source's taken words are
-    at most its target, and short of it only by what no subset of its lengths fills.
+    at most its target, and short of it by less than its shortest length of which the last epoch leaves
+    documents out (`fit`); where subsets of its lengths reach few sums, none comes nearer.
+    Words are counted once and stored with the chosen hash; texts are read again only with_text.
 
     * Null texts and texts without words have size 0 and take nothing. Null is a source of its own, the last.
     * Documents of a source and length are chosen by xxhash64(seed, id, text), so a rerun or another
@@ -155,12 +201,15 @@ def mix(
     * An empty table gives no rows. Input columns named like an output are replaced.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    rows = without(docs, [*OUT, "__src", "__pick", "__block"])
+    rows = without(docs, OUT)
+    kept = [F.col(f"`{c}`") for c in rows.columns if with_text or c != text_col]
     # a null source gets a mark that sorts with nothing else: the struct keeps null and any text apart
-    rows = rows.withColumn("size", word_count(F.col(text_col))).withColumn(
-        "__pick", F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col).cast("string"))
-    )
-    rows = rows.withColumn("__src", F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string"))))
+    source = F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
+    pick = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col).cast("string"))
+    # the input's columns travel in one struct, so that no name of theirs clashes
+    rows = rows.select(F.struct(*kept).alias("__row"), source.alias("__src"), word_count(F.col(text_col)).alias("size"), pick.alias("__pick"))
+    narrow = scratch.table(rows.drop("__row") if with_text else rows, "sizes")
+    rows, whole = narrow, rows if with_text else narrow
     cells = scratch.table(rows.groupBy("__src", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
     sizes = cells.groupBy("__src").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
     named = sizes.select("__src", F.when(F.col("__src") != "n", F.expr("substring(__src, 2)")).alias("source"), "source_size")
@@ -205,13 +254,12 @@ def mix(
     block = F.expr("pmod(__pick, blocks)")
     inside = (block < F.col("cut")) | ((block == F.col("cut")) & (F.col("__pick") < F.col("last_pick")))
     tie = (block == F.col("cut")) & (F.col("__pick") == F.col("last_pick"))
-    out = rows.join(plan, key, "left").join(goals, "__src", "left")
+    out = whole.join(plan, key, "left").join(goals, "__src", "left")
     one = F.when(F.coalesce("extra", F.lit(0)) == 0, F.lit(0)).when(F.col("extra") >= F.col("n"), F.lit(1)).when(inside, F.lit(1))
     # the run in which the count ends: all of it, unless copies are cut apart
     out = out.withColumn("__one", one.when(tie & (F.col("in_run") >= F.col("run")), F.lit(1)).when(tie, F.lit(-1)).otherwise(F.lit(0)))
-    keep = [F.col(f"`{c}`") for c in rows.columns if c not in ("size", "__src", "__pick")]
     finish = lambda df, extra: df.select(
-        *keep, "size", "source_size", "target", (F.col("size") * (F.coalesce("epochs", F.lit(0)) + extra)).cast("long").alias("taken")
+        "__row.*", "size", "source_size", "target", (F.col("size") * (F.coalesce("epochs", F.lit(0)) + extra)).cast("long").alias("taken")
     )
     if last.where("in_run < run").isEmpty():
         return finish(out, F.col("__one"))
