@@ -26,6 +26,7 @@ from tidemark.llm.common import Scratch
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 18
+MAX_TASKS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = (
     "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
@@ -213,10 +214,15 @@ def read_range(file: BinaryIO, start: int, end: int) -> Iterator[tuple[int, byte
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = 32 << 20) -> DataFrame:
-    """Records of the archives in manifest (archive, bytes), a task for every split_bytes."""
+    """Records of the archives in manifest (archive, bytes), a task for every split_bytes.
+
+    Tasks are numbered by range, MAX_TASKS at most; beyond that a task reads several ranges.
+    """
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     ranges = manifest.select("archive", "bytes", starts.alias("start")).withColumn("end", F.least(F.col("start") + split_bytes, "bytes"))
-    ranges = ranges.repartition("archive", "start")
+    # a stated number, dealt out in turn: left to itself Spark merges these few small rows into one task
+    tasks = manifest.agg(F.sum(F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / split_bytes))).first()[0] or 1
+    ranges = ranges.repartition(min(int(tasks), MAX_TASKS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in RECORD.split(", ")]
@@ -244,6 +250,7 @@ def round_trip(pages: DataFrame, scratch: Scratch | None = None, min_bytes: int
 
     A null html is an empty payload; a null url leaves the target out; null ids are kept.
     Repeated rows give repeated records (with one record id). An empty table gives no rows.
+    Other columns of pages are not part of a record and don't come back, whatever their names.
     """
     spark = pages.sparkSession
     scratch = scratch or Scratch(spark)
