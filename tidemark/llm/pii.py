@@ -2,9 +2,9 @@ r"""Personal data: base patterns, and a linear-chain CRF over word-shape feature
 
 The base patterns always hold. The CRF is trained from a small labelled table and adds
 what the patterns miss (local phone numbers, spelled-out addresses, grouped cards). It
-is decoded by Viterbi in numpy, many segments at once. A segment is a run of words
-around candidates (words with a digit or `@`, or a spelled-out at or dot); words further
-than CONTEXT from any candidate are outside by definition, at any text length.
+is decoded by Viterbi in numpy, many chains at once. A chain is a whole line, of any
+length, that holds a candidate (a word with a digit or `@`, or a spelled-out at or dot);
+lines without any hold no personal data by definition.
 """
 
 from __future__ import annotations
@@ -27,13 +27,19 @@ BASE = {
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-CONTEXT = 4
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_chain = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+#: The longest address that mail systems carry, in characters.
+MAX_EMAIL = 254
+#: Words, padding included, that Viterbi decodes at once; a longer segment is a block of its own.
+CELLS = 1 << 16
 LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
 _token = re.compile(r"[^\x20\x09-\x0D]+")
 _candidate = re.compile(r"[0-9@]|[(\[{](?:at|dot)[)\]}]|^dot$", re.I)
 _spot = re.compile(r"[0-9@]|[(\[{](?:at|dot)[)\]}]|\bdot\b", re.I)
 _trim = ".,;:!?\"'»”)]}"
-OUT = [f"n_{k}" for k in KINDS] + ["base_spans", "spans"]
+OUT = [f"n_{k}" for k in KINDS] + ["base_spans", "spans", "n_spans"]
 
 
 def luhn(digits: str) -> bool:
@@ -46,23 +52,63 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _holds(kind: str, match: str) -> bool:
-    if kind == "ip":
-        return all(int(x) <= 255 for x in match.split("."))
-    digits = "".join(c for c in match if c in "0123456789")
-    if kind == "card":
-        return 16 <= len(digits) <= 19 and luhn(digits)
-    return kind == "email" or 8 <= len(digits) <= 15
+def _byte_value(part: str) -> bool:
+    """Whether a run of ASCII digits, of any length, is a number of 255 at most."""
+    part = part.lstrip("0")
+    return len(part) < 3 or (len(part) == 3 and part <= "255")
 
 
-def base_spans(line: str, at: int = 0) -> list[tuple[str, int, int]]:
-    """Pattern spans of a line (no pattern crosses \\n), leftmost, not overlapping within a kind."""
-    out = []
-    for kind in KINDS:
-        if kind == "email" and "@" not in line or kind == "phone" and "+" not in line:
+def _emails(line: str) -> Iterator[tuple[int, int]]:
+    """Matches of the email pattern: from each `@` back over the local part, then on over the domain.
+
+    No `@` stands in a local part or a domain, so every character is passed a bounded
+    number of times, also in runs of a megabyte.
+    """
+    end, at = 0, line.find("@")
+    while at >= 0:
+        start = at
+        while start > end and line[start - 1] in _LOCAL:
+            start -= 1
+        domain = _domain.match(line, at + 1) if start < at else None
+        if domain:
+            end = domain.end()
+            yield start, end
+        at = line.find("@", at + 1)
+
+
+def _addresses(line: str) -> Iterator[tuple[int, int]]:
+    """Matches of the ip pattern whose parts are at most 255: a chain of dotted numbers gives its runs of four, in order."""
+    for chain in _chain.finditer(line):
+        if line.count(".", *chain.span()) < 3:
             continue
-        out += [(kind, at + m.start(), at + m.end()) for m in BASE[kind].finditer(line) if _holds(kind, m.group())]
-    return out
+        at, parts = chain.start(), chain.group().split(".")
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            size = sum(map(len, four)) + 3
+            if all(map(_byte_value, four)):
+                yield at, at + size
+            at += size + 1
+
+
+def _cards(line: str) -> Iterator[tuple[int, int]]:
+    for m in BASE["card"].finditer(line):
+        digits = m.group().replace(" ", "").replace("-", "")
+        if 16 <= len(digits) <= 19 and luhn(digits):
+            yield m.span()
+
+
+def _phones(line: str) -> Iterator[tuple[int, int]]:
+    for m in BASE["phone"].finditer(line):
+        if 8 <= sum(map(m.group().count, "0123456789")) <= 15:
+            yield m.span()
+
+
+def base_spans(line: str, at: int = 0) -> list[tuple[str, int, int]]:
+    """Pattern spans of a line (no pattern crosses \\n), leftmost, not overlapping within a kind; in time linear in its length."""
+    out = [("email", at + a, at + b) for a, b in _emails(line)]
+    out += [("ip", at + a, at + b) for a, b in _addresses(line)]
+    out += [("card", at + a, at + b) for a, b in _cards(line)]
+    return out + [("phone", at + a, at + b) for a, b in _phones(line)]
 
 
 # ---- features
@@ -70,7 +116,7 @@ def base_spans(line: str, at: int = 0) -> list[tuple[str, int, int]]:
 def shape(word: str) -> str:
     """X for upper case, x for lower case, d for digits, other characters as they are; runs collapsed."""
     out = []
-    for c in word[:40]:
+    for c in word:
         s = "d" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
         if not out or out[-1] != s:
             out.append(s)
@@ -261,28 +307,19 @@ def train_table(table: pd.DataFrame) -> Crf:
 def _plausible(kind: str, text: str) -> bool:
     digits = sum("0" <= c <= "9" for c in text)
     if kind == "email":
-        return bool(re.search(r"@|[(\[{]at[)\]}]|\bat\b", text, re.I)) and bool(re.search(r"\.|dot", text, re.I))
+        return len(text) <= MAX_EMAIL and bool(re.search(r"@|[(\[{]at[)\]}]|\bat\b", text, re.I)) and bool(re.search(r"\.|dot", text, re.I))
     if kind == "ip":
-        return text.count(".") == 3 and all(x.isdigit() and int(x) < 256 for x in text.split("."))
+        return bool(re.fullmatch(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", text)) and all(map(_byte_value, text.split(".")))
     if kind == "card":
         return 15 <= digits <= 19 and luhn("".join(c for c in text if "0" <= c <= "9"))
     return 7 <= digits <= 15 and bool(re.fullmatch(r"[+0-9(][0-9() ./-]*[0-9]", text))
 
 
 def _segments(line: str, at: int) -> Iterator[list[tuple[str, int]]]:
-    """Runs of (word, position) around candidates of a line."""
+    """The line as one chain of (word, position), if any of its words is a candidate."""
     words = [(m.group(), at + m.start()) for m in _token.finditer(line)]
-    near = [i for i, (w, _) in enumerate(words) if _candidate.search(w)]
-    low = high = -1
-    for i in near:
-        if low >= 0 and i - CONTEXT <= high:
-            high = i + CONTEXT + 1
-            continue
-        if low >= 0:
-            yield words[low:high]
-        low, high = max(0, i - CONTEXT), i + CONTEXT + 1
-    if low >= 0:
-        yield words[low:high]
+    if any(_candidate.search(w) for w, _ in words):
+        yield words
 
 
 def _near_lines(text: str) -> Iterator[tuple[str, int]]:
@@ -295,6 +332,18 @@ def _near_lines(text: str) -> Iterator[tuple[str, int]]:
         at = end
 
 
+def _blocks(order: list[int], segments: list[list]) -> Iterator[list[int]]:
+    """Runs of order (shortest segments first) that pad to CELLS words at most."""
+    block: list[int] = []
+    for j in order:
+        if block and (len(block) + 1) * len(segments[j]) > CELLS:
+            yield block
+            block = []
+        block.append(j)
+    if block:
+        yield block
+
+
 def find_spans(texts: list[str | None], model: Crf) -> list[tuple[list, list]]:
     """For each text its base spans and all spans, (kind, start, end) by kind as listed, then start."""
     base: list[list] = []
@@ -309,8 +358,7 @@ def find_spans(texts: list[str | None], model: Crf) -> list[tuple[list, list]]:
         base.append(found)
     added: list[list] = [[] for _ in texts]
     order = sorted(range(len(segments)), key=lambda j: len(segments[j]))
-    for a in range(0, len(order), 512):
-        block = order[a : a + 512]
+    for block in _blocks(order, segments):
         for j, labels in zip(block, model.decode([[w for w, _ in segments[j]] for j in block])):
             seg, i, t = segments[j], owner[j], 0
             while t < len(seg):
@@ -338,18 +386,19 @@ def _text(spans) -> str:
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text", labelled: pd.DataFrame | None = None) -> DataFrame:
-    """docs with n_email, n_ip, n_card, n_phone (base spans of each kind), base_spans and spans (kind:start:end,
-    code points, by kind as listed, then start, comma-joined; spans are base spans and the model's).
+    """docs with n_email, n_ip, n_card, n_phone (base spans of each kind), base_spans, spans (kind:start:end,
+    code points, by kind as listed, then start, comma-joined; spans are base spans and the model's) and n_spans.
 
     labelled: the small table (text, spans) the model is trained from, here on the driver; its weights
     travel with the function (a few hundred kB). The model's spans that overlap a base span are dropped.
-    A null text has no spans. Rows are judged one by one; an empty table gives an empty one; input
-    columns named like an output are replaced.
+    A null or empty text has no spans; a text of any length is searched whole, in linear time and with
+    bounded padding. Rows are judged one by one, so ties and repeated rows come back as they are; an
+    empty table gives an empty one; input columns named like an output are replaced.
     """
     model = train_table(example_table() if labelled is None else labelled)
     rows = without(docs, OUT)
     names = rows.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"n_{k} long" for k in KINDS] + ["base_spans string", "spans string"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"n_{k} long" for k in KINDS] + ["base_spans string", "spans string", "n_spans long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,7 +407,8 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", labelled: pd.Dat
                 found = find_spans(texts.slice(at, 500).to_pylist(), model)
                 counts = [pa.array([sum(s[0] == k for s in b) for b, _ in found], pa.int64()) for k in KINDS]
                 both = [pa.array([_text(x[j]) for x in found], pa.string()) for j in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, 500).columns, *counts, *both], [*names, *OUT])
+                total = pa.array([len(x[1]) for x in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, 500).columns, *counts, *both, total], [*names, *OUT])
 
     return rows.mapInArrow(run, schema)
 

@@ -46,7 +46,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", *mixing.OUT)
+    return mixing.mix(docs, with_text=False).select("doc_id", *mixing.OUT)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.find_personal_data(docs).drop("text")
     digest = F.sha2(F.col("base_spans").cast("binary"), 256)
-    return out.select("doc_id", *[f"n_{k}" for k in pii.KINDS], digest.alias("base_sha256"), "spans")
+    return out.select("doc_id", *[f"n_{k}" for k in pii.KINDS], digest.alias("base_sha256"), "spans", "n_spans")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
