@@ -569,6 +569,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert stage.columns == table.columns and stage.count() == 33
 
 
+def test_pipeline_stages_keep_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as P
+
+    line = "the quick brown fox jumps over the lazy dog while it rains on number {}."
+    rows = [(i, line.format(i) + "\n" + " ".join(f"k{i}x{j}" for j in range(30)) + ".", "s", -1, 5, "kept", -2) for i in range(6)] + [(None,) * 7]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, n_words int, kept string, __time int")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in P.STAGES[:-1]:
+        for data in (table, table.limit(0)):
+            out = stage(spark, data, str(tmp_path))
+            assert out.columns == table.columns, name
+            got = out.where("doc_id is not null").select("size", "n_words", "kept", "__time").distinct().collect()
+            assert [tuple(r) for r in got] == ([(-1, 5, "kept", -2)] if data is table else []), name
+
+
 def test_scratch_release(spark):
     s = Scratch(spark)
     t = s.table(spark.range(3), "x")
