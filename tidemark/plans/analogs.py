@@ -9,29 +9,59 @@ from pyspark.sql import functions as F
 from tidemark.operators.thinning import thin_by_distance
 
 
-def distance(a: Column, b: Column, scale: Column | None = None, dims: int | None = None) -> Column:
-    """Euclidean distance of two arrays, each difference divided by scale. With dims the sum is written out, which is compiled."""
-    if dims:
-        diff = [(a[i] - b[i]) / scale[i] if scale is not None else a[i] - b[i] for i in range(dims)]
-        total = diff[0] * diff[0]
-        for x in diff[1:]:
-            total = total + x * x
-        return F.sqrt(total)
+#: Query positions of a symbol that one join key holds.
+BLOCK = 128
+
+
+def distance(a: Column, b: Column, scale: Column | None = None) -> Column:
+    """Euclidean distance of two arrays, each difference divided by scale."""
     parts = F.arrays_zip(a.alias("a"), b.alias("b"), (scale if scale is not None else F.transform(a, lambda x: F.lit(1.0))).alias("s"))
     return F.sqrt(F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + F.pow((p["a"] - p["b"]) / p["s"], 2)))
 
 
-def nearest_earlier(rows: DataFrame, queries: DataFrame, k: int, scaled: bool = False, dims: int | None = None) -> DataFrame:
+def _spread_out(name: str, dims: int, out: str) -> list[Column]:
+    """The elements of an array column without nulls, as columns that Spark knows to hold none."""
+    return [F.coalesce(F.col(name)[i], F.lit(0.0)).alias(f"{out}{i}") for i in range(dims)]
+
+
+def _written_out(dims: int, scaled: bool) -> Column:
+    """Distance of columns x0.. and q0.., each difference times w0... Without null checks it is small enough for the JVM to compile."""
+    total = F.lit(0.0)
+    for i in range(dims):
+        diff = F.col(f"x{i}") - F.col(f"q{i}")
+        diff = diff * F.col(f"w{i}") if scaled else diff
+        total = total + diff * diff
+    return F.sqrt(total)
+
+
+def nearest_earlier(rows: DataFrame, queries: DataFrame, k: int, scaled: bool = False, dims: int | None = None, block: int = BLOCK) -> DataFrame:
     """rows (symbol, pos, x), queries (the same, with scale if scaled) -> symbol, query_pos, pos, dist, rk: the k nearest rows before each query.
 
     A stated set of queries against the earlier rows of the same symbol; each query keeps a bounded top k.
+    dims: the arrays' length, where it is known and none of them holds a null.
+    The join's key is the symbol and a block of query positions, so a long series is many tasks, and a
+    block meets only the rows before its end.
     """
-    q = queries.select("symbol", F.col("pos").alias("query_pos"), F.col("x").alias("qx"), *([F.col("scale")] if scaled else []))
-    pairs = rows.select("symbol", "pos", "x").join(q, "symbol").where("pos < query_pos")
-    d = distance(F.col("x"), F.col("qx"), F.col("scale") if scaled else None, dims)
-    pairs = pairs.select("symbol", "query_pos", "pos", d.alias("dist")).where("dist is not null")
-    rk = F.row_number().over(W.partitionBy("symbol", "query_pos").orderBy("dist", "pos"))
-    return pairs.withColumn("rk", rk).where(F.col("rk") <= k)
+    part = lambda c: F.floor(F.col(c) / block)
+    q = queries.withColumnRenamed("pos", "query_pos").withColumn("block", part("query_pos"))
+    if dims:
+        scale = [(F.lit(1.0) / F.coalesce(F.col("scale")[i], F.lit(1.0))).alias(f"w{i}") for i in range(dims)] if scaled else []
+        q = q.select("symbol", "query_pos", "block", *_spread_out("x", dims, "q"), *scale)
+        own, d = _spread_out("x", dims, "x"), _written_out(dims, scaled)
+        q = q.select(*[F.coalesce(c, F.lit(1.0)).alias(c) if c[0] == "w" else F.col(c) for c in q.columns])
+    else:
+        q = q.select("symbol", "query_pos", "block", F.col("x").alias("qx"), *(["scale"] if scaled else []))
+        own, d = [F.col("x")], distance(F.col("x"), F.col("qx"), F.col("scale") if scaled else None)
+    blocks = queries.select("symbol", part("pos").alias("block")).distinct()
+    spread = rows.select("symbol", "pos", *own).join(blocks, "symbol").where(part("pos") <= F.col("block"))
+    # a stated number of tasks: the few bytes that go in say nothing of the pairs that come out, so Spark would merge them
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    pairs = spread.repartition(tasks, "symbol", "block").join(q.repartition(tasks, "symbol", "block"), ["symbol", "block"]).where("pos < query_pos")
+    pairs = pairs.select("symbol", "block", "query_pos", "pos", d.alias("dist"))
+    pairs = pairs if dims else pairs.where("dist is not null")
+    rk = F.row_number().over(W.partitionBy("symbol", "block", "query_pos").orderBy("dist", "pos"))
+    return pairs.withColumn("rk", rk).where(F.col("rk") <= k).drop("block")
 
 
 def thin_nearest(near: DataFrame, gap: int, most: int, closest: int = 20) -> DataFrame:
