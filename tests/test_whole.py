@@ -79,7 +79,7 @@ def test_scenario_queries_have_2000_simulations_and_every_day(spark):
 
 def test_live_forecast_has_six_horizons(spark):
     assert set(run(spark, "e01_forecast").h) == {1, 5, 20, 60, 126, 252}
-    assert set(run(spark, "e21_forecast_rows").horizon) == {1, 5, 20, 60, 126, 252}
+    assert set(run(spark, "e21_forecast_rows").horizon) == {1, 5, 20, 60, 126, 252, 21, 63}
 
 
 def test_study_samples_every_trigger_of_every_symbol(spark):

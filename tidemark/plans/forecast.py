@@ -20,9 +20,10 @@ from tidemark.operators.thinning import greedy_thin, thin_by_distance
 from tidemark.operators.windows import n_bar_return, position, rolling, series
 from tidemark.plans.analogs import nearest_earlier, scales, thin_nearest
 from tidemark.plans.outcomes import forward_stats, horizon_stats
+from tidemark.plans.technicals import rsi
 
 FEATURES = [
-    "ret_1d", "ret_5d", "ret_20d", "ret_60d", "ret_120d", "ret_252d", "ma20_dist", "ma50_dist", "ma200_dist", "drawdown_252", "rel_63", "vol_21",
+    "ret_1d", "ret_5d", "ret_20d", "ret_60d", "ret_120d", "ret_252d", "rsi14", "ma50_dist", "ma200_dist", "drawdown_252", "rel_63", "vol_21",
     "leadership_spread", "leadership_age", "rank_pct",
 ]
 GAP, LEAST, POOL, MOST = 20, 8, 120, 60
@@ -33,22 +34,29 @@ MIN_ROWS = 260
 DIMS = ("vix_label", "credit_label", "trend")
 
 
-def feature_frame(bars: DataFrame, bench: DataFrame, context: DataFrame | None = None) -> DataFrame:
-    """symbol, date, pos, close and the 15 features; context (date, spread, age_weeks[, symbol rank]) is carried forward, else constants."""
+def feature_frame(bars: DataFrame, bench: DataFrame, context: DataFrame | None = None, ranks: DataFrame | None = None) -> DataFrame:
+    """symbol, date, pos, close and the 15 features.
+
+    context (date, spread, age_weeks) and ranks (symbol, date, rank_pct) are carried forward on each
+    symbol's calendar; where there is none, they are 0, 0 and a half, never null.
+    """
     b = reindex_ffill(bars.select("symbol", "date", "close"), bench, "bench").withColumn("pos", position())
     for n, name in ((1, "ret_1d"), (5, "ret_5d"), (20, "ret_20d"), (60, "ret_60d"), (120, "ret_120d"), (252, "ret_252d")):
         b = b.withColumn(name, n_bar_return("close", n))
-    for n in (20, 50, 200):
+    b = rsi(b).withColumnRenamed("rsi_a", "rsi14").drop("rsi_b")
+    for n in (50, 200):
         b = b.withColumn(f"ma{n}_dist", F.col("close") / rolling(F.avg, "close", n) - 1)
     b = b.withColumn("drawdown_252", F.col("close") / rolling(F.max, "close", 252) - 1)
     b = b.withColumn("rel_63", n_bar_return("close", 63) - n_bar_return("bench", 63))
     b = b.withColumn("vol_21", rolling(F.stddev_samp, "ret_1d", 21) * 252**0.5)
+    carried = series().rowsBetween(W.unboundedPreceding, 0)
     if context is not None:
-        for c, out in (("spread", "leadership_spread"), ("age_weeks", "leadership_age")):
-            b = reindex_ffill(b, context.select("date", F.col(c).alias(out)), out).withColumn(out, F.coalesce(out, F.lit(0.0)))
-    else:
-        b = b.withColumn("leadership_spread", F.lit(0.0)).withColumn("leadership_age", F.lit(0.0))
-    return b.withColumn("rank_pct", F.lit(0.5))
+        b = b.join(context.select("date", F.col("spread").alias("leadership_spread"), F.col("age_weeks").alias("leadership_age")), "date", "left")
+    if ranks is not None:
+        b = b.join(ranks.select("symbol", "date", "rank_pct"), ["symbol", "date"], "left")
+    for c, neutral in (("leadership_spread", 0.0), ("leadership_age", 0.0), ("rank_pct", 0.5)):
+        b = b.withColumn(c, F.coalesce(F.last(c, ignorenulls=True).over(carried), F.lit(neutral)) if c in b.columns else F.lit(neutral))
+    return b
 
 
 def regime_prefixes(regime_rows: DataFrame) -> DataFrame:
@@ -95,18 +103,11 @@ def analog_matches(features: DataFrame, queries: DataFrame) -> DataFrame:
     return thin_nearest(near, GAP, MOST)
 
 
-def outcomes_of(matches: DataFrame, forward: DataFrame) -> DataFrame:
-    """matches (symbol, query_pos, pos) with what followed each position, as far as it was complete by the query."""
-    return matches.join(forward, ["symbol", "pos"]).where(F.col("pos") + F.col("h") <= F.col("query_pos"))
-
+def matched_positions(features: DataFrame, regime_rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """symbol, query_pos, mean_dist, model, pos: the positions that each model (analog, regime, ensemble) takes for a query.
 
-def forecast(bars: DataFrame, bench: DataFrame, regime_rows: DataFrame, queries: DataFrame, horizons=HORIZONS) -> DataFrame:
-    """One row per query, model (analog, regime, ensemble) and horizon: statistics, confidence and label."""
-    aligned = reindex_ffill(bars.select("symbol", "date", "close"), bench, "bench")
-    forward = forward_stats(aligned, list(horizons), "bench").where("ret is not null")
-    labels = regime_rows.select("symbol", "pos", F.concat_ws("/", *DIMS).alias("regime"))
-    forward = forward.join(labels, ["symbol", "pos"])
-    features = feature_frame(bars, bench)
+    The ensemble keeps the analogs and adds, from the earliest, the regime's positions that are GAP rows from all kept ones.
+    """
     analog = analog_matches(features, queries)
     regime = regime_matches(regime_rows, queries)
     none = F.array().cast("array<bigint>")
@@ -116,7 +117,26 @@ def forecast(bars: DataFrame, bench: DataFrame, regime_rows: DataFrame, queries:
     # one row per query holds all three models' positions, so each search runs once
     model = lambda name, c: F.struct(F.lit(name).alias("model"), F.col(c).alias("at"))
     rows = both.select("symbol", "query_pos", "mean_dist", F.explode(F.array(model("analog", "kept"), model("regime", "r"), model("ensemble", "all"))).alias("m"))
-    rows = rows.select("symbol", "query_pos", "mean_dist", "m.model", F.explode("m.at").alias("pos"))
+    return rows.select("symbol", "query_pos", "mean_dist", "m.model", F.explode("m.at").alias("pos"))
+
+
+def outcomes_of(matches: DataFrame, forward: DataFrame) -> DataFrame:
+    """matches (symbol, query_pos, pos) with what followed each position, as far as it was complete by the query."""
+    return matches.join(forward, ["symbol", "pos"]).where(F.col("pos") + F.col("h") <= F.col("query_pos"))
+
+
+def forecast(
+    bars: DataFrame, bench: DataFrame, regime_rows: DataFrame, queries: DataFrame, horizons=HORIZONS, context: DataFrame | None = None, ranks: DataFrame | None = None
+) -> DataFrame:
+    """One row per query, model (analog, regime, ensemble) and horizon: statistics, confidence and label.
+
+    context and ranks as in feature_frame.
+    """
+    aligned = reindex_ffill(bars.select("symbol", "date", "close"), bench, "bench")
+    forward = forward_stats(aligned, list(horizons), "bench").where("ret is not null")
+    labels = regime_rows.select("symbol", "pos", F.concat_ws("/", *DIMS).alias("regime"))
+    forward = forward.join(labels, ["symbol", "pos"])
+    rows = matched_positions(feature_frame(bars, bench, context, ranks), regime_rows, queries)
     stats = horizon_stats(outcomes_of(rows, forward), ["symbol", "query_pos", "mean_dist", "model", "h"])
     asked = regime_rows.select("symbol", F.col("pos").alias("query_pos"), F.col("date").alias("as_of"), (F.concat_ws("/", *DIMS).contains(UNKNOWN)).alias("unknown"))
     stats = stats.join(asked, ["symbol", "query_pos"])
@@ -177,6 +197,21 @@ def dip_context(bars: DataFrame, bench: DataFrame, regime_rows: DataFrame, queri
     return stats.withColumn("edge", edge).withColumn("verdict", S.dip_verdict(F.col("n"), edge, F.col("expected_mae"), F.lit(False)))
 
 
+def ledger_rows(stats: DataFrame, dips: DataFrame, regime_rows: DataFrame, version: str) -> DataFrame:
+    """Rows for the ledger of both voters: forecast_id, ticker, trading_date, horizon, voter, p_positive, label, evidence.
+
+    stats: of the ensemble; dips: as dip_context gives them, whose verdict is the label. A row's id follows
+    from its ticker, date, horizon, version and voter, so writing it again adds nothing.
+    """
+    dates = regime_rows.select("symbol", F.col("pos").alias("query_pos"), F.col("date").alias("as_of"))
+    seen = F.to_json(F.struct("n", "p_positive", "q20", "q50", "q80", "expected_mae", "mean_excess"))
+    own = stats.select("symbol", "as_of", "h", F.lit("ensemble").alias("voter"), "p_positive", "label", seen.alias("evidence"))
+    gate = dips.join(dates, ["symbol", "query_pos"]).select("symbol", "as_of", "h", F.lit("dip_context").alias("voter"), "p_positive", F.col("verdict").alias("label"), seen.alias("evidence"))
+    rows = own.unionByName(gate)
+    rid = S.write_id("create_forecast", F.col("symbol"), F.date_format("as_of", "yyyy-MM-dd"), F.col("h"), F.lit(version), F.col("voter"))
+    return rows.select(rid.alias("forecast_id"), F.col("symbol").alias("ticker"), F.col("as_of").alias("trading_date"), F.col("h").alias("horizon"), "voter", "p_positive", "label", "evidence")
+
+
 def committee(ballots: DataFrame, keys: list[str], least_n: int = 8, least_families: int = 4) -> DataFrame:
     """ballots (keys..., voter, vote, confidence, independent_n, calibrated) -> convergence, disagreement, state.
 

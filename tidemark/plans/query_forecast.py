@@ -12,7 +12,8 @@ from tidemark.operators.windows import position, rolling
 from tidemark.plans import forecast as FC
 from tidemark.plans import ledger as L
 from tidemark.plans.outcomes import forward_paths, forward_stats, median_path
-from tidemark.plans.query_indicators import B, BE, CR, REGIMES_SQL, SW, VX, _ma, regime_bars, thin_sql
+from tidemark.plans import studies as ST
+from tidemark.plans.query_indicators import B, BE, CONTEXT_SQL, CR, LEADER_RUNS_SQL, P, REGIMES_SQL, SW, VX, _ewm_sql, _ma, inputs, nearest_first_sql, regime_bars, rotation, thin_sql
 from tidemark.plans.registry import query
 from tidemark.sources import market as M
 
@@ -54,77 +55,154 @@ _ALL = "SELECT symbol, pos FROM rg WHERE pos + 1 >= 260"
 
 @query("flagship_regime_outcomes", _replay_sql(_LAST, (1, 5, 20, 60)), _STAT_D)
 def flagship(spark, d):
-    rg = regime_bars(spark, d)
-    return FC.regime_replay(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.last_positions(rg))
+    m, rg = inputs(spark, d)
+    return FC.regime_replay(m.bars, m.bench, rg, FC.last_positions(rg))
 
 
 @query("a01_j14_replay_month_ends", _replay_sql(_MONTHS, (5, 20, 60)), _STAT_D)
 def replay_months(spark, d):
-    rg = regime_bars(spark, d)
-    return FC.regime_replay(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.month_ends(rg), (5, 20, 60))
+    m, rg = inputs(spark, d)
+    return FC.regime_replay(m.bars, m.bench, rg, FC.month_ends(rg), (5, 20, 60))
 
 
 @query("e20_full_replay_grid", _replay_sql("SELECT symbol, pos FROM rg WHERE pos + 1 >= 260", (20, 60)), _STAT_D)
 def replay_grid(spark, d):
-    rg = regime_bars(spark, d)
-    return FC.regime_replay(M.daily_bars(spark, d), M.benchmark(spark, d), rg, rg.where("pos + 1 >= 260").select("symbol", "pos"), (20, 60))
-
-
-@query("e01_forecast")
+    m, rg = inputs(spark, d)
+    return FC.regime_replay(m.bars, m.bench, rg, rg.where("pos + 1 >= 260").select("symbol", "pos"), (20, 60))
+
+
+def _feat_sql(rel: str = "bars", context: bool = True, ranks: bool = False) -> str:
+    """Relation fe: the 15 features of rel's rows; of relations cx (rotation context) and rr (ranks), where there are such."""
+    carried = "OVER (PARTITION BY symbol ORDER BY date)"
+    spread, age = (f"coalesce(last_value({c} IGNORE NULLS) {carried}, 0)" if context else "0.0::DOUBLE" for c in ("spread", "age_weeks"))
+    rank = f"coalesce(last_value(rank_pct IGNORE NULLS) {carried}, 0.5)" if ranks else "0.5::DOUBLE"
+    joins = (" LEFT JOIN cx USING (date)" if context else "") + (" LEFT JOIN rr USING (symbol, date)" if ranks else "")
+    return f"""rd AS (SELECT symbol, date, close - lag(close) OVER w AS dd FROM {rel} {SW}), ry AS (SELECT symbol, date, greatest(dd, 0) AS up, greatest(-dd, 0) AS dn FROM rd WHERE dd IS NOT NULL),
+  ru AS {_ewm_sql('up', 1 / 14, 'ry', 'symbol, date')}, rv AS {_ewm_sql('dn', 1 / 14, 'ry', 'symbol, date')},
+  rs AS (SELECT symbol, date, CASE WHEN rv.y = 0 AND ru.y = 0 THEN NULL WHEN rv.y = 0 THEN 100 ELSE 100 - 100 / (1 + ru.y / rv.y) END AS rsi14 FROM ru JOIN rv USING (symbol, date)),
+  fb AS (SELECT symbol, date, close, row_number() OVER w - 1 AS pos, last_value(bench IGNORE NULLS) OVER w AS bench, close / lag(close) OVER w - 1 AS ret_1d, rsi14,
+    {spread}::DOUBLE AS leadership_spread, {age}::DOUBLE AS leadership_age, {rank}::DOUBLE AS rank_pct FROM {rel} LEFT JOIN bench USING (date) LEFT JOIN rs USING (symbol, date){joins} {SW}),
+  fe AS (SELECT symbol, date, pos, ret_1d, close / lag(close, 5) OVER w - 1 AS ret_5d, close / lag(close, 20) OVER w - 1 AS ret_20d, close / lag(close, 60) OVER w - 1 AS ret_60d,
+    close / lag(close, 120) OVER w - 1 AS ret_120d, close / lag(close, 252) OVER w - 1 AS ret_252d, rsi14, close / ({_ma(50)}) - 1 AS ma50_dist, close / ({_ma(200)}) - 1 AS ma200_dist,
+    close / ({_ma(252, 'close', 'max')}) - 1 AS drawdown_252, (close / lag(close, 63) OVER w - 1) - (bench / lag(bench, 63) OVER w - 1) AS rel_63, ({_ma(21, 'ret_1d', 'stddev_samp')}) * sqrt(252) AS vol_21,
+    leadership_spread, leadership_age, rank_pct FROM fb {SW})"""
+
+
+_RANKS = """rl AS (SELECT symbol, date, (close / lag(close, 63) OVER w - 1) - base AS rel FROM panel JOIN br USING (date) WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+  rr AS (SELECT symbol, date, CASE WHEN rel IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY rel NULLS LAST) + (count(rel) OVER (PARTITION BY date, rel) - 1) / 2.0) / count(rel) OVER (PARTITION BY date) END AS rank_pct FROM rl)"""
+_WITH_CONTEXT = f"WITH {B}, {LEADER_RUNS_SQL}, {CONTEXT_SQL}"
+
+_DIST = " + ".join(f"pow((r.{c} - q.{c}) / q.s_{c}, 2)" for c in FC.FEATURES)
+_SCALED = ", ".join(f"CASE WHEN coalesce(stddev_pop({c}) OVER e, 0) < 1e-12 THEN 1.0 ELSE stddev_pop({c}) OVER e END AS s_{c}" for c in FC.FEATURES)
+_WHOLE = " AND ".join(f"{c} IS NOT NULL" for c in FC.FEATURES)
+
+
+def _positions_sql(asked: str) -> str:
+    """Relation mp (symbol, query_pos, mean_dist, model, pos): what each model takes for the queries."""
+    return f"""WITH RECURSIVE {REGIMES_SQL}, {_PREFIX}, {thin_sql('pf', 20, 'symbol, depth, prefix')}, ask AS ({asked}),
+  {P}, {LEADER_RUNS_SQL.split(BE + ',', 1)[1]}, {CONTEXT_SQL}, {_feat_sql()},
+  fz AS (SELECT *, {_SCALED} FROM fe WINDOW e AS (PARTITION BY symbol ORDER BY date)), whole AS (SELECT * FROM fz WHERE {_WHOLE}),
+  pairs AS (SELECT q.symbol, q.pos AS query_pos, r.pos, sqrt({_DIST}) AS dist FROM whole q JOIN ask USING (symbol, pos) JOIN whole r ON r.symbol = q.symbol AND r.pos < q.pos),
+  near AS (SELECT *, row_number() OVER (PARTITION BY symbol, query_pos ORDER BY dist, pos) AS rk FROM pairs QUALIFY rk <= 120),
+  {nearest_first_sql('near', 'symbol, query_pos', 20, 60, 'analog')}, md AS (SELECT symbol, query_pos, avg(dist) AS mean_dist FROM near WHERE rk <= 20 GROUP BY ALL),
+  hit AS (SELECT a.symbol, a.pos AS query_pos, p.depth, k.pos FROM ask a JOIN pf p USING (symbol, pos) JOIN kept k ON k.symbol = p.symbol AND k.depth = p.depth AND k.prefix = p.prefix AND k.pos < a.pos),
+  deep AS (SELECT symbol, query_pos, max(depth) AS depth FROM (SELECT symbol, query_pos, depth FROM hit GROUP BY ALL HAVING count(*) >= 8) GROUP BY ALL),
+  rp AS (SELECT symbol, query_pos, pos, row_number() OVER (PARTITION BY symbol, query_pos ORDER BY pos) AS i FROM hit JOIN deep USING (symbol, query_pos, depth)),
+  grow AS (SELECT symbol, query_pos, 0::BIGINT AS i, coalesce(kept, []::BIGINT[]) AS taken FROM (SELECT DISTINCT symbol, query_pos FROM rp UNION SELECT symbol, query_pos FROM analog) LEFT JOIN analog USING (symbol, query_pos)
+    UNION ALL SELECT g.symbol, g.query_pos, r.i, CASE WHEN len(list_filter(g.taken, lambda k: abs(k - r.pos) < 20)) = 0 THEN list_append(g.taken, r.pos) ELSE g.taken END
+      FROM grow g JOIN rp r ON r.symbol = g.symbol AND r.query_pos = g.query_pos AND r.i = g.i + 1),
+  ens AS (SELECT symbol, query_pos, arg_max(taken, i) AS taken FROM grow GROUP BY ALL),
+  mp AS (SELECT symbol, query_pos, mean_dist, model, pos FROM (SELECT symbol, query_pos, 'analog' AS model, unnest(kept) AS pos FROM analog
+    UNION ALL SELECT symbol, query_pos, 'regime', pos FROM rp UNION ALL SELECT symbol, query_pos, 'ensemble', unnest(taken) FROM ens) LEFT JOIN md USING (symbol, query_pos))"""
+
+
+def _forecast_sql(asked: str, hs) -> str:
+    """Relation fcast: the forecast's rows."""
+    return f"""{_positions_sql(asked)}, {_forward_sql(hs)},
+  st AS (SELECT symbol, query_pos, mean_dist, model, h::INT AS h, {_STATS} FROM mp JOIN fw USING (symbol, pos) WHERE pos + h <= query_pos GROUP BY ALL),
+  s1 AS (SELECT st.*, rg.date AS as_of, vix_label = 'unknown' OR credit_label = 'unknown' OR trend = 'unknown' AS unknown, st.regimes < 2 OR date_end - date_start < 365 AS concentrated,
+    max(p_positive) FILTER (model = 'analog') OVER m AS pa, max(p_positive) FILTER (model = 'regime') OVER m AS pr
+    FROM st JOIN rg ON rg.symbol = st.symbol AND rg.pos = st.query_pos WINDOW m AS (PARTITION BY st.symbol, st.query_pos, st.h)),
+  s2 AS (SELECT * EXCLUDE (pa, pr), greatest(0, least(100, round_even(100 * (least(1.0, n / 40.0) * greatest(p_positive, 1 - p_positive) * coalesce(1 - abs(pa - pr), 0.6)
+      * coalesce(greatest(0.0, least(1.0, 1 - mean_dist / (2 * sqrt(15)))), 0.5))
+    - 100 * (0.10 * unknown::INT + 0.15 * coalesce(mean_dist > sqrt(15), false)::INT + 0.20 * concentrated::INT), 0))) / 100 AS confidence FROM s1),
+  s3 AS (SELECT *, CASE WHEN confidence >= 0.7 AND NOT concentrated THEN 'high' WHEN confidence >= 0.4 THEN 'moderate' ELSE 'low' END AS confidence_label, coalesce(expected_mae, 0) AS deep FROM s2),
+  fcast AS (SELECT * EXCLUDE (deep), CASE WHEN n < 8 OR confidence_label = 'low' THEN 'no_reliable_signal' WHEN abs(p_positive - 0.5) < 0.05 THEN 'hold_no_change'
+    WHEN p_positive < 0.5 AND (p_positive <= 0.4 OR deep < -0.08) THEN 'reduce_defensive_candidate' WHEN p_positive < 0.5 THEN 'watch_for_confirmation'
+    WHEN confidence_label = 'high' AND p_positive >= 0.62 AND deep > -0.08 THEN 'high_conviction_long_candidate' WHEN p_positive >= 0.55 THEN 'moderate_long_candidate'
+    ELSE 'watch_for_confirmation' END AS label FROM s3)"""
+
+
+_FORECAST_D = f"mean_dist {_STAT_D} confidence"
+
+
+@query("t02_w11_s02_ensemble_positions", f"{_positions_sql(_LAST)} SELECT symbol, query_pos, model, pos FROM mp")
+def ensemble_positions(spark, d):
+    """The positions that analogs, regime and their union take for each symbol's last row."""
+    m, rg = inputs(spark, d)
+    rows = FC.matched_positions(FC.feature_frame(m.bars, m.bench, rotation(spark, d)), rg, FC.last_positions(rg))
+    return rows.select("symbol", "query_pos", "model", "pos")
+
+
+@query("e01_forecast", f"{_forecast_sql(_LAST, FC.LIVE_HORIZONS)} SELECT * FROM fcast", _FORECAST_D, places=4)
 def forecast_query(spark, d):
-    rg = regime_bars(spark, d)
-    return FC.forecast(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.last_positions(rg), FC.LIVE_HORIZONS)
+    m, rg = inputs(spark, d)
+    return FC.forecast(m.bars, m.bench, rg, FC.last_positions(rg), FC.LIVE_HORIZONS, context=rotation(spark, d))
 
 
-@query("e20_forecast_month_ends")
+@query("e20_forecast_month_ends", f"{_forecast_sql(_MONTHS, FC.HORIZONS)} SELECT * FROM fcast", _FORECAST_D, places=4)
 def forecast_months(spark, d):
     """The whole forecast (analogs, regimes, ensemble) replayed for every symbol and month at once."""
-    rg = regime_bars(spark, d)
-    return FC.forecast(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.month_ends(rg))
+    m, rg = inputs(spark, d)
+    return FC.forecast(m.bars, m.bench, rg, FC.month_ends(rg), context=rotation(spark, d))
 
 
-@query("e20_replay_forecasts")
+@query("e20_replay_forecasts", f"{_forecast_sql(_ALL, FC.HORIZONS)} SELECT * FROM fcast", _FORECAST_D, places=4)
 def forecast_replay(spark, d):
     """The whole forecast replayed for every symbol and date."""
-    rg = regime_bars(spark, d)
-    return FC.forecast(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.replay_positions(rg))
+    m, rg = inputs(spark, d)
+    return FC.forecast(m.bars, m.bench, rg, FC.replay_positions(rg), context=rotation(spark, d))
 
 
 @query("e20_replay_regimes", _replay_sql(_ALL, FC.HORIZONS), _STAT_D)
 def regime_replays(spark, d):
-    rg = regime_bars(spark, d)
-    return FC.regime_replay(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.replay_positions(rg))
+    m, rg = inputs(spark, d)
+    return FC.regime_replay(m.bars, m.bench, rg, FC.replay_positions(rg))
+
 
+_BASIS = """SELECT symbol, coalesce(arg_max(h, abs(p_positive - 0.5) * 1e6 - h) FILTER (n >= 8 AND confidence_label <> 'low'), max(h) FILTER (h = 5), min(h)) AS h FROM fcast WHERE model = 'ensemble' GROUP BY symbol"""
 
-@query("t12_basis_horizon")
+
+@query("t12_basis_horizon", f"{_forecast_sql(_LAST, FC.LIVE_HORIZONS)} {_BASIS}")
 def basis(spark, d):
-    rg = regime_bars(spark, d)
-    stats = FC.forecast(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.last_positions(rg), FC.LIVE_HORIZONS)
+    m, rg = inputs(spark, d)
+    stats = FC.forecast(m.bars, m.bench, rg, FC.last_positions(rg), FC.LIVE_HORIZONS, context=rotation(spark, d))
     return FC.basis_horizon(stats.where("model = 'ensemble'"), ["symbol"])
 
 
-_FEAT = f"""fb AS (SELECT symbol, date, close, row_number() OVER w - 1 AS pos, last_value(bench IGNORE NULLS) OVER w AS bench, close / lag(close) OVER w - 1 AS ret_1d FROM bars LEFT JOIN bench USING (date) {SW}),
-  fe AS (SELECT symbol, date, pos, ret_1d, close / lag(close, 5) OVER w - 1 AS ret_5d, close / lag(close, 20) OVER w - 1 AS ret_20d, close / lag(close, 60) OVER w - 1 AS ret_60d,
-    close / lag(close, 120) OVER w - 1 AS ret_120d, close / lag(close, 252) OVER w - 1 AS ret_252d, close / ({_ma(20)}) - 1 AS ma20_dist, close / ({_ma(50)}) - 1 AS ma50_dist, close / ({_ma(200)}) - 1 AS ma200_dist,
-    close / ({_ma(252, 'close', 'max')}) - 1 AS drawdown_252, (close / lag(close, 63) OVER w - 1) - (bench / lag(bench, 63) OVER w - 1) AS rel_63, ({_ma(21, 'ret_1d', 'stddev_samp')}) * sqrt(252) AS vol_21,
-    0.0::DOUBLE AS leadership_spread, 0.0::DOUBLE AS leadership_age, 0.5::DOUBLE AS rank_pct FROM fb {SW})"""
+@query("p17_feature_frame", f"{_WITH_CONTEXT}, {_feat_sql()} SELECT * FROM fe", " ".join(FC.FEATURES), places=4)
+def features(spark, d):
+    return FC.feature_frame(M.daily_bars(spark, d), M.benchmark(spark, d), rotation(spark, d)).select("symbol", "date", "pos", *FC.FEATURES)
 
 
-@query("p17_feature_frame", f"WITH {B}, {BE}, {_FEAT} SELECT * FROM fe", " ".join(FC.FEATURES))
-def features(spark, d):
-    return FC.feature_frame(M.daily_bars(spark, d), M.benchmark(spark, d)).select("symbol", "date", "pos", *FC.FEATURES)
+@query("p16_p17_ranked_features", f"{_WITH_CONTEXT}, {_RANKS}, {_feat_sql('panel', ranks=True)} SELECT * FROM fe", " ".join(FC.FEATURES), places=4)
+def ranked_features(spark, d):
+    """The members of the rotation universe, which have a rank."""
+    panel, bench = M.panel_bars(spark, d), M.benchmark(spark, d)
+    context = rotation(spark, d)
+    return FC.feature_frame(panel, bench, context, ST.sector_ranks(panel, bench)).select("symbol", "date", "pos", *FC.FEATURES)
 
 
-_SCALE = ", ".join(f"CASE WHEN coalesce(stddev_pop({c}) OVER e, 0) < 1e-12 THEN 1.0 ELSE stddev_pop({c}) OVER e END AS s_{c}" for c in FC.FEATURES[:4])
+_SCALE = ", ".join(f"CASE WHEN coalesce(stddev_pop({c}) OVER e, 0) < 1e-12 THEN 1.0 ELSE stddev_pop({c}) OVER e END AS s_{c}" for c in FC.FEATURES)
 
 
-@query("a17_expanding_scale", f"WITH {B}, {BE}, {_FEAT} SELECT symbol, date, {_SCALE} FROM fe WINDOW e AS (PARTITION BY symbol ORDER BY date)", " ".join(f"s_{c}" for c in FC.FEATURES[:4]))
+@query("a17_expanding_scale", f"{_WITH_CONTEXT}, {_feat_sql()} SELECT symbol, date, {_SCALE} FROM fe WINDOW e AS (PARTITION BY symbol ORDER BY date)", " ".join(f"s_{c}" for c in FC.FEATURES), places=4)
 def expanding_scale(spark, d):
     from tidemark.operators.windows import series
     from tidemark.plans.analogs import scales
 
-    x = scales(FC.feature_frame(M.daily_bars(spark, d), M.benchmark(spark, d)), FC.FEATURES[:4], series())
-    return x.select("symbol", "date", *[F.col("scale")[i].alias(f"s_{c}") for i, c in enumerate(FC.FEATURES[:4])])
+    x = scales(FC.feature_frame(M.daily_bars(spark, d), M.benchmark(spark, d), rotation(spark, d)), FC.FEATURES, series())
+    return x.select("symbol", "date", *[F.col("scale")[i].alias(f"s_{c}") for i, c in enumerate(FC.FEATURES)])
 
 
 def _dip_sql(asked: str) -> str:
@@ -139,15 +217,15 @@ def _dip_sql(asked: str) -> str:
 
 @query("e02_dip_context", _dip_sql(_MONTHS), _STAT_D + " edge")
 def dips(spark, d):
-    rg = regime_bars(spark, d)
-    return FC.dip_context(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.month_ends(rg))
+    m, rg = inputs(spark, d)
+    return FC.dip_context(m.bars, m.bench, rg, FC.month_ends(rg))
 
 
 @query("e20_replay_dips", _dip_sql(_ALL), _STAT_D + " edge")
 def dip_replay(spark, d):
     """The dip voter replayed for every symbol and date."""
-    rg = regime_bars(spark, d)
-    return FC.dip_context(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.replay_positions(rg))
+    m, rg = inputs(spark, d)
+    return FC.dip_context(m.bars, m.bench, rg, FC.replay_positions(rg))
 
 
 # ---- ledger: forecasts from the bars, one per symbol, month and horizon

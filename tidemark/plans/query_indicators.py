@@ -19,9 +19,11 @@ from tidemark.operators.windows import (
     with_runs,
     with_streak,
 )
+from tidemark.plans import studies
 from tidemark.plans.registry import query
 from tidemark.plans.technicals import atr, macd, rsi
 from tidemark.sources import market as M
+from tidemark.sources.scratch import stored
 
 B, P, BE, VX, CR, IN = M.SQL_BARS, M.SQL_PANEL, M.SQL_BENCH, M.SQL_VIX, M.SQL_CREDIT, M.SQL_INTRADAY
 SW = "WINDOW w AS (PARTITION BY symbol ORDER BY date)"
@@ -73,26 +75,58 @@ def coerce(spark, d):
     return coerce_numeric(rows, ["k"])
 
 
+_LONG, _SHORT = "o_custkey", "(o_orderkey % 30000)"
+
+
 @query(
     "io13_positioning",
-    """SELECT o_orderkey, (o_totalprice - 150000.0) / o_totalprice AS net,
-      CASE WHEN (o_totalprice - 150000.0) / o_totalprice >= 0.2 THEN 'crowded_long' WHEN (o_totalprice - 150000.0) / o_totalprice <= -0.2 THEN 'crowded_short' ELSE 'neutral' END AS label
-    FROM orders WHERE o_totalprice > 0""",
+    f"""SELECT net, CASE WHEN net >= 0.2 THEN 'crowded_long' WHEN net <= -0.2 THEN 'crowded_short' WHEN net IS NOT NULL THEN 'neutral' END AS label
+    FROM (SELECT CASE WHEN o_totalprice > 0 THEN ({_LONG} - {_SHORT}) / o_totalprice END AS net FROM orders WHERE o_orderpriority = '1-URGENT')""",
     "net",
 )
 def positioning(spark, d):
-    from tidemark.sources.files import positioning_label
+    """A report line for each order, of which those of one contract are parsed."""
+    from tidemark.sources.files import parse_positioning
 
-    rows = M.table(spark, d, "orders").where("o_totalprice > 0")
-    net = S.positioning_net(F.col("o_totalprice"), F.lit(150000.0), F.col("o_totalprice"))
-    return rows.select("o_orderkey", net.alias("net"), positioning_label(net).alias("label"))
+    blank = [F.lit(" x")] * 16
+    blank[0], blank[7], blank[14], blank[15] = F.col("o_orderpriority"), F.col("o_totalprice").cast("string"), F.concat(F.lit(" "), F.expr(_LONG)), F.expr(_SHORT).cast("string")
+    lines = M.table(spark, d, "orders").select(F.concat_ws(",", *blank).alias("value"))
+    return parse_positioning(lines.unionByName(spark.sql("SELECT '1-URGENT,too,short' AS value")), "1-URGENT")
 
 
-@query("io14_put_call", "SELECT event_id, CASE WHEN value / 100 >= 1.0 THEN 'fear' WHEN value / 100 <= 0.6 THEN 'greed' ELSE 'neutral' END AS label FROM events")
+@query(
+    "io14_put_call",
+    "SELECT ratio, CASE WHEN ratio >= 1.0 THEN 'fear' WHEN ratio <= 0.6 THEN 'greed' ELSE 'neutral' END AS label FROM (SELECT arg_max(value, event_id) / 100 AS ratio FROM events WHERE event_id % 7 <> 0)",
+    "ratio",
+)
 def put_call(spark, d):
-    from tidemark.sources.files import put_call_label
+    """A file of one line for each event, some without a ratio, behind a title and a header."""
+    from tidemark.sources.files import parse_put_call
+
+    ratio = F.when(F.col("event_id") % 7 == 0, "n/a").otherwise((F.col("value") / 100).cast("string"))
+    lines = M.table(spark, d, "events").select(F.col("event_id").alias("n"), F.concat_ws(",", F.lit("01/02/2024"), F.lit("1"), F.lit("2"), F.lit("3"), ratio).alias("value"))
+    head = spark.sql("SELECT * FROM VALUES (-3L, 'Exchange volume,,,,9.9'), (-2L, 'DATE,CALLS,PUTS,TOTAL,P/C Ratio') AS t(n, value)")
+    return parse_put_call(lines.unionByName(head))
 
-    return M.table(spark, d, "events").select("event_id", put_call_label(F.col("value") / 100).alias("label"))
+
+@query(
+    "io15_event_calendar",
+    """WITH p AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, min(day(o_orderdate)) AS a, max(day(o_orderdate)) AS b FROM orders GROUP BY ALL)
+    SELECT (y + CASE WHEN m = 12 AND m % 4 = 0 AND a < b THEN 1 ELSE 0 END)::INT AS year, (CASE WHEN m % 4 = 0 AND a < b THEN m % 12 + 1 ELSE m END)::INT AS month,
+      (CASE WHEN m % 4 = 0 THEN a ELSE b END)::INT AS day, m % 3 = 0 AS starred FROM p""",
+)
+def event_calendar(spark, d):
+    """A year's panel of months and day ranges, for every year of orders; every fourth range ends in the next month."""
+    from tidemark.sources.files import parse_event_calendar
+
+    names = F.array(*[F.lit(x) for x in "January February March April May June July August September October November December".split()])
+    day = F.dayofmonth("o_orderdate")
+    per = M.table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("m")).agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    turned = F.col("m") % 4 == 0
+    days = F.concat_ws("-", F.when(turned, F.col("b")).otherwise(F.col("a")).cast("string"), F.when(turned, F.col("a")).otherwise(F.col("b")).cast("string"))
+    cell = F.concat(F.lit("<b>"), F.element_at(names, F.col("m")), F.lit("</b><td>"), days, F.when(F.col("m") % 3 == 0, "*").otherwise(""), F.lit("</td>"))
+    cells = F.sort_array(F.collect_list(F.struct("m", cell.alias("c"))))  # twelve at most
+    return parse_event_calendar(per.groupBy("year").agg(F.array_join(F.transform(cells, lambda x: x["c"]), "").alias("panel")))
 
 
 @query(
@@ -397,7 +431,7 @@ def vix_labels(spark, d):
     return j.select("symbol", "date", regimes.vix_label(F.col("vix")).alias("label"))
 
 
-LOOK = 300
+LOOK = regimes.CREDIT_LOOKBACK
 _CREDIT = f"""ch AS (SELECT date, credit, credit - lag(credit, 63) OVER (ORDER BY date) AS change FROM credit),
   va AS (SELECT date, list(change) OVER (ORDER BY date ROWS {LOOK - 1} PRECEDING) AS l FROM ch WHERE change IS NOT NULL),
   pc AS (SELECT date, CASE WHEN len(l) >= {LOOK} THEN len(list_filter(l, lambda x: x < l[-1])) * 100.0 / {LOOK} END AS pct FROM va),
@@ -447,6 +481,12 @@ def regime_bars(spark, d):
     return b.withColumn("pos", position())
 
 
+def inputs(spark, d):
+    """The daily series and the labelled bars, each written once: what the forecast plans read."""
+    m = M.stored_market(spark, d)
+    return m, stored(regimes.with_regimes(m.bars, m.vix, m.credit, m.bench, LOOK).withColumn("pos", position()), "regimes")
+
+
 @query(
     "r06_r07_regime_tuple",
     f"WITH {REGIMES_SQL} SELECT symbol, date, vix_label || '/' || credit_label || '/' || trend AS regime, vix_label = 'stressed' AND trend = 'below' AND credit_label = 'widening' AS regime_break FROM rg",
@@ -466,11 +506,20 @@ LEADER_SQL = f"""{P}, {BE}, {_GROUPS},
   lead_ AS (SELECT date, CASE WHEN grp IS NULL THEN 'unknown' WHEN spread >= 2 THEN grp || '-led' WHEN spread <= -2 THEN 'anti-' || grp ELSE 'broad' END AS leader, spread FROM bench LEFT JOIN gb USING (date))"""
 
 
+LEADER_RUNS_SQL = f"{LEADER_SQL}, ln_ AS (SELECT *, CASE WHEN leader IS NOT DISTINCT FROM lag(leader) OVER (ORDER BY date) AND row_number() OVER (ORDER BY date) > 1 THEN 0 ELSE 1 END AS new FROM lead_), lr AS (SELECT *, sum(new) OVER (ORDER BY date) AS run FROM ln_)"
+CONTEXT_SQL = "cx AS (SELECT date, spread, CASE WHEN leader = 'unknown' THEN 0 ELSE (date - min(date) OVER (PARTITION BY run ORDER BY date) + 1) / 7.0 END::DOUBLE AS age_weeks FROM lr)"
+
+
 def leaders(spark, d):
     groups = spark.createDataFrame(GROUPS, "grp string, ord int, symbol string")
     return regimes.leadership(M.panel_bars(spark, d), groups, M.benchmark(spark, d))
 
 
+def rotation(spark, d):
+    """The rotation context of every date, written once."""
+    return stored(studies.rotation_context(leaders(spark, d)), "context")
+
+
 @query("r08_leadership", f"WITH {LEADER_SQL} SELECT date, leader, spread FROM lead_", "spread", places=4)
 def leadership(spark, d):
     return leaders(spark, d)
@@ -578,6 +627,16 @@ def thin_sql(cand: str, gap: int, by: str, name: str = "kept") -> str:
     return f"{name} AS (SELECT {by}, min(pos) AS pos FROM {cand} GROUP BY {by} UNION ALL SELECT {by}, min(c.pos) FROM {name} k JOIN {cand} c USING ({by}) WHERE c.pos >= k.pos + {gap} GROUP BY {by}, k.pos)"
 
 
+def nearest_first_sql(near: str, keys: str, gap: int, most: int, name: str) -> str:
+    """Recursive CTE over relation near (keys, pos, rk from 1): kept (keys, kept), the nearest first, gap rows apart, at most `most`."""
+    on = " AND ".join(f"n.{k.strip()} = t.{k.strip()}" for k in keys.split(","))
+    own = ", ".join(f"t.{k.strip()}" for k in keys.split(","))
+    return f"""{name}_steps AS (SELECT DISTINCT {keys}, 0::BIGINT AS rk, []::BIGINT[] AS kept FROM {near}
+    UNION ALL SELECT {own}, n.rk, CASE WHEN len(t.kept) < {most} AND len(list_filter(t.kept, lambda k: abs(k - n.pos) < {gap})) = 0 THEN list_append(t.kept, n.pos) ELSE t.kept END
+      FROM {name}_steps t JOIN {near} n ON {on} AND n.rk = t.rk + 1),
+  {name} AS (SELECT {keys}, arg_max(kept, rk) AS kept FROM {name}_steps GROUP BY {keys})"""
+
+
 _HITS = f"hit AS (SELECT symbol, pos FROM (SELECT symbol, row_number() OVER w - 1 AS pos, close / ({_ma(252, 'close', 'max', 60)}) - 1 AS dd FROM bars {SW}) WHERE dd <= -0.1)"
 
 
@@ -587,12 +646,18 @@ def greedy(spark, d):
     return thinning.greedy_thin(b.where("close / hi - 1 <= -0.1"), 21, ["symbol"])
 
 
-@query("w10_distance_thinning")
+@query(
+    "w10_distance_thinning",
+    f"""WITH RECURSIVE pairs AS (SELECT q.vec_id AS query_pos, e.vec_id AS pos, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS dist FROM embeddings q JOIN embeddings e ON e.vec_id < q.vec_id WHERE q.vec_id % 20 = 0),
+      near AS (SELECT *, row_number() OVER (PARTITION BY query_pos ORDER BY dist, pos) AS rk FROM pairs QUALIFY rk <= 120), {nearest_first_sql('near', 'query_pos', 20, 60, 'thinned')}
+    SELECT query_pos, unnest(kept) AS pos, generate_subscripts(kept, 1)::INT AS nth FROM thinned""",
+)
 def distance_thin(spark, d):
     from tidemark.plans.analogs import nearest_earlier, thin_nearest
 
     e = M.table(spark, d, "embeddings").select(F.lit("*").alias("symbol"), F.col("vec_id").alias("pos"), F.col("embedding").cast("array<double>").alias("x"))
-    return thin_nearest(nearest_earlier(e, e.where("pos % 20 = 0"), 120), 20, 60).select("query_pos", F.size("kept").cast("long").alias("n"), F.array_min("kept").alias("first"))
+    kept = thin_nearest(nearest_earlier(e, e.where("pos % 20 = 0"), 120), 20, 60)
+    return kept.select("query_pos", F.posexplode("kept").alias("nth", "pos")).select("query_pos", "pos", (F.col("nth") + 1).alias("nth"))
 
 
 @query(
@@ -630,9 +695,9 @@ def vix_runs(spark, d):
     return with_runs(v, "label")
 
 
-@query("w14_w15_runs_and_onsets", f"WITH {RUNS_SQL} SELECT label, min(date) AS start, max(date) AS stop, count(*) AS rows, count(*) >= 3 AS onset FROM vr GROUP BY run, label")
+@query("w14_w15_runs_and_onsets", f"WITH {RUNS_SQL} SELECT label, min(date) AS start, max(date) AS stop, count(*) AS rows, count(*) >= 10 AS onset FROM vr GROUP BY run, label")
 def runs(spark, d):
-    return vix_runs(spark, d).groupBy("run", "label").agg(F.min("date").alias("start"), F.max("date").alias("stop"), F.count("*").alias("rows"), (F.count("*") >= 3).alias("onset")).drop("run")
+    return vix_runs(spark, d).groupBy("run", "label").agg(F.min("date").alias("start"), F.max("date").alias("stop"), F.count("*").alias("rows"), (F.count("*") >= 10).alias("onset")).drop("run")
 
 
 @query("w16_run_age", f"WITH {RUNS_SQL} SELECT date, label, (date - min(date) OVER (PARTITION BY run ORDER BY date) + 1)::INT AS age_days FROM vr")

@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators.windows import position, rolling, series
-from tidemark.plans import forecast as FC
 from tidemark.plans import ledger as L
-from tidemark.plans.query_indicators import B, CR, SW, _ma, regime_bars
+from tidemark.plans.query_indicators import B, CR, SW, _ma
 from tidemark.plans.registry import query
-from tidemark.sources import files, pit
+from tidemark.sources import files, pit, scratch
 from tidemark.sources import market as M
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset."""
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='tidemark-')}/store-{uuid.uuid4().hex}"
+    return scratch.folder(spark, "store")
 
 
 @query("io01_io03_io27_price_store", f"WITH {B} SELECT date, open, high, low, close, volume FROM bars WHERE symbol = 'NO' AND date <= DATE '1998-03-31'", "open high low close volume", places=4)
@@ -75,13 +68,6 @@ def positions(spark, d):
     return M.daily_bars(spark, d).select("symbol", "date", position().alias("pos"), F.lag("close", 3).over(w).alias("back3"), F.lead("close", 3).over(w).alias("ahead3"), rolling(F.max, "close", 10, 4).alias("max10"))
 
 
-@query("t02_w11_s02_ensemble_positions")
-def ensemble_positions(spark, d):
-    rg = regime_bars(spark, d)
-    q = FC.last_positions(rg)
-    return FC.analog_matches(FC.feature_frame(M.daily_bars(spark, d), M.benchmark(spark, d)), q).select("symbol", "query_pos", F.size("kept").cast("long").alias("n"))
-
-
 @query(
     "f06_f09_f10_strength",
     """SELECT o_orderkey, (o_orderkey % 4 < 2) OR (o_orderkey % 500 < 365) AS concentrated,

@@ -14,8 +14,8 @@ from tidemark.plans import research as R
 from tidemark.plans import studies as ST
 from tidemark.plans import technicals as T
 from tidemark.plans import validation as V
-from tidemark.plans.query_forecast import _LAST, _replay_sql
-from tidemark.plans.query_indicators import B, BE, CR, IN, LEADER_SQL, P, REGIMES_SQL, SW, TAGS, _ewm_sql, _ma, _TAGS, leaders, regime_bars, thin_sql
+from tidemark.plans.query_forecast import _FORECAST_D, _LAST, _dip_sql, _forecast_sql, _replay_sql
+from tidemark.plans.query_indicators import B, BE, CONTEXT_SQL, CR, IN, LEADER_RUNS_SQL as _LRUN, P, REGIMES_SQL, SW, TAGS, _ewm_sql, _ma, _TAGS, inputs, leaders, regime_bars, rotation, thin_sql
 from tidemark.plans.registry import query
 from tidemark.sources import market as M
 
@@ -33,7 +33,7 @@ def volume_regime(spark, d):
 
 
 @query(
-    "a13_a14_down_volume",
+    "a13_down_volume",
     f"""WITH {B}, x AS (SELECT symbol, volume, close < lag(close) OVER (PARTITION BY symbol ORDER BY date) AS down, {_TAIL} FROM bars),
       g AS (SELECT symbol, avg(volume) FILTER (back <= 10 AND down) / avg(volume) FILTER (back BETWEEN 11 AND 63) AS ratio FROM x GROUP BY symbol)
     SELECT symbol, ratio, CASE WHEN ratio >= 1.3 THEN 'capitulation' WHEN ratio <= 0.8 THEN 'distribution' WHEN ratio IS NOT NULL THEN 'neutral' END AS label FROM g""",
@@ -43,6 +43,16 @@ def forensics(spark, d):
     return T.down_day_forensics(M.daily_bars(spark, d))
 
 
+@query(
+    "a14_down_volume_ratio",
+    f"""WITH {B}, x AS (SELECT symbol, volume, close < lag(close) OVER (PARTITION BY symbol ORDER BY date) AS down, count(*) OVER (PARTITION BY symbol) AS n, {_TAIL} FROM bars)
+    SELECT symbol, avg(volume) FILTER (back <= 10 AND down) / nullif(avg(volume) FILTER (back BETWEEN 11 AND 60), 0) AS ratio FROM x WHERE n >= 60 GROUP BY symbol""",
+    "ratio",
+)
+def down_ratio(spark, d):
+    return T.down_volume_ratio(M.daily_bars(spark, d))
+
+
 @query(
     "a15_up_down_volume",
     f"""WITH {B}, x AS (SELECT symbol, date, volume, close - lag(close) OVER w AS dd FROM bars {SW}),
@@ -236,36 +246,41 @@ def mixture(spark, d):
 
 # ---- research claims
 
-_DIMS = ["vix_label", "trend"]
-EPISODES_SQL = f"""{REGIMES_SQL}, fx AS (SELECT symbol, date, lead(close, 63) OVER w / close - 1 AS ret, min(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING) / close - 1 AS dd FROM bars {SW}),
-  ep AS (SELECT symbol, date, ret, dd, vix_label, trend FROM rg JOIN fx USING (symbol, date) WHERE ret IS NOT NULL)"""
-CLAIMS_SQL = f"""{EPISODES_SQL}, cj AS (SELECT symbol, date, ret, dd, unnest(['vix_label=' || vix_label, 'trend=' || trend, 'vix_label=' || vix_label || '&trend=' || trend]) AS c FROM ep),
-  sr AS (SELECT symbol, (count(DISTINCT vix_label) + count(DISTINCT trend) + count(DISTINCT vix_label) * count(DISTINCT trend))::BIGINT AS searched FROM ep GROUP BY symbol),
-  cl2 AS (SELECT symbol, c, count(*) AS n, quantile_cont(ret, 0.5) AS median, min(ret) AS floor, min(dd) AS worst_dd, greatest(avg((ret > 0)::INT), 1 - avg((ret > 0)::INT)) AS consistency, count(DISTINCT floor(year(date) / 10)) AS decades FROM cj GROUP BY symbol, c HAVING count(*) >= 4)"""
+_DIMS = ["vix_label", "credit_label", "trend"]
+EPISODES_SQL = f"""{REGIMES_SQL}, fx AS (SELECT symbol, date, lead(close, 126) OVER w / close - 1 AS ret, min(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 126 FOLLOWING) / close - 1 AS dd FROM bars {SW}),
+  ep AS (SELECT symbol, date, ret, dd, vix_label, credit_label, trend FROM rg JOIN fx USING (symbol, date) WHERE ret IS NOT NULL)"""
+_ONE = [f"'{d}=' || {d}" for d in _DIMS]
+_TWO = [f"{a} || '&' || {b}" for i, a in enumerate(_ONE) for b in _ONE[i + 1 :]]
+_TRIED = [f"count(DISTINCT {d})" for d in _DIMS]
+_TRIED += [f"{a} * {b}" for i, a in enumerate(_TRIED) for b in _TRIED[i + 1 :]]
+CLAIMS_SQL = f"""{EPISODES_SQL}, cj AS (SELECT symbol, date, ret, dd, unnest([{', '.join(_ONE + _TWO)}]) AS c FROM ep),
+  sr AS (SELECT symbol, ({' + '.join(_TRIED)})::BIGINT AS searched FROM ep GROUP BY symbol),
+  cl2 AS (SELECT symbol, c, count(*) AS n, quantile_cont(ret, 0.5) AS median, min(ret) AS floor, min(dd) AS worst_dd, greatest(avg((ret > 0)::INT), 1 - avg((ret > 0)::INT)) AS consistency, count(DISTINCT floor(year(date) / 10)) AS decades,
+    array_to_string((CASE WHEN quantile_cont(ret, 0.5) >= 0 THEN list_sort(list(date) FILTER (ret < 0)) ELSE list_sort(list(date) FILTER (ret >= 0)) END)[1:4], ' ') AS exceptions FROM cj GROUP BY symbol, c HAVING count(*) >= 4)"""
 
 
 def episodes(spark, d):
     x = regime_bars(spark, d)
     w = series()
-    x = x.withColumn("ret", F.lead("close", 63).over(w) / F.col("close") - 1).withColumn("dd", F.min("close").over(w.rowsBetween(0, 63)) / F.col("close") - 1)
+    x = x.withColumn("ret", F.lead("close", 126).over(w) / F.col("close") - 1).withColumn("dd", F.min("close").over(w.rowsBetween(0, 126)) / F.col("close") - 1)
     return x.where("ret is not null")
 
 
-@query("a06_a07_claims", f"WITH {CLAIMS_SQL} SELECT * FROM cl2 JOIN sr USING (symbol)", "median floor worst_dd consistency")
+@query("a06_a07_claims", f"WITH {CLAIMS_SQL} SELECT * REPLACE (coalesce(exceptions, '') AS exceptions) FROM cl2 JOIN sr USING (symbol)", "median floor worst_dd consistency")
 def claims(spark, d):
     c = R.claims(episodes(spark, d), _DIMS, ["symbol"], 4)
-    return c.select("symbol", F.array_join("conditions", "&").alias("c"), "n", "median", "floor", "worst_dd", "consistency", "decades", "searched")
+    return c.select("symbol", F.array_join("conditions", "&").alias("c"), "n", "median", "floor", "worst_dd", "consistency", "decades", F.array_join(F.transform("exceptions", lambda x: x.cast("string")), " ").alias("exceptions"), "searched")
 
 
 @query(
     "t05_f04_top_claims",
     f"""WITH {CLAIMS_SQL}, z AS (SELECT *, (consistency - 0.5) / sqrt(0.25 / n) AS z, sqrt(2 * ln(greatest(searched, 2))) AS zc, len(string_split(c, '&')) AS depth FROM cl2 JOIN sr USING (symbol)),
       y AS (SELECT symbol, c, 100 * least(1.0, n / 12.0) * consistency * pow(0.85, depth) * least(1.0, decades / 4.0) * CASE WHEN z > 0 THEN greatest(z - zc, 0) / (greatest(z - zc, 0) + zc) ELSE 0 END AS raw FROM z)
-    SELECT symbol, c, rk::INT AS rk FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(raw) DESC, c) AS rk FROM y) WHERE rk <= 3""",
+    SELECT symbol, c, rk::INT AS rk FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(raw) DESC, c) AS rk FROM y) WHERE rk <= 15""",
 )
 def top_claims(spark, d):
     c = R.claims(episodes(spark, d), _DIMS, ["symbol"], 4).withColumn("c", F.array_join("conditions", "&"))
-    return c.withColumn("rk", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("confidence"), "c"))).where("rk <= 3").select("symbol", "c", "rk")
+    return c.withColumn("rk", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("confidence"), "c"))).where("rk <= 15").select("symbol", "c", "rk")
 
 
 @query(
@@ -309,7 +324,6 @@ def rs_curves(spark, d):
     return ST.rs_curves(M.panel_bars(spark, d), M.benchmark(spark, d))
 
 
-_LRUN = f"{LEADER_SQL}, ln_ AS (SELECT *, CASE WHEN leader IS NOT DISTINCT FROM lag(leader) OVER (ORDER BY date) AND row_number() OVER (ORDER BY date) > 1 THEN 0 ELSE 1 END AS new FROM lead_), lr AS (SELECT *, sum(new) OVER (ORDER BY date) AS run FROM ln_)"
 
 
 @query("e12_leader_runs", f"WITH {_LRUN} SELECT leader, min(date) AS start, max(date) AS stop, count(*) AS rows FROM lr WHERE leader <> 'unknown' GROUP BY run, leader HAVING count(*) >= 10")
@@ -317,9 +331,9 @@ def leader_runs(spark, d):
     return ST.leader_runs(leaders(spark, d))
 
 
-@query("p16_e22_rotation_context", f"WITH {_LRUN} SELECT date, spread, CASE WHEN leader = 'unknown' THEN 0 ELSE (date - min(date) OVER (PARTITION BY run ORDER BY date) + 1) / 7.0 END::DOUBLE AS age_weeks FROM lr", "spread age_weeks", places=4)
+@query("p16_e22_rotation_context", f"WITH {_LRUN}, {CONTEXT_SQL} SELECT * FROM cx", "spread age_weeks", places=4)
 def rotation_context(spark, d):
-    return ST.rotation_context(leaders(spark, d))
+    return rotation(spark, d)
 
 
 @query(
@@ -370,18 +384,19 @@ def scan(spark, d):
     "score",
 )
 def scanner_digest(spark, d):
-    rg = regime_bars(spark, d)
-    stats = FC.regime_replay(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.last_positions(rg), (5,))
-    everyone = M.daily_bars(spark, d).select("symbol").distinct().withColumn("qualifies", F.lit(True))
+    m, rg = inputs(spark, d)
+    stats = FC.regime_replay(m.bars, m.bench, rg, FC.last_positions(rg), (5,))
+    everyone = m.bars.select("symbol").distinct().withColumn("qualifies", F.lit(True))
     return ST.scanner_digest(everyone, stats)
 
 
 @query("e15_scanner_digest")
 def gated_scanner_digest(spark, d):
     """Setups, gated out and skipped symbols of the last day, from the ensemble's forecasts."""
-    bars, bench, rg = M.daily_bars(spark, d), M.benchmark(spark, d), regime_bars(spark, d)
+    m, rg = inputs(spark, d)
+    bars, bench = m.bars, m.bench
     last = FC.last_positions(rg)
-    f = FC.forecast(bars, bench, rg, last, FC.LIVE_HORIZONS).where("model = 'ensemble'").withColumn("shift", S.ood(F.col("mean_dist"), len(FC.FEATURES))[0])
+    f = FC.forecast(bars, bench, rg, last, FC.LIVE_HORIZONS, context=rotation(spark, d)).where("model = 'ensemble'").withColumn("shift", S.ood(F.col("mean_dist"), len(FC.FEATURES))[0])
     triggers = ST.scanner_triggers(bars, bench, rg).join(last, "symbol", "left_semi")
     today = bars.agg(F.max("date")).first()[0]
     return ST.gated_digest(triggers, f, F.lit(today)).withColumn("triggers", F.array_join("triggers", ","))
@@ -573,17 +588,30 @@ def digest(spark, d):
     return ST.digest_json(M.daily_bars(spark, d).groupBy("symbol").agg(F.count("*").alias("n")), "symbol")
 
 
-@query("e19_single_replay")
+@query("e19_single_replay", f"{_forecast_sql(_LAST, FC.HORIZONS)} SELECT * FROM fcast WHERE model = 'ensemble' AND symbol = 'NO'", _FORECAST_D, places=4)
 def single(spark, d):
-    rg = regime_bars(spark, d)
+    m, rg = inputs(spark, d)
     q = FC.last_positions(rg).where("symbol = 'NO'")
-    return FC.forecast(M.daily_bars(spark, d), M.benchmark(spark, d), rg, q).where("model = 'ensemble'")
+    return FC.forecast(m.bars, m.bench, rg, q, context=rotation(spark, d)).where("model = 'ensemble'")
+
 
+_ROWS = "p_positive, label, n::BIGINT AS n, q50"
 
-@query("e21_forecast_rows")
+
+@query(
+    "e21_forecast_rows",
+    f"""SELECT 'create_forecast:' || substr(sha256(ticker || '|' || strftime(trading_date, '%Y-%m-%d') || '|' || horizon || '|tidemark-1|' || voter), 1, 16) AS forecast_id, * FROM (
+      SELECT symbol AS ticker, as_of AS trading_date, h AS horizon, 'ensemble' AS voter, {_ROWS} FROM ({_forecast_sql(_LAST, FC.LIVE_HORIZONS)} SELECT * FROM fcast) WHERE model = 'ensemble'
+      UNION ALL SELECT symbol, date, h, 'dip_context', p_positive, verdict, n, q50 FROM ({_dip_sql(_LAST)})
+        JOIN (WITH {B} SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS query_pos FROM bars) USING (symbol, query_pos))""",
+    "p_positive q50",
+    places=4,
+)
 def forecast_rows(spark, d):
-    rg = regime_bars(spark, d)
-    f = FC.forecast(M.daily_bars(spark, d), M.benchmark(spark, d), rg, FC.last_positions(rg), FC.LIVE_HORIZONS).where("model = 'ensemble'")
-    rid = S.write_id("create_forecast", F.col("symbol"), F.date_format("as_of", "yyyy-MM-dd"), F.col("h"), F.lit("tidemark-1"), F.lit("ensemble"))
-    payload = F.to_json(F.struct("n", "p_positive", "q20", "q50", "q80", "confidence", "label"))
-    return f.select(rid.alias("forecast_id"), F.col("symbol").alias("ticker"), F.col("as_of").alias("trading_date"), F.col("h").alias("horizon"), F.lit("ensemble").alias("voter"), payload.alias("evidence"))
+    """Both voters' rows of each symbol's last date, with two fields read back from their evidence."""
+    m, rg = inputs(spark, d)
+    last = FC.last_positions(rg)
+    stats = FC.forecast(m.bars, m.bench, rg, last, FC.LIVE_HORIZONS, context=rotation(spark, d)).where("model = 'ensemble'")
+    rows = FC.ledger_rows(stats, FC.dip_context(m.bars, m.bench, rg, last), rg, "tidemark-1")
+    field = lambda name, kind: F.get_json_object("evidence", f"$.{name}").cast(kind).alias(name)
+    return rows.select(*rows.columns[:-1], field("n", "long"), field("q50", "double"))

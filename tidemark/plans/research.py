@@ -84,20 +84,30 @@ def study(bars: DataFrame, ext: float = 0.30, trail: float = 0.40, hi20: float =
     return out.select("symbol", "trig", "sampling", zero("n"), zero("n_complete"), "median", "median_dd", "worst_dd", "pct_positive")
 
 
+#: Dates that a claim names as its exceptions.
+EXCEPTIONS = 4
+
+
 def claims(episodes: DataFrame, dims: list[str], keys: list[str], least: int) -> DataFrame:
     """episodes (keys..., date, ret, dd, dims...) -> claims about every value of one dimension and of two.
 
     A claim: conditions, n, median, floor (worst return), worst_dd, consistency (the larger share of a sign),
-    decades, searched (combinations tried, empty ones too) and its deflated confidence.
+    decades, exceptions (the first dates, EXCEPTIONS at most, whose sign is not the median's), searched (combinations
+    tried, empty ones too) and its deflated confidence.
     """
     conj = [F.array(F.concat(F.lit(f"{d}="), F.col(d))) for d in dims]
     conj += [F.array(F.concat(F.lit(f"{a}="), F.col(a)), F.concat(F.lit(f"{b}="), F.col(b))) for i, a in enumerate(dims) for b in dims[i + 1 :]]
     e = episodes.where("ret is not null").withColumn("conditions", F.explode(F.array(*conj)))
     pos = F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0))
+    nth = F.row_number().over(W.partitionBy(*keys, "conditions", "loss").orderBy("date"))
+    e = e.withColumn("loss", F.col("ret") < 0).withColumn("nth", nth)
+    early = lambda loss: F.sort_array(F.collect_list(F.when((F.col("nth") <= EXCEPTIONS) & (F.col("loss") == loss), F.col("date"))))
     g = e.groupBy(*keys, "conditions").agg(
         F.count(F.lit(1)).alias("n"), F.percentile("ret", 0.5).alias("median"), F.min("ret").alias("floor"), F.min("dd").alias("worst_dd"),
         F.greatest(pos, 1 - pos).alias("consistency"), F.count_distinct(F.floor(F.year("date") / 10)).alias("decades"),
+        early(True).alias("losses"), early(False).alias("gains"),
     )
+    g = g.withColumn("exceptions", F.when(F.col("median") >= 0, F.col("losses")).otherwise(F.col("gains"))).drop("losses", "gains")
     counts = episodes.where("ret is not null").groupBy(*keys).agg(*[F.count_distinct(d).alias(f"__{d}") for d in dims])
     one = sum((F.col(f"__{d}") for d in dims), F.lit(0))
     two = sum((F.col(f"__{a}") * F.col(f"__{b}") for i, a in enumerate(dims) for b in dims[i + 1 :]), F.lit(0))

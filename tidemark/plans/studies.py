@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators.alignment import asof_backward, reindex_ffill
 from tidemark.operators.thinning import greedy_thin
-from tidemark.operators.windows import n_bar_return, position, rolling, series
+from tidemark.operators.windows import n_bar_return, percent_rank_average, position, rolling, series
 from tidemark.plans.outcomes import forward_paths
 from tidemark.plans.technicals import rsi, tail_rank
 
@@ -106,6 +106,13 @@ def rotation_context(leaders: DataFrame) -> DataFrame:
     return x.select("date", "spread", F.when(F.col("leader") == "unknown", 0.0).otherwise(days / 7).alias("age_weeks"))
 
 
+def sector_ranks(panel: DataFrame, bench: DataFrame, n: int = 63) -> DataFrame:
+    """symbol, date, rank_pct: percentile rank (average of ties, over the day's members) of the n-row return relative to the benchmark's."""
+    base = bench.withColumn("symbol", F.lit("*")).select("date", n_bar_return("bench", n).alias("base"))
+    rel = panel.withColumn("rel", n_bar_return("close", n)).join(base, "date").withColumn("rel", F.col("rel") - F.col("base"))
+    return rel.select("symbol", "date", percent_rank_average("rel", "date").alias("rank_pct"))
+
+
 def macro_block(macro: DataFrame, yoy_rows: int = 12) -> DataFrame:
     """series, value, change_91d, change_365d, yoy: the last value of each series, its change since the last value at or before
     91 and 365 days ago, and over so many rows."""

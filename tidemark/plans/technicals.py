@@ -70,6 +70,18 @@ def down_day_forensics(bars: DataFrame) -> DataFrame:
     return g.select("symbol", ratio.alias("ratio"), F.when(ratio >= 1.3, "capitulation").when(ratio <= 0.8, "distribution").when(ratio.isNotNull(), "neutral").alias("label"))
 
 
+def down_volume_ratio(bars: DataFrame, lookback: int = 10, base: int = 50) -> DataFrame:
+    """symbol -> ratio of the last `lookback` bars' mean volume on down days to the mean volume of the `base` bars before; of symbols
+    with as many bars as both, null without a down day or a base."""
+    x = bars.withColumn("back", tail_rank()).withColumn("down", F.col("close") < F.lag("close").over(series()))
+    g = x.groupBy("symbol").agg(
+        F.avg(F.when((F.col("back") <= lookback) & F.col("down"), F.col("volume"))).alias("recent"),
+        F.avg(F.when((F.col("back") > lookback) & (F.col("back") <= lookback + base), F.col("volume"))).alias("base"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    return g.where(F.col("n") >= lookback + base).select("symbol", F.try_divide("recent", F.nullif("base", F.lit(0.0))).alias("ratio"))
+
+
 def up_down_volume(bars: DataFrame, n: int = 10) -> DataFrame:
     """symbol, date, ratio: volume on rising over volume on falling days of the last n; and the value five bars ago."""
     w = series()

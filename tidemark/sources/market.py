@@ -9,9 +9,13 @@ whatever the order of aggregation.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,6 +69,48 @@ def credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.to_date("l_shipdate").alias("date")).agg(_mean("l_tax", 50, 6).alias("credit"))
 
 
+class Market(NamedTuple):
+    """Daily series that plans read many times."""
+
+    bars: DataFrame
+    bench: DataFrame
+    vix: DataFrame
+    credit: DataFrame
+
+
+def stored_market(spark: SparkSession, sf_dir: str) -> Market:
+    """The same series as daily_bars, benchmark, vix and credit give, from one pass over lineitem.
+
+    Each symbol's day is reduced once, with the sums that the other series need, and written; all
+    later reading is of that small table.
+    """
+    cents = lambda c: F.expr(f"sum(cast(round({c} * 100) as bigint))")
+    first = F.col("l_linenumber") == 1
+    rows = table(spark, sf_dir, "lineitem").withColumn("symbol", F.concat("l_returnflag", "l_linestatus")).withColumn("date", F.to_date("l_shipdate"))
+    rows = rows.withColumn("__d", F.when(first, F.col("l_discount"))).withColumn("__l", first)
+    sums = {"price": "l_extendedprice", "tax": "l_tax", "disc": "__d"}
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    days = rows.groupBy("symbol", "date").agg(
+        F.round(F.min(order)["l_extendedprice"], 4).alias("open"), F.max("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("low"),
+        F.sum("l_quantity").alias("volume"), F.max("__l").alias("has_first"),
+        *[x for n, c in sums.items() for x in (cents(c).alias(f"{n}_cents"), F.count(c).alias(f"{n}_n"))],
+    )
+    days = stored(days, "days")
+
+    def mean(n: str, factor: int, decimals: int, total: str = "sum({})"):
+        c, k = total.format(f"{n}_cents"), total.format(f"{n}_n")
+        return F.expr(f"({c} * {factor * 10**decimals // 100} div {k}) / {10**decimals}d")
+
+    by_day = days.groupBy("date")
+    bars = days.select("symbol", "date", "open", "high", "low", mean("price", 1, 4, "{}").alias("close"), "volume")
+    return Market(
+        bars,
+        by_day.agg(mean("price", 1, 4).alias("bench")),
+        days.where("has_first").groupBy("date").agg(mean("disc", 400, 6).alias("vix")),
+        by_day.agg(mean("tax", 50, 6).alias("credit")),
+    )
+
+
 def intraday_bars(spark: SparkSession, sf_dir: str, minutes: int = 15) -> DataFrame:
     """symbol, bar_ts (start), session, open, high, low, close, volume from events."""
     rows = table(spark, sf_dir, "events")
