@@ -353,7 +353,10 @@ def _open_links(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFram
     per = per.groupBy("bucket").agg(
         F.max(F.struct("c", "root")).alias("top"), _blocks(F.sum("c"), F.sum("s")).alias("r"), F.sum("c").alias("all"), F.sum("s").alias("s")
     )
-    per = per.select("bucket", F.col("top.root").alias("most"), "r", _blocks(F.col("all") - F.col("top.c"), F.col("s") * (F.col("all") - F.col("top.c")) / F.col("all")).alias("l"))
+    per = per.select(
+        "bucket", F.col("top.root").alias("most"), "r", _blocks(F.col("all") - F.col("top.c"), F.col("s") * (F.col("all") - F.col("top.c")) / F.col("all")).alias("l")
+    )
+    per = scratch.small(per, "wide-loads")  # written, so that Spark can split the join's wide buckets
     wide = scratch.table(wide.join(per, "bucket"), "wide")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     mine = lambda n: F.expr(f"pmod(xxhash64(cls), {n})")
