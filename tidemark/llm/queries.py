@@ -9,6 +9,7 @@ from tidemark.llm import chat_format, decontaminate, minhash, mixing, pii, quali
 from tidemark.llm.common import read
 
 SHARD_BYTES = 64 << 20
+SMALL_SHARD_BYTES = 64 << 10
 RULES = [
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
@@ -23,6 +24,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, SHARD_BYTES).select("doc_id", *sharding.OUT)
 
 
+def small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 with a limit that the small tables exceed many times, so that buckets split."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.assign_shards(docs, SMALL_SHARD_BYTES).select("doc_id", *sharding.OUT)
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
@@ -97,13 +104,15 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "small_shards": small_shards,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x09-\x0D ]+'), lambda w: w <> '')"
 
 ORACLE_SQL: dict[str, str] = {}
 
-ORACLE_SQL["op1_sharding"] = f"""
+def _shards_sql(limit: int) -> str:
+    return f"""
 WITH d AS (
   SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(0) || coalesce(text, '')), 1, 15))::BIGINT AS h
@@ -113,13 +122,16 @@ sums AS (
   FROM d, (SELECT unnest(range(0, 40))::INTEGER AS depth) GROUP BY ALL),
 best AS (
   SELECT d.doc_id, d.n_bytes, d.h, min(s.depth) AS depth
-  FROM d JOIN sums s ON s.prefix = d.h >> (60 - s.depth) AND s.shard_bytes <= {SHARD_BYTES} GROUP BY ALL)
+  FROM d JOIN sums s ON s.prefix = d.h >> (60 - s.depth) AND s.shard_bytes <= {limit} GROUP BY ALL)
 SELECT b.doc_id, b.n_bytes,
        'b' || CASE WHEN b.depth = 0 THEN '' ELSE lpad(bin(s.prefix), b.depth, '0') END AS shard_id,
        b.depth::INTEGER AS shard_depth, s.shard_bytes, s.shard_docs
 FROM best b JOIN sums s ON s.depth = b.depth AND s.prefix = b.h >> (60 - b.depth)
 """
 
+
+ORACLE_SQL["op1_sharding"], ORACLE_SQL["small_shards"] = _shards_sql(SHARD_BYTES), _shards_sql(SMALL_SHARD_BYTES)
+
 ORACLE_SQL["op2_chat_format"] = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
