@@ -35,6 +35,16 @@ def reclaim_gate(bars: DataFrame, now: str) -> DataFrame:
     return x.where("back = 1").select("symbol", "bar_ts", F.coalesce(ok, F.lit(False)).alias("open"))
 
 
+def gate_batch(setups: DataFrame, bars: DataFrame, now: str, top: int = 5) -> DataFrame:
+    """setups (symbol, score) -> symbol, rk, verdict, warning of the `top` highest scores (ties: by symbol): GO where the reclaim gate is
+    open; a setup without closed bars gets NO-GO and a warning, and doesn't stop the others."""
+    ranked = setups.orderBy(F.desc("score"), "symbol").limit(top)  # a top-k report
+    ranked = ranked.withColumn("rk", F.row_number().over(W.orderBy(F.desc("score"), "symbol")))
+    gate = reclaim_gate(bars.join(ranked.select("symbol"), "symbol", "left_semi"), now)
+    warning = F.when(F.col("open").isNull(), "no_closed_bars")
+    return ranked.join(gate, "symbol", "left").select("symbol", "rk", F.when(F.col("open"), "GO").otherwise("NO-GO").alias("verdict"), warning.alias("warning"))
+
+
 def flush_reclaim(bars: DataFrame, daily_range: DataFrame, stall_bars: int = 4) -> DataFrame:
     """symbol, session -> flush, stall, reclaimed, strong, stage: the session's first bar wider than twice the daily range measure
     (symbol, atr) on twice the mean volume; its low holding for the next bars; the last close above the running VWAP, on rising

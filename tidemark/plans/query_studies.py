@@ -16,7 +16,7 @@ from tidemark.plans import technicals as T
 from tidemark.plans import validation as V
 from tidemark.plans.query_forecast import _FORECAST_D, _LAST, _dip_sql, _forecast_sql, _replay_sql
 from tidemark.plans.query_indicators import B, BE, CONTEXT_SQL, CR, IN, LEADER_RUNS_SQL as _LRUN, P, REGIMES_SQL, SW, TAGS, _ewm_sql, _ma, _TAGS, inputs, leaders, regime_bars, rotation, thin_sql
-from tidemark.plans.registry import query
+from tidemark.plans.registry import ORACLE_SQL, query
 from tidemark.sources import market as M
 
 _TAIL = "row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS back"
@@ -137,6 +137,19 @@ def gate(spark, d):
     return I.reclaim_gate(M.intraday_bars(spark, d), "2024-01-20 10:07:00").withColumn("bar_ts", F.col("bar_ts").cast("timestamp_ntz"))
 
 
+@query(
+    "e24_gate_batch",
+    f"""WITH gate AS ({ORACLE_SQL['e18_e24_reclaim_gate']}), s AS (SELECT event_type AS symbol, count(*) AS score FROM events GROUP BY 1 UNION ALL SELECT 'without bars', 1000000000000),
+      t AS (SELECT symbol, row_number() OVER (ORDER BY score DESC, symbol)::INT AS rk FROM s)
+    SELECT t.symbol, rk, CASE WHEN open THEN 'GO' ELSE 'NO-GO' END AS verdict, CASE WHEN open IS NULL THEN 'no_closed_bars' END AS warning FROM t LEFT JOIN gate ON gate.symbol = t.symbol WHERE rk <= 5""",
+)
+def batch(spark, d):
+    """The gates of the five most frequent event types, one of which is invented and has no bars."""
+    setups = M.table(spark, d, "events").groupBy(F.col("event_type").alias("symbol")).agg(F.count(F.lit(1)).alias("score"))
+    setups = setups.unionByName(spark.sql("SELECT 'without bars' AS symbol, 1000000000000L AS score"))
+    return I.gate_batch(setups, M.intraday_bars(spark, d), "2024-01-20 10:07:00")
+
+
 RS_SQL = f"""{B}, {BE}, j AS (SELECT symbol, date, ln(close) - ln(bench) AS rel FROM bars JOIN bench USING (date)),
   x AS ({' UNION ALL '.join(f"SELECT symbol, date, {n} AS win, rel - lag(rel, {n}) OVER w AS r FROM j {SW}" for n in (5, 10, 20, 40, 63, 126))}),
   c AS (SELECT *, arg_max(r, date) OVER (PARTITION BY symbol, win) AS cur FROM x WHERE r IS NOT NULL),
