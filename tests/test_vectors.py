@@ -72,3 +72,7 @@ def test_vectors_in_small_blocks_with_odd_values(spark):
     got = sorted([(r.query_pos, r.pos, "nan" if np.isnan(r.dist) else r.dist, r.rk) for r in got], key=str)
     assert got == brute(rows, [r for r in rows if r[0] is None or r[0] % 3 == 0], 5)
     assert nearest_vectors(df.limit(0), asked, 5).count() == 0 and nearest_vectors(df, asked.limit(0), 5).count() == 0
+
+
+def test_distance_thinning_of_many_vectors_is_sql_and_ends(spark, larger):
+    same_in_time(spark, "w10_distance_thinning", larger, ["query_pos", "pos", "nth"], 25)
